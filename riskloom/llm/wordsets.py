@@ -1,0 +1,99 @@
+"""Word sets in a common order, rarest word first, for the exact set joins.
+
+Words are 64-bit hashes.  Words found in more than ``floor`` records are
+*frequent*: their number is at most (all words) / floor, and floor is raised with
+the corpus so that never more than MAX_FREQUENT of them exist; that table is sent
+to the workers.  All other words are *rare* and come before every frequent one.
+Any order gives exact results; this one makes the first words selective.
+"""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+MAX_FREQUENT = 1 << 20
+RARE_UP_TO = 64
+
+
+@dataclass
+class Frequencies:
+    """Sorted hashes of the frequent words with their record counts; records in all."""
+
+    words: np.ndarray
+    counts: np.ndarray
+    records: int
+
+    def of(self, tokens: np.ndarray) -> np.ndarray:
+        """Record count of frequent words, 0 for rare ones."""
+        if not len(self.words):
+            return np.zeros(len(tokens), dtype=np.int64)
+        at = np.minimum(np.searchsorted(self.words, tokens), len(self.words) - 1)
+        return np.where(self.words[at] == tokens, self.counts[at], 0)
+
+
+def frequencies(sets: DataFrame, tokens: str = "tokens", rare_up_to: int = RARE_UP_TO) -> Frequencies:
+    """Count every word over all records (map-side combined) and keep the frequent ones."""
+    size = sets.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.size(tokens)), F.lit(0)).alias("w")).first()
+    floor = max(rare_up_to, size["w"] // MAX_FREQUENT)
+    counts = sets.select(F.explode(tokens).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c")).filter(F.col("c") > floor)
+    got = counts.toPandas()  # at most MAX_FREQUENT rows, see above
+    order = np.argsort(got["w"].to_numpy(dtype=np.int64), kind="stable")
+    return Frequencies(got["w"].to_numpy(dtype=np.int64)[order], got["c"].to_numpy(dtype=np.int64)[order], size["n"])
+
+
+@dataclass
+class Batch:
+    """Records of one Arrow batch with at least one word; their words in common order."""
+
+    ids: np.ndarray
+    sizes: np.ndarray
+    starts: np.ndarray
+    tokens: np.ndarray
+    counts: np.ndarray
+
+    @property
+    def rare(self) -> np.ndarray:
+        """Number of rare words of each record."""
+        return np.add.reduceat((self.counts == 0).astype(np.int64), self.starts) if len(self.ids) else np.zeros(0, np.int64)
+
+
+def ordered(ids: pa.Array, lists: pa.Array, freq: Frequencies) -> Batch:
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    sizes = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    tokens = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    ids = ids.to_numpy(zero_copy_only=False).astype(np.int64)
+    owner = np.repeat(np.arange(len(ids)), sizes)
+    counts = freq.of(tokens)
+    order = np.lexsort((tokens, counts, owner))
+    keep = sizes > 0
+    ids, sizes = ids[keep], sizes[keep]
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1])).astype(np.int64) if len(ids) else np.zeros(0, np.int64)
+    return Batch(ids, sizes, starts, tokens[order], counts[order])
+
+
+def mix(*parts: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of several integer columns."""
+    with np.errstate(over="ignore"):
+        h = np.full(parts[0].shape, 0x9E3779B97F4A7C15 + len(parts), dtype=np.uint64)
+        for p in parts:
+            h ^= p.astype(np.uint64)
+            h *= np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(29)
+            h *= np.uint64(0x94D049BB133111EB)
+            h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+def signatures(b: Batch) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit maps of each record's words; sets that differ in d words differ in at most d bits."""
+    if not len(b.ids):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    bit = np.left_shift(np.uint64(1), (b.tokens & 63).astype(np.uint64))
+    high = (b.tokens >> 6) & 1
+    out = [np.bitwise_or.reduceat(np.where(high == side, bit, np.uint64(0)), b.starts).view(np.int64) for side in (0, 1)]
+    return out[0], out[1]

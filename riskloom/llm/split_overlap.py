@@ -40,12 +40,12 @@ from pyspark.sql import functions as F
 from ..plans.skew import join_heads
 from ..plans.staging import stage
 from . import wordsets
-from .common import word_list
+from .common import WORD, word_list
 from .source_mixing import source_name
 from .wordsets import Frequencies, mix
 
 NEED = 2
-HOT = 256
+HOT = 4096
 BLOCK = 4096
 _SCHEMA = "key long, cls long, train boolean"
 
@@ -119,12 +119,12 @@ def overlaps(evaluation: DataFrame, training: DataFrame, id_col: str = "rec_id",
     e = evaluation.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "split", src.alias("source"), F.lit(False).alias("train"))
     t = training.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit("train").alias("split"), F.lit(None).cast("string").alias("source"), F.lit(True).alias("train"))
     tokens = F.array_sort(F.transform(word_list("text"), lambda w: F.xxhash64(w)))
-    recs = e.unionByName(t).withColumn("tokens", tokens).filter(F.size("tokens") > 0)
+    recs = e.unionByName(t).filter(F.col("text").rlike(WORD)).withColumn("tokens", tokens)
     recs = stage(recs.select("train", "split", "source", "id", F.xxhash64("tokens").alias("cls"), "tokens"), "p5-records")
     freq = wordsets.frequencies(recs)
-    sent = chunk_rows(recs, freq, num, den).distinct()
-    left = sent.filter(~F.col("train")).select("key", F.col("cls").alias("cls_e"))
-    right = sent.filter("train").select("key", F.col("cls").alias("cls_t"))
+    # one exchange by chunk for each side: copies of a class are dropped behind it, where the join is
+    left = chunk_rows(recs.filter(~F.col("train")), freq, num, den).select("key", F.col("cls").alias("cls_e")).repartition("key").distinct()
+    right = chunk_rows(recs.filter("train"), freq, num, den).select("key", F.col("cls").alias("cls_t")).repartition("key").distinct()
     met = left.join(right, "key").groupBy("cls_e", "cls_t").agg(F.count(F.lit(1)).alias("shared_chunks"))
     return _verified(recs, stage(met.filter(F.col("shared_chunks") >= NEED), "p5-met"), num, den)
 

@@ -25,27 +25,35 @@ def join_heads(rows: DataFrame, heads: DataFrame, keys: list[str], count: str, t
     return hot_rows.unionByName(rest.join(cold, keys, how), allowMissingColumns=how != "inner")
 
 
-def block_pairs(members: DataFrame, key: str, ident: str, block: int) -> tuple[DataFrame, DataFrame]:
-    """Split the members of each key into blocks so that a self-join has no hot key.
-
-    Returns ``(left, right)``, each with the added columns ``_a`` and ``_b``; an
-    equi-join on ``(key, _a, _b)`` meets every pair of members of a key exactly
-    once or, within one block, in both orders.  A key of at most ``block``
-    members has the single block pair (0, 0); a key of m members has
-    ``ceil(m / block)`` blocks and each member is sent to that many tasks.
+def pairs_within(members: DataFrame, key: str, ident: str, block: int) -> DataFrame:
+    """Every pair of members of a key once, with each other column c as ``c_a`` and ``c_b``.
+
+    ``ident`` is unique within a key and ``ident_a < ident_b``.  Keys of at most
+    ``block`` members are joined as they are, both sides from one exchange.  A
+    larger key is cut into ceil(m / block) blocks of members, and every pair of its
+    blocks is joined on its own, so no task meets more than ``block`` members of a
+    key on either side.
     """
-    sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > block)
-    sized = members.join(sizes, key, "left").withColumn("_nb", F.coalesce(F.ceil(F.col("_m") / block), F.lit(1)).cast("int"))
-    sized = sized.withColumn("_blk", F.pmod(F.xxhash64(ident), F.col("_nb")).cast("int")).drop("_m")
-    span = F.sequence(F.lit(0), F.col("_nb") - 1)
+    rest = [c for c in members.columns if c != key]
 
-    def sent(mine_first: bool) -> DataFrame:
-        other = F.explode(F.filter(span, lambda j: (F.col("_blk") <= j) if mine_first else (j <= F.col("_blk"))))
-        out = sized.withColumn("_o", other)
-        a, b = ("_blk", "_o") if mine_first else ("_o", "_blk")
-        return out.withColumn("_a", F.col(a)).withColumn("_b", F.col(b)).drop("_o", "_blk", "_nb")
+    def sided(df: DataFrame, tag: str, keep: list[str]) -> DataFrame:
+        return df.select(*keep, *[F.col(c).alias(f"{c}_{tag}") for c in rest])
 
-    return sent(True), sent(False)
+    sizes = members.groupBy(key).agg(F.count(F.lit(1)).alias("_m")).filter(F.col("_m") > block)
+    cold = members.join(sizes, key, "left_anti")
+    small = sided(cold, "a", [key]).join(sided(cold, "b", [key]), key).filter(F.col(f"{ident}_a") < F.col(f"{ident}_b"))
+
+    hot = members.join(sizes, key).withColumn("_nb", F.ceil(F.col("_m") / block).cast("int"))
+    hot = hot.withColumn("_blk", F.pmod(F.xxhash64(ident), F.col("_nb")).cast("int"))
+    span = F.sequence(F.lit(0), F.col("_nb") - 1)
+    first = hot.withColumn("_i", F.col("_blk")).withColumn("_j", F.explode(F.filter(span, lambda x: F.col("_blk") <= x)))
+    second = hot.withColumn("_j", F.col("_blk")).withColumn("_i", F.explode(F.filter(span, lambda x: x <= F.col("_blk"))))
+    on = [key, "_i", "_j"]
+    met = sided(first, "a", on).join(sided(second, "b", on), on)
+    met = met.filter((F.col("_i") < F.col("_j")) | (F.col(f"{ident}_a") < F.col(f"{ident}_b")))
+    swap = F.col(f"{ident}_a") > F.col(f"{ident}_b")
+    met = met.select(key, *[F.when(swap, F.col(f"{c}_b")).otherwise(F.col(f"{c}_a")).alias(f"{c}_a") for c in rest], *[F.when(swap, F.col(f"{c}_a")).otherwise(F.col(f"{c}_b")).alias(f"{c}_b") for c in rest])
+    return small.unionByName(met)
 
 
 def hash63(*cols: str | Column, seed: int = 42) -> Column:

@@ -40,14 +40,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.skew import block_pairs, join_heads
+from ..plans.skew import join_heads, pairs_within
 from ..plans.staging import stage
 from . import wordsets
-from .common import word_list
+from .common import WORD, word_list
 from .wordsets import Frequencies, mix
 
 #: A region expected to hold more records than this is divided further.
-REGION = 32
+REGION = 128
 #: A region holding more records than this is joined in blocks of this size.
 BLOCK = 2048
 _CELLS = 1 << 21
@@ -59,7 +59,7 @@ def classes(rows: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
 
     ``cid`` is the least id of the class.
     """
-    sets = rows.select(F.col(id_col).alias("id"), F.array_sort(word_list(text_col)).alias("words")).filter(F.size("words") > 0)
+    sets = rows.filter(F.col(text_col).rlike(WORD)).select(F.col(id_col).alias("id"), F.array_sort(word_list(text_col)).alias("words"))
     keyed = sets.withColumn("h1", F.xxhash64("words")).withColumn("h2", F.xxhash64(F.lit(1), "words"))
     heads = keyed.groupBy("h1", "h2").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("size"), F.first("words").alias("words"))
     heads = stage(heads, "p4-classes")
@@ -132,14 +132,11 @@ def similar_classes(heads: DataFrame, num: int = 7, den: int = 10) -> DataFrame:
     sets = heads.select("cid", F.transform("words", lambda w: F.xxhash64(w)).alias("tokens"))
     freq = wordsets.frequencies(sets)
     placed = stage(regions(sets, freq, num, den), "p4-regions")
-    left, right = block_pairs(placed, "key", "cid", BLOCK)
-    a, b = left.alias("a"), right.alias("b")
-    need = F.ceil((F.col("a.n") + F.col("b.n")) * F.lit(num) / F.lit(num + den))  # least overlap
-    most = F.col("a.n") + F.col("b.n") - 2 * need  # largest difference
-    bits = F.bit_count(F.col("a.s1").bitwiseXOR(F.col("b.s1"))) + F.bit_count(F.col("a.s2").bitwiseXOR(F.col("b.s2")))
-    met = a.join(b, (F.col("a.key") == F.col("b.key")) & (F.col("a._a") == F.col("b._a")) & (F.col("a._b") == F.col("b._b")) & (F.col("a.cid") != F.col("b.cid")))
-    met = met.filter((bits <= most) & (F.col("a.skipped") + F.col("b.skipped") <= most))
-    pairs = met.select(F.least("a.cid", "b.cid").alias("cid_a"), F.greatest("a.cid", "b.cid").alias("cid_b")).distinct()
+    met = pairs_within(placed, "key", "cid", BLOCK)
+    both_n = F.col("n_a") + F.col("n_b")
+    most = both_n - 2 * F.ceil(both_n * F.lit(num) / F.lit(num + den))  # largest difference at the least overlap
+    bits = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
+    pairs = met.filter((bits <= most) & (F.col("skipped_a") + F.col("skipped_b") <= most)).select("cid_a", "cid_b").distinct()
     x = heads.select(F.col("cid").alias("cid_a"), F.col("words").alias("wa"))
     y = heads.select(F.col("cid").alias("cid_b"), F.col("words").alias("wb"))
     both = pairs.join(x, "cid_a").join(y, "cid_b").withColumn("common", F.size(F.array_intersect("wa", "wb")))

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import format_duplicates, near_duplicates, source_mixing, split_overlap, target_sampling
+from . import encoding, format_duplicates, lookalikes, near_duplicates, packing, source_mixing, split_overlap, target_sampling
+from ..plans.staging import stage
 from .common import table
 
 
@@ -76,6 +77,35 @@ def p5_report(spark: SparkSession, d: str) -> DataFrame:
     return split_overlap.report(_p5(spark, d), _p5_eval(spark, d))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    got = lookalikes.pairs(table(spark, d, "normalized_text"), ["original_text", "detection_text"])
+    return got.select("field", F.col("id_a").alias("norm_id_a"), F.col("id_b").alias("norm_id_b"))
+
+
+def p6_canonical(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.canonical(table(spark, d, "normalized_text"), ["original_text", "detection_text"]).withColumnRenamed("id", "norm_id")
+
+
+def p7_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encoding.encode(table(spark, d, "documents"))
+
+
+def _p8(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    specs = table(spark, d, "pack_specs")
+    sizes = stage(encoding.encode(table(spark, d, "documents"), lengths_only=True), "p8-tokens")
+    few = [(r["spec_id"], r["capacity_tokens"]) for r in specs.orderBy("spec_id").collect()]  # a fixed table of a few rows
+    return packing.pack_all(sizes, few), specs
+
+
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return _p8(spark, d)[0]
+
+
+def p8_report(spark: SparkSession, d: str) -> DataFrame:
+    return packing.report(*_p8(spark, d))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fs = [p1_found, p1_report, p1_sample, p2_found, p2_records, p3_found, p3_report, p3_mix, p4_found, p4_groups, p5_found, p5_report]
+    fs += [p6_found, p6_canonical, p7_ids, p8_containers, p8_report]
     return {f.__name__: f for f in fs}

@@ -50,6 +50,9 @@ from .wordsets import Frequencies, mix
 REGION = 128
 #: A region holding more records than this is joined in blocks of this size.
 BLOCK = 2048
+#: Records of more words than this have regions of the second kind.
+LONG = 150
+LONG_RARE = 4096
 _CELLS = 1 << 21
 _REGION_SCHEMA = "key long, cid long, n int, skipped int, s1 long, s2 long"
 
@@ -72,17 +75,39 @@ def _combos(width: int, k: int) -> np.ndarray:
     return np.array(list(combinations(range(width), k)), dtype=np.int64).reshape(-1, k)
 
 
-def region_keys(b: wordsets.Batch, freq: Frequencies, num: int, den: int, region: int = REGION) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(key, index of record, words skipped) for every region each record is sent to."""
-    n, rare = b.sizes, b.rare
+Keys = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def region_keys(b: wordsets.Batch, freq: Frequencies, num: int, den: int, region: int = REGION) -> Keys:
+    """(key, index of record, words skipped) for every region each record is sent to.
+
+    Records of more than LONG words have windows too wide for three-word pivots;
+    they, and every record that can be a partner of one, also have regions of a
+    second kind, in which a word is rare up to LONG_RARE records and pivots have at
+    most two words.  Two records of at most LONG words meet in the first kind, any
+    other two in the second.
+    """
+    n = b.sizes
     window = n - (num * n + den - 1) // den + 1  # first shared word
-    # regions of one rare word
-    place = np.arange(len(b.tokens)) - np.repeat(b.starts, n)
-    single = (b.counts == 0) & (place < np.repeat(window, n))
     owner = np.repeat(np.arange(len(n)), n)
-    yield mix(b.tokens[single]), owner[single], place[single]
-    # regions of two words, both frequent, and of three where two would hold too many
-    todo = np.flatnonzero(rare < window)
+    place = np.arange(len(b.tokens)) - np.repeat(b.starts, n)
+    for kind, member, limit in ((0, n <= LONG, 0), (1, n * den > LONG * num, LONG_RARE)):
+        if not member.any():
+            continue
+        is_rare = b.counts <= limit
+        rare = np.add.reduceat(is_rare.astype(np.int64), b.starts)
+        single = is_rare & np.repeat(member, n) & (place < np.repeat(window, n))
+        yield mix(b.tokens[single]) ^ kind, owner[single], place[single]
+        todo = np.flatnonzero(member & (rare < window))
+        if kind:
+            yield from _wide(b, todo, rare, window)
+        else:
+            yield from _narrow(b, freq, todo, rare, window, region)
+
+
+def _narrow(b: wordsets.Batch, freq: Frequencies, todo: np.ndarray, rare: np.ndarray, window: np.ndarray, region: int) -> Keys:
+    """Regions of two frequent words, and of three where two are expected to hold too many."""
+    n = b.sizes
     reach = np.minimum(window + 2, n) - rare  # frequent words up to the third shared one
     for width in np.unique(reach[todo]):
         pairs, triples = _combos(int(width), 2), _combos(int(width), 3)
@@ -108,6 +133,19 @@ def region_keys(b: wordsets.Batch, freq: Frequencies, num: int, den: int, region
                 yield mix(tok[r, t[:, 0]], tok[r, t[:, 1]], tok[r, t[:, 2]]), idx[r], rare[idx[r]] + t[:, 2] - 2
 
 
+def _wide(b: wordsets.Batch, todo: np.ndarray, rare: np.ndarray, window: np.ndarray) -> Keys:
+    """Regions of two frequent words of long records, a record at a time and in pieces."""
+    for x in todo.tolist():
+        first, second = int(window[x] - rare[x]), int(min(window[x] + 1, b.sizes[x]) - rare[x])
+        tok = b.tokens[b.starts[x] + rare[x] : b.starts[x] + rare[x] + second]
+        step = max(1, _CELLS // max(1, second))
+        for at in range(0, first, step):
+            i, j = np.meshgrid(np.arange(at, min(at + step, first)), np.arange(second), indexing="ij")
+            later = j > i
+            i, j = i[later], j[later]
+            yield mix(tok[i], tok[j]) ^ 1, np.full(len(i), x), rare[x] + j - 1
+
+
 def regions(sets: DataFrame, freq: Frequencies, num: int, den: int) -> DataFrame:
     """One row for each class and region it belongs to; ``sets``: (cid, tokens)."""
     shared = sets.sparkSession.sparkContext.broadcast(freq)

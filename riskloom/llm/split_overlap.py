@@ -2,27 +2,26 @@
 
 Content-defined chunks.  The normal form of a record is its distinct words in a
 common order, rarest first, so case, punctuation, spacing, repetition and order do
-not matter.  A rolling hash over the normal form gives chunks of three words; the
-chunk digests of the splits are joined, the lengths of the shared chunks are summed
-into an overlap fraction for each pair of records, and the pairs that can reach the
-word share are verified on their words.
+not matter.  A rolling hash runs over the normal form and a chunk is cut as soon as
+its digest is selective: after one word if the word is rare, after two, or three
+where two are still expected in many records.  The digests of the splits are joined,
+the shared chunks of each pair are summed up, and the pairs that can reach the word
+share are verified on their words.
 
-Cutting.  With ordinary cuts (chunks that do not overlap) no choice of cut rule
+Why not ordinary cuts: with chunks that follow each other in the text no cut rule
 guarantees a common chunk at a word share of 3/4 on texts of some 40 words, and
-common phrases make hot chunks that would have to be capped (measured in the
-README).  So the hash cuts at every position.  That is exact: if x and y share o
-words and differ in d, the shared words form at most d + 1 runs in the common
-order, so the records share at least o - 2 (d + 1) chunks of three words; ``least``
-below is the least value of this over all partners of a record of n words.  A
-record therefore needs to send only its first chunks, all but least - NEED, and a
-pair must meet in NEED of them; chunks of frequent words only come last and are
-mostly not sent at all.  Records too short for the bound send chunks of two words
-too, for which the bound is o - (d + 1).
-
-Chunks of three frequent words that are expected in more than HOT records are
-salted: the training side is spread over as many tasks as needed, the (smaller)
-evaluation side is sent to each.  Records with one word set are one class on
-either side.
+chunks of common phrases are so hot that they would have to be capped (measured in
+the README).  Here a chunk may skip words, within the window that the threshold
+leaves: a record of n words shares at least ceil(3 n / 4) of them with any partner, so
+the first shared word is among its first n - ceil(3 n / 4) + 1, the second among one
+more, and so on.  Every pair has a chunk in common, whatever its words
+(``near_duplicates.region_keys`` has the enumeration), and the chunks stay rare at
+any size of the corpus.  The whole record is a chunk too.
+
+Each posting carries the record's length and a 64-bit map of its words; maps that
+differ in more bits than the threshold allows words rule a pair out at the join.
+Records with one word set are one class on either side, and copies are dropped
+behind the exchange by digest, before the join.
 
 Defined results: null text and text without letter or digit match nothing; other
 columns are ignored; an empty table gives an empty result.
@@ -41,72 +40,29 @@ from ..plans.skew import join_heads
 from ..plans.staging import stage
 from . import wordsets
 from .common import WORD, word_list
+from .near_duplicates import region_keys
 from .source_mixing import source_name
 from .wordsets import Frequencies, mix
 
-NEED = 2
-HOT = 4096
 BLOCK = 4096
-_SCHEMA = "key long, cls long, train boolean"
-
-
-def least_shared(n: np.ndarray, num: int, den: int, length: int) -> np.ndarray:
-    """Least number of shared chunks of ``length`` words of a record of n words and any partner."""
-    top = int(n.max(initial=0))
-    table = np.zeros(top + 1, dtype=np.int64)
-    for v in np.unique(n):
-        m = np.arange((num * v + den - 1) // den, v * den // num + 1)
-        o = np.minimum((num * (v + m) + num + den - 1) // (num + den), np.minimum(v, m))
-        table[v] = (o - (length - 1) * (v + m - 2 * o + 1)).min()
-    return table[n]
-
-
-def chunks(b: wordsets.Batch, freq: Frequencies, num: int, den: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(digest, index of record, expected number of records with the chunk)."""
-    n = b.sizes
-    owner = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(b.tokens)) - np.repeat(b.starts, n)
-    least = least_shared(n, num, den, 3)
-    sent = n - 2 - np.maximum(least - NEED, 0)
-    at = np.flatnonzero((place < np.repeat(np.minimum(sent, n - 2), n)) & (place + 2 < np.repeat(n, n)))
-    share = np.maximum(b.counts, 1) / max(freq.records, 1)
-    expected = freq.records * share[at] * share[np.minimum(at + 1, len(share) - 1)] * share[np.minimum(at + 2, len(share) - 1)]
-    expected = np.where(b.counts[at] > 0, expected, 0)
-    yield mix(b.tokens[at], b.tokens[at + 1], b.tokens[at + 2]), owner[at], expected
-    short = np.repeat(least < NEED, n)
-    at = np.flatnonzero(short & (place + 1 < np.repeat(n, n)))
-    for copy in range(NEED):  # one common chunk of two words is enough
-        yield mix(b.tokens[at], b.tokens[at + 1], np.full(len(at), copy)) ^ 1, owner[at], np.zeros(len(at))
-    at = b.starts[n == 1]
-    for copy in range(NEED):
-        yield mix(b.tokens[at], np.full(len(at), copy)), owner[at], np.zeros(len(at))
 
 
 def chunk_rows(sets: DataFrame, freq: Frequencies, num: int, den: int) -> DataFrame:
-    """(key, cls, train): the chunks of each record; hot chunks carry their salt in the key."""
+    """(key, cls, n, bits): the chunk digests of each record."""
     shared = sets.sparkSession.sparkContext.broadcast(freq)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = shared.value
         for batch in batches:
-            train = batch.column("train").to_numpy(zero_copy_only=False).astype(bool)
-            train = train[batch.column("tokens").value_lengths().fill_null(0).to_numpy(zero_copy_only=False) > 0]
             b = wordsets.ordered(batch.column("cls"), batch.column("tokens"), f)
-            for key, idx, expected in chunks(b, f, num, den):
-                salts = np.ceil(expected / HOT).astype(np.int64).clip(1, 4096)
-                hot = np.flatnonzero(salts > 1)
-                mine = hot[train[idx[hot]]]
-                key[mine] = mix(key[mine], b.ids[idx[mine]] % salts[mine])
-                theirs = hot[~train[idx[hot]]]
-                each = np.repeat(theirs, salts[theirs])
-                salt = np.arange(len(each)) - np.repeat(np.cumsum(salts[theirs]) - salts[theirs], salts[theirs])
-                more = mix(key[each], salt)
-                keep = np.setdiff1d(np.arange(len(key)), theirs, assume_unique=True)
-                k, i = np.concatenate([key[keep], more]), np.concatenate([idx[keep], idx[each]])
-                if len(k):
-                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(b.ids[i]), pa.array(train[i])], names=["key", "cls", "train"])
-
-    return sets.select("cls", "tokens", "train").mapInArrow(run, _SCHEMA)
+            s1, s2 = wordsets.signatures(b)
+            bits, sizes = s1 ^ s2, b.sizes.astype(np.int32)  # the fold of the two maps
+            whole = np.arange(len(b.ids))
+            for key, idx in [(mix(b.ids), whole), *((k, i) for k, i, _ in region_keys(b, f, num, den))]:
+                if len(key):
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(b.ids[idx]), pa.array(sizes[idx]), pa.array(bits[idx])], names=["key", "cls", "n", "bits"])
+
+    return sets.select("cls", "tokens").mapInArrow(run, "key long, cls long, n int, bits long")
 
 
 def overlaps(evaluation: DataFrame, training: DataFrame, id_col: str = "rec_id", text_col: str = "text", num: int = 3, den: int = 4) -> DataFrame:
@@ -122,11 +78,14 @@ def overlaps(evaluation: DataFrame, training: DataFrame, id_col: str = "rec_id",
     recs = e.unionByName(t).filter(F.col("text").rlike(WORD)).withColumn("tokens", tokens)
     recs = stage(recs.select("train", "split", "source", "id", F.xxhash64("tokens").alias("cls"), "tokens"), "p5-records")
     freq = wordsets.frequencies(recs)
-    # one exchange by chunk for each side: copies of a class are dropped behind it, where the join is
-    left = chunk_rows(recs.filter(~F.col("train")), freq, num, den).select("key", F.col("cls").alias("cls_e")).repartition("key").distinct()
-    right = chunk_rows(recs.filter("train"), freq, num, den).select("key", F.col("cls").alias("cls_t")).repartition("key").distinct()
-    met = left.join(right, "key").groupBy("cls_e", "cls_t").agg(F.count(F.lit(1)).alias("shared_chunks"))
-    return _verified(recs, stage(met.filter(F.col("shared_chunks") >= NEED), "p5-met"), num, den)
+    # one exchange by digest for each side: copies of a class are dropped behind it, where the join is
+    sides = [chunk_rows(recs.filter(F.col("train") == is_train), freq, num, den).repartition("key").distinct() for is_train in (False, True)]
+    e, t = sides[0].alias("e"), sides[1].alias("t")
+    words = F.col("e.n") + F.col("t.n")
+    most = words - 2 * F.ceil(words * F.lit(num) / F.lit(num + den))  # largest difference at the least overlap
+    near = (F.col("e.key") == F.col("t.key")) & (F.bit_count(F.col("e.bits").bitwiseXOR(F.col("t.bits"))) <= most)
+    met = e.join(t, near).groupBy(F.col("e.cls").alias("cls_e"), F.col("t.cls").alias("cls_t")).agg(F.count(F.lit(1)).alias("shared_chunks"))
+    return _verified(recs, stage(met, "p5-met"), num, den)
 
 
 def _verified(recs: DataFrame, met: DataFrame, num: int, den: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, format_duplicates, lookalikes, near_duplicates, packing, source_mixing, split_overlap, target_sampling
+from . import encoding, format_duplicates, lookalikes, near_duplicates, packing, source_mixing, split_overlap, subjects, target_sampling
 from ..plans.staging import stage
 from .common import table
 
@@ -105,7 +105,21 @@ def p8_report(spark: SparkSession, d: str) -> DataFrame:
     return packing.report(*_p8(spark, d))
 
 
+def _p9(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    rules = subjects.fit(docs, table(spark, d, "subject_examples"), table(spark, d, "subject_areas"))
+    return subjects.assign(docs, rules)
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p9(spark, d).select("doc_id", "subject")
+
+
+def p9_composition(spark: SparkSession, d: str) -> DataFrame:
+    return subjects.composition(_p9(spark, d), table(spark, d, "documents"), table(spark, d, "subject_areas"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fs = [p1_found, p1_report, p1_sample, p2_found, p2_records, p3_found, p3_report, p3_mix, p4_found, p4_groups, p5_found, p5_report]
-    fs += [p6_found, p6_canonical, p7_ids, p8_containers, p8_report]
+    fs += [p6_found, p6_canonical, p7_ids, p8_containers, p8_report, p9_found, p9_composition]
     return {f.__name__: f for f in fs}

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..plans.skew import hash63
+from ..plans.staging import stage
 from .common import strip_all
 
 BITS = 12
@@ -67,17 +68,19 @@ def mix(rows: DataFrame, targets: DataFrame, id_col: str = "rec_id", size: Colum
     )
     usable = usable.join(F.broadcast(t.select("source").distinct()), "source", "left_semi")
 
-    hist = usable.groupBy("source", _bucket(1).alias("_b1")).agg(F.sum("_w").alias("_size"))
+    # tables of at most (sources of the targets x 2**BITS) rows, written so that each scan of the rows runs once
+    hist = stage(usable.groupBy("source", _bucket(1).alias("_b1")).agg(F.sum("_w").alias("_size")), "p3-histogram")
     held = hist.groupBy("source").agg(F.sum("_size").alias("held"))
     p = t.join(held, "source", "left").withColumn("held", F.coalesce("held", F.lit(0)))
     p = p.withColumn("_passes", F.when(F.col("held") > 0, F.least("max_repeats", F.expr("wanted div greatest(held, 1)"))).otherwise(0))
     p = p.withColumn("_rest", F.when((F.col("held") > 0) & (F.col("_passes") < F.col("max_repeats")), F.col("wanted") - F.col("_passes") * F.col("held")).otherwise(0))
+    p = stage(p, "p3-budgets")
 
     b1 = _boundary(hist, p.filter("_rest > 0").select("mix_id", "source", "_rest"), ["source"], "_b1")
     cells1 = b1.select("source", "_b1").distinct()
     in1 = usable.withColumn("_b1", _bucket(1)).join(F.broadcast(cells1), ["source", "_b1"], "left_semi")
     hist2 = in1.groupBy("source", "_b1", _bucket(2).alias("_b2")).agg(F.sum("_w").alias("_size"))
-    b2 = _boundary(hist2, b1, ["source", "_b1"], "_b2")
+    b2 = stage(_boundary(hist2, b1, ["source", "_b1"], "_b2"), "p3-boundary")
     cells2 = b2.select("source", "_b1", "_b2").distinct()
     in2 = in1.withColumn("_b2", _bucket(2)).join(F.broadcast(cells2), ["source", "_b1", "_b2"], "left_semi")
     run = Window.partitionBy("source", "_b1", "_b2").orderBy("_h", id_col)
@@ -88,7 +91,7 @@ def mix(rows: DataFrame, targets: DataFrame, id_col: str = "rec_id", size: Colum
         .groupBy("mix_id", "source")
         .agg(F.min(F.struct(F.col("_h").alias("h"), F.col(id_col).alias("i"))).alias("_last"))
     )
-    p = p.join(last, ["mix_id", "source"], "left")
+    p = stage(p.join(last, ["mix_id", "source"], "left"), "p3-thresholds")
 
     at = F.struct(F.col("_h").alias("h"), F.col(id_col).alias("i"))
     extra = F.when(F.col("_last").isNotNull() & (at <= F.col("_last")), 1).otherwise(0)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MAX_FREQUENT = 1 << 20
-RARE_UP_TO = 64
+RARE_UP_TO = 512
 
 
 @dataclass

@@ -59,3 +59,13 @@ def pairs_within(members: DataFrame, key: str, ident: str, block: int) -> DataFr
 def hash63(*cols: str | Column, seed: int = 42) -> Column:
     """A non-negative 63-bit hash of the columns; equal on every engine run."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 1)
+
+
+def semi_join_checked(rows: DataFrame, keys: DataFrame, on: list[str], most: int = 400_000) -> DataFrame:
+    """Rows whose key is among ``keys`` (distinct, staged); wide rows stay in place while the keys are few.
+
+    The number of keys is counted: up to ``most`` they are broadcast, beyond that the
+    join is an ordinary shuffled one.
+    """
+    few = keys.count() <= most
+    return rows.join(F.broadcast(keys) if few else keys, on, "left_semi")

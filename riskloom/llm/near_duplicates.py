@@ -148,10 +148,10 @@ def _wide(b: wordsets.Batch, todo: np.ndarray, rare: np.ndarray, window: np.ndar
 
 def regions(sets: DataFrame, freq: Frequencies, num: int, den: int) -> DataFrame:
     """One row for each class and region it belongs to; ``sets``: (cid, tokens)."""
-    shared = sets.sparkSession.sparkContext.broadcast(freq)
+    shared = sets.sparkSession.sparkContext.broadcast((freq.words, freq.counts, freq.records))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
+        f = Frequencies(*shared.value)
         for batch in batches:
             b = wordsets.ordered(batch.column("cid"), batch.column("tokens"), f)
             s1, s2 = wordsets.signatures(b)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.skew import join_heads
+from ..plans.skew import join_heads, semi_join_checked
 from ..plans.staging import stage
 from . import wordsets
 from .common import WORD, word_list
@@ -49,10 +49,10 @@ BLOCK = 4096
 
 def chunk_rows(sets: DataFrame, freq: Frequencies, num: int, den: int) -> DataFrame:
     """(key, cls, n, bits): the chunk digests of each record."""
-    shared = sets.sparkSession.sparkContext.broadcast(freq)
+    shared = sets.sparkSession.sparkContext.broadcast((freq.words, freq.counts, freq.records))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = shared.value
+        f = Frequencies(*shared.value)
         for batch in batches:
             b = wordsets.ordered(batch.column("cls"), batch.column("tokens"), f)
             s1, s2 = wordsets.signatures(b)
@@ -91,7 +91,7 @@ def overlaps(evaluation: DataFrame, training: DataFrame, id_col: str = "rec_id",
 def _verified(recs: DataFrame, met: DataFrame, num: int, den: int) -> DataFrame:
     """Check the met classes on their words and give their records as pairs."""
     wanted = met.select(F.lit(False).alias("train"), F.col("cls_e").alias("cls")).unionByName(met.select(F.lit(True).alias("train"), F.col("cls_t").alias("cls"))).distinct()
-    cand = stage(recs.join(wanted, ["train", "cls"], "left_semi").withColumn("h2", F.xxhash64(F.lit(1), "tokens")), "p5-candidates")
+    cand = stage(semi_join_checked(recs, stage(wanted, "p5-wanted"), ["train", "cls"]).withColumn("h2", F.xxhash64(F.lit(1), "tokens")), "p5-candidates")
     reps = stage(cand.groupBy("train", "cls", "h2").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "p5-classes")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
 

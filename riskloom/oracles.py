@@ -1,0 +1,2 @@
+def oracle_sql():
+    return {}

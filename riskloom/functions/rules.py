@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import re
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import taxonomy as T
@@ -14,8 +17,9 @@ LEET = ("0134578@$!", "oieastbasi")
 
 
 def family_regex(patterns: list[str]) -> str:
-    """One alternation for a whole family, case-insensitive in all scripts."""
-    return "(?iU)" + "|".join(f"(?:{p})" for p in patterns)
+    """One alternation for a whole family, for lower-cased texts; Unicode classes only where the patterns have any."""
+    both = "|".join(f"(?:{p.lower()})" for p in patterns)
+    return ("(?U)" if re.search(r"\\[wbs]", both) else "") + both
 
 
 def deobfuscate(text: Column) -> Column:
@@ -25,26 +29,27 @@ def deobfuscate(text: Column) -> Column:
     return F.regexp_replace(F.translate(joined, *LEET), r"(.)\1{4,}", "$1")
 
 
-def gate(detection: Column, original: Column, flags: Column) -> Column:
-    """Struct (force_route, block, reasons, allow_fast_skip, matched) of a normalized text."""
-    low, plain = F.lower(F.coalesce(detection, F.lit(""))), deobfuscate(F.coalesce(original, F.lit("")))
-    hits = {name: low.rlike(family_regex(p)) | plain.rlike(family_regex(p)) for name, _, _, p in T.RULES}
-    src = F.coalesce(original, F.lit(""))
-    flag = lambda n: F.coalesce(flags[n], F.lit(False))
-    signals = [("zero_width", flag("excessive_zero_width")), ("non_printable", flag("high_non_printable")), ("base64", flag("suspicious_base64")), ("separators", flag("excessive_separators")), ("spaced_chars", src.rlike(SPACED)), ("homoglyphs", src.rlike(HOMOGLYPHS))]
-    seen = F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in signals]))
-    reasons = F.array_compact(F.array(*[F.when(hits[n], F.lit(f"rule:{n}")) for n, *_ in T.RULES], F.when(F.size(seen) > 0, F.concat(F.lit("obfuscation:"), F.array_join(seen, ",")))))
-    routed = {r: F.lit(False) for r in ("attack", "moderation")}
-    for name, route, _, _ in T.RULES:
-        routed[route] = routed[route] | hits[name]
-    routed["attack"] = routed["attack"] | (F.size(seen) > 0)
-    routes = F.array_compact(F.array(*[F.when(c, F.lit(r)) for r, c in routed.items()]))
-    block = F.lit(False)
-    for name, _, blocks, _ in T.RULES:
-        if blocks:
-            block = block | hits[name]
-    any_hit = routed["attack"] | routed["moderation"] | block
-    return F.struct(routes.alias("force_route"), block.alias("block"), reasons.alias("reasons"), (~any_hit).alias("allow_fast_skip"), any_hit.alias("matched"))
+def with_gate(df: DataFrame, detection: str, original: str, flags: str, out: str = "gate") -> DataFrame:
+    """Add a struct (force_route, block, reasons, allow_fast_skip, matched); null where detection is null.
+
+    Each family is one column, searched once in the text and once in its
+    de-obfuscated form (only where that differs).
+    """
+    src, low = F.coalesce(F.col(original), F.lit("")), F.lower(F.coalesce(F.col(detection), F.lit("")))
+    d = df.withColumn("_low", low).withColumn("_spaced", src.rlike(SPACED)).withColumn("_plain", deobfuscate(src))
+    d = d.withColumn("_plain", F.when(F.col("_plain") != F.col("_low"), F.col("_plain")).otherwise(F.lit("")))
+    d = d.withColumns({f"_g_{n}": F.col("_low").rlike(family_regex(p)) | F.col("_plain").rlike(family_regex(p)) for n, _, _, p in T.RULES})
+    flag = lambda n: F.coalesce(F.col(flags)[n], F.lit(False))
+    signals = [("zero_width", flag("excessive_zero_width")), ("non_printable", flag("high_non_printable")), ("base64", flag("suspicious_base64")), ("separators", flag("excessive_separators")), ("spaced_chars", F.col("_spaced")), ("homoglyphs", src.rlike(HOMOGLYPHS))]
+    d = d.withColumn("_seen", F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in signals])))
+    hit = lambda route: reduce(lambda a, b: a | b, [F.col(f"_g_{n}") for n, r, _, _ in T.RULES if r == route])
+    d = d.withColumns({"_attack": hit("attack") | (F.size("_seen") > 0), "_moderation": hit("moderation")})
+    block = reduce(lambda a, b: a | b, [F.col(f"_g_{n}") for n, _, blocks, _ in T.RULES if blocks])
+    reasons = F.array_compact(F.array(*[F.when(F.col(f"_g_{n}"), F.lit(f"rule:{n}")) for n, *_ in T.RULES], F.when(F.size("_seen") > 0, F.concat(F.lit("obfuscation:"), F.array_join("_seen", ",")))))
+    routes = F.array_compact(F.array(F.when(F.col("_attack"), F.lit("attack")), F.when(F.col("_moderation"), F.lit("moderation"))))
+    matched = F.col("_attack") | F.col("_moderation") | block
+    made = F.struct(routes.alias("force_route"), block.alias("block"), reasons.alias("reasons"), (~matched).alias("allow_fast_skip"), matched.alias("matched"))
+    return d.withColumn(out, F.when(F.col(detection).isNotNull(), made)).select(*df.columns, out)
 
 
 def attack_phrase(detection: Column) -> Column:

@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from .. import taxonomy as T
 from ..functions.labels import literal_list
 from ..functions.rules import attack_phrase
-from ..functions.windows import build_windows
 
 SCORES = "array<struct<label:string,score:double>>"
 WINDOWED = "array<struct<label:string,score:double,window:string>>"
@@ -67,9 +66,18 @@ def score_of(scores: Column, label: str) -> Column:
     return F.coalesce(F.array_max(F.transform(F.filter(scores, lambda s: s["label"] == label), lambda s: s["score"])), F.lit(0.0))
 
 
-def as_struct(*sources: Column) -> Column:
-    """Struct with the greatest score of every scored label over the sources."""
-    return F.struct(*[F.greatest(F.lit(0.0), *[score_of(s, x) for s in sources]).alias(x) for x in T.SCORED])
+#: Scores by label: a struct column, or a dict of flat columns (kept flat, Catalyst never repeats their expressions).
+Scores = Column | dict[str, Column]
+
+
+def merge_scores(*sources: Column) -> dict[str, Column]:
+    """The greatest score of every scored label over arrays of scores, 0 where there is none."""
+    return {x: F.greatest(F.lit(0.0), *[score_of(s, x) for s in sources]) for x in T.SCORED}
+
+
+def with_scores(df: DataFrame, prefix: str, *sources: Column) -> tuple[DataFrame, dict[str, Column]]:
+    """Add the merged scores as flat columns; the DataFrame and the columns by label."""
+    return df.withColumns({prefix + x: c for x, c in merge_scores(*sources).items()}), {x: F.col(prefix + x) for x in T.SCORED}
 
 
 def map_categories(raw: Column, table: dict[str, str], safe: list[str], variants: bool = True) -> Column:
@@ -125,14 +133,14 @@ def sigmoid(logits: Column) -> Column:
     return F.transform(logits, lambda x: 1 / (1 + F.exp(-x)))
 
 
-def suggested_models(heads: Column, thresholds: dict[str, tuple[float, float, float]] | None = None) -> Column:
+def suggested_models(heads: Scores, thresholds: dict[str, tuple[float, float, float]] | None = None) -> Column:
     """Models whose labels reach their route threshold, in model order (information only)."""
     t = thresholds or T.THRESHOLDS
     hit = lambda labels: F.greatest(*[(heads[x] >= t[x][0]).cast("int") for x in labels], F.lit(0)) == 1
     return F.array_compact(F.array(*[F.when(hit(MODELS[m]), F.lit(m)) for m in ("prompt_injection", "jailbreak", "moderation")]))
 
 
-def select_models(heads: Column, detection: Column, available: list[str], thresholds: dict | None = None, full_scan: bool = False, toxic_fallback: bool = False, fast_block: float | None = None) -> Column:
+def select_models(heads: Scores, detection: Column, available: list[str], thresholds: dict | None = None, full_scan: bool = False, toxic_fallback: bool = False, fast_block: float | None = None) -> Column:
     """Struct (models, reasons) in the order the models are routed to."""
     t = thresholds or T.THRESHOLDS
     pi, jb = heads["prompt_injection"], heads["jailbreak"]
@@ -162,7 +170,7 @@ def select_models(heads: Column, detection: Column, available: list[str], thresh
     return F.struct(models.alias("models"), reasons.alias("reasons"))
 
 
-def needs_toxic_fallback(merged: Column, heads: Column, models: Column, band: tuple[float, float] = (0.30, 0.70)) -> Column:
+def needs_toxic_fallback(merged: Scores, heads: Scores, models: Column, band: tuple[float, float] = (0.30, 0.70)) -> Column:
     """After moderation: toxicity or hate in the medium band, or high in the heads and low when merged."""
     lo, hi = band
     tox, hate = merged["toxicity"], merged["hate"]
@@ -184,15 +192,15 @@ def score_text(scorer: Scorer, text: Column) -> Column:
     return F.transform(got, lambda v, i: F.struct(F.element_at(F.array(*[F.lit(x) for x in scorer.labels]), i + 1).alias("label"), v.alias("score")))
 
 
-def run_model(df: DataFrame, text: str, scorer: Scorer, out: str, when: Column | None = None, full_scan: bool = False, windowing: bool = True) -> DataFrame:
+def run_model(df: DataFrame, windows: str, scorer: Scorer, out: str, when: Column | None = None) -> DataFrame:
     """Add ``out``: scores (label, score, window) of a model over the windows of each record it runs on.
 
-    The greatest score of a label counts, of equals that of the earliest window.
-    Records it does not run on never reach the scorer.
+    ``windows`` is a column of ``with_windows``.  The greatest score of a label
+    counts, of equals that of the earliest window.  Records the model does not run on
+    never reach it.
     """
     runs = F.coalesce(when, F.lit(False)) if when is not None else F.lit(True)
-    whole = F.array(F.struct(F.lit("full").alias("name"), F.col(text).alias("text"), F.lit(0).alias("pos")))
-    d = df.withColumn("_w", F.when(runs & F.col(text).isNotNull(), build_windows(F.col(text), full_scan=full_scan) if windowing else whole))
+    d = df.withColumn("_w", F.when(runs, F.col(windows)))
     d = d.withColumn("_s", scorer.scores(F.transform("_w", lambda w: w["text"])))
 
     def of_label(k: int) -> Column:
@@ -210,7 +218,7 @@ def window_reasons(scores: Column, thresholds: dict | None = None) -> Column:
     return F.transform(hot, lambda s: F.concat(s["window"], F.lit("_window triggered "), s["label"], F.lit(" score")))
 
 
-def decide(merged: Column, thresholds: dict | None = None, heads: Column | None = None) -> Column:
+def decide(merged: Scores, thresholds: dict | None = None, heads: Scores | None = None) -> Column:
     """Struct (decision, risk_level, labels, reasons) of merged scores; ties of score go by label order."""
     t = {x: (thresholds or T.THRESHOLDS).get(x, T.DEFAULT_THRESHOLDS) for x in T.SCORED}
     level = {x: F.when(merged[x] >= t[x][2], 3).when(merged[x] >= t[x][1], 2).when(merged[x] >= t[x][0], 1).otherwise(0) for x in T.SCORED}
@@ -231,7 +239,7 @@ def decide(merged: Column, thresholds: dict | None = None, heads: Column | None
     return F.struct(decision.alias("decision"), risk.alias("risk_level"), labels.alias("labels"), F.array_compact(F.array(*said)).alias("reasons"))
 
 
-def respond(merged: Column) -> tuple[Column, Column]:
+def respond(merged: Scores) -> tuple[Column, Column]:
     """Public and internal scores, rounded to four digits for display only."""
     show = lambda names: F.struct(*[F.bround(merged[x], 4).alias(x) for x in names])
     return show(T.PUBLIC), show(T.INTERNAL)

@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from .. import taxonomy as T
 from ..functions.labels import literal_list
-from ..functions.rules import gate
+from ..functions.rules import with_gate
 from ..functions.text import normalize
+from ..functions.windows import with_windows
 from ..operators import scoring as S
 
 def classify(df: DataFrame, heads: S.Scorer | None, models: dict[str, S.Scorer], text: str = "text", thresholds: dict | None = None, full_scan: bool = False,
@@ -22,34 +23,37 @@ def classify(df: DataFrame, heads: S.Scorer | None, models: dict[str, S.Scorer],
     """
     own = [c for c in df.columns if c != "labels"]
     d = normalize(df, text).withColumn("_given", F.col("model_text").isNotNull())
+    d = with_gate(d, "detection_text", text, "flags")
     d = d.withColumn("_heads", S.score_text(heads, F.col("detection_text")) if heads else F.array().cast(S.SCORES))
-    d = d.withColumn("_h", S.as_struct(F.col("_heads")))
+    d, h = S.with_scores(d, "_h_", F.col("_heads"))
     available = [m for m in models if m != "toxic" or toxic_fallback or full_scan]
-    d = d.withColumn("_route", S.select_models(F.col("_h"), F.col("detection_text"), available, thresholds, full_scan, toxic_fallback, fast_block))
+    route = S.select_models(h, F.col("detection_text"), available, thresholds, full_scan, toxic_fallback, fast_block)
+    d = d.withColumn("_models", route["models"]).withColumn("_why", route["reasons"]).withColumn("_fall", F.lit(False))
+    d = with_windows(d, "model_text", "_windows", full_scan, windowing)
     for m in S.MODELS:
         if m not in models:
             d = d.withColumn(f"_m_{m}", F.array().cast(S.WINDOWED))
             continue
-        runs = F.array_contains("_route.models", m)
+        runs = F.array_contains("_models", m)
         if m == "toxic" and not full_scan:
-            so_far = S.as_struct(*([F.col("_heads")] if merge_heads else []), *[F.col(f"_m_{x}") for x in S.MODELS if x != "toxic"])
-            d = d.withColumn("_far", so_far)
-            d = d.withColumn("_fall", F.lit(toxic_fallback) & S.needs_toxic_fallback(F.col("_far"), F.col("_h"), F.col("_route.models")))
+            d, far = S.with_scores(d, "_far_", *([F.col("_heads")] if merge_heads else []), *[F.col(f"_m_{x}") for x in S.MODELS if x != "toxic"])
+            d = d.withColumn("_fall", F.lit(toxic_fallback) & S.needs_toxic_fallback(far, h, F.col("_models")))
             runs = F.col("_fall")
-        d = S.run_model(d, "model_text", models[m], f"_m_{m}", runs & F.col("_given"), full_scan, windowing)
-    if "_fall" not in d.columns:
-        d = d.withColumn("_fall", F.lit(False))
+        d = S.run_model(d, "_windows", models[m], f"_m_{m}", runs & F.col("_given"))
     sources = ([F.col("_heads")] if merge_heads else []) + [F.col(f"_m_{m}") for m in S.MODELS]
-    d = d.withColumn("_merged", S.as_struct(*sources)).withColumn("_d", S.decide(F.col("_merged"), thresholds, F.col("_h") if heads else None))
-    ran = F.concat(F.col("_route.models"), F.when(F.col("_fall"), literal_list(["toxic"])).otherwise(literal_list([])))
-    said = F.concat("_route.reasons", *[S.window_reasons(F.col(f"_m_{m}"), thresholds) for m in S.MODELS if m in models], F.when(F.col("_fall"), literal_list(["toxic fallback on a medium abuse score"])).otherwise(literal_list([])), "_d.reasons")
-    public, internal = S.respond(F.col("_merged"))
-    given = lambda c: F.when(F.col("_given"), c)
-    return d.select(
-        *own, "model_text", "detection_text", "text_hash", "flags", given(gate(F.col("detection_text"), F.col(text), F.col("flags"))).alias("gate"), given(F.col("_d.decision")).alias("decision"),
-        given(F.col("_d.risk_level")).alias("risk_level"), given(F.col("_d.labels")).alias("labels"), given(said).alias("reasons"), given(public).alias("scores"), given(internal).alias("internal_scores"),
-        given(F.concat(literal_list(["heads"] if heads else []), ran)).alias("triggered"), given(F.array_except(literal_list(list(models)), ran)).alias("skipped"),
+    d, merged = S.with_scores(d, "_to_", *sources)
+    made = S.decide(merged, thresholds, h if heads else None)
+    ran = F.concat("_models", F.when(F.col("_fall"), literal_list(["toxic"])).otherwise(literal_list([])))
+    said = F.concat("_why", *[S.window_reasons(F.col(f"_m_{m}"), thresholds) for m in S.MODELS if m in models], F.when(F.col("_fall"), literal_list(["toxic fallback on a medium abuse score"])).otherwise(literal_list([])), made["reasons"])
+    public, internal = S.respond(merged)
+    made = F.struct(
+        made["decision"].alias("decision"), made["risk_level"].alias("risk_level"), made["labels"].alias("labels"), said.alias("reasons"), public.alias("scores"), internal.alias("internal_scores"),
+        F.concat(literal_list(["heads"] if heads else []), ran).alias("triggered"), F.array_except(literal_list(list(models)), ran).alias("skipped"),
     )
+    # A filter on the results must not be copied down through every step as one huge
+    # expression; Catalyst stops at a generator, here one of a single row.
+    d = d.select(*own, "model_text", "detection_text", "text_hash", "flags", "gate", F.explode(F.array(F.when(F.col("_given"), made))).alias("_made"))
+    return d.select(*own, "model_text", "detection_text", "text_hash", "flags", "gate", "_made.*")
 
 
 def stand_ins(toxic: bool = False) -> tuple[S.Scorer, dict[str, S.Scorer]]:

@@ -306,7 +306,7 @@ def gate_families(spark, d):
 @query
 def gate(spark, d):
     n = X.normalize(table(spark, d, "documents").select("doc_id", "text")).filter("model_text is not null")
-    return n.select("doc_id", rules.gate(F.col("detection_text"), F.col("text"), F.col("flags")).alias("g")).select("doc_id", "g.*")
+    return rules.with_gate(n, "detection_text", "text", "flags", "g").select("doc_id", "g.*")
 
 
 @query
@@ -322,13 +322,15 @@ def weak_labels(spark, d):
 
 @query
 def text_windows(spark, d):
-    w = table(spark, d, "documents").filter("text is not null").select("doc_id", F.explode(windows.build_windows(X.collapse(F.col("text")), full_scan=True)).alias("w"))
+    t = table(spark, d, "documents").filter("text is not null").select("doc_id", X.collapse(F.col("text")).alias("text"))
+    w = windows.with_windows(t, "text", full_scan=True).select("doc_id", F.explode("windows").alias("w"))
     return w.select("doc_id", F.col("w.name").alias("name"), F.md5("w.text").alias("text_hash"))
 
 
 @query
 def window_merge(spark, d):
-    w = table(spark, d, "documents").filter("text is not null").select("doc_id", F.explode(windows.build_windows(X.collapse(F.col("text")))).alias("w")).select("doc_id", "w.name", "w.pos", F.concat("doc_id", F.lit("/"), "w.name").alias("k"))
+    t = table(spark, d, "documents").filter("text is not null").select("doc_id", X.collapse(F.col("text")).alias("text"))
+    w = windows.with_windows(t, "text").select("doc_id", F.explode("windows").alias("w")).select("doc_id", "w.name", "w.pos", F.concat("doc_id", F.lit("/"), "w.name").alias("k"))
     scored = w.withColumn("scores", F.array(*[F.struct(F.lit(x).alias("label"), S.hash_score(F.col("k"), x).alias("score")) for x in T.PUBLIC]))
     return S.merge_windows(scored, "doc_id")
 

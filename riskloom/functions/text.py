@@ -36,6 +36,11 @@ def collapse(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, SPACE, " "))
 
 
+def strip(text: Column) -> Column:
+    """White space of any kind removed at both ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x{1C}-\x{1F}]+|[\s\x{1C}-\x{1F}]+$", "")
+
+
 def is_blank(text: Column) -> Column:
     return text.isNull() | (collapse(text) == "")
 

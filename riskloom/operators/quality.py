@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import taxonomy as T
 from ..functions.labels import coarse_labels, literal_list
-from ..functions.text import collapse
+from ..functions.text import collapse, strip
 
 
 def first_reason(cases: list[tuple[str, Column]]) -> Column:
@@ -27,13 +27,13 @@ def no_labels(labels: Column) -> Column:
 
 def check_record(text: Column, labels: Column, shortest: int = 3, longest: int = 20_000) -> Column:
     """non_string_text, too_short, too_long, missing_labels; lengths without outer blanks."""
-    n = F.length(F.trim(text))
+    n = F.length(strip(text))
     return first_reason([("non_string_text", text.isNull()), ("too_short", n < shortest), ("too_long", n > longest), ("missing_labels", no_labels(labels))])
 
 
 def quality_reason(text: Column, labels: Column, shortest: int = 10, longest: int = 2000) -> Column:
     """empty_text, too_short, too_long, no_labels, only_unknown, mixed_safe_risk."""
-    t = F.trim(F.coalesce(text, F.lit("")))
+    t = strip(F.coalesce(text, F.lit("")))
     return first_reason([
         ("empty_text", t == ""), ("too_short", F.length(t) < shortest), ("too_long", F.length(t) > longest), ("no_labels", no_labels(labels)),
         ("only_unknown", labels == literal_list([T.UNKNOWN])), ("mixed_safe_risk", F.array_contains(labels, T.SAFE) & F.arrays_overlap(labels, literal_list(T.RISK))),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import taxonomy as T
+from ..functions.text import strip
 from .balance import first_n, top_by
 
 # Error-report buckets (from, name), highest first.
@@ -38,7 +39,7 @@ def record_checks(df: DataFrame) -> DataFrame:
     """Records, empty texts, missing labels and entries of ``unknown``."""
     unknown = F.coalesce(F.size(F.filter("labels", lambda x: x == T.UNKNOWN)), F.lit(0))
     return df.agg(
-        F.count(F.lit(1)).alias("records"), F.count_if(F.coalesce(F.trim("text"), F.lit("")) == "").alias("empty_text"),
+        F.count(F.lit(1)).alias("records"), F.count_if(F.coalesce(strip(F.col("text")), F.lit("")) == "").alias("empty_text"),
         F.count_if(F.col("labels").isNull() | (F.size("labels") == 0)).alias("missing_labels"), F.sum(F.when(unknown > 0, unknown).otherwise(0)).alias("unknown_entries"),
     )
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import map_labels
-from ..functions.text import normalize
+from ..functions.text import normalize, strip
 from ..operators.dedup import merged_labels, stable_split, union_duplicates
 from ..operators.quality import check_record
 from ..sources.adapters import adapt
@@ -55,7 +55,7 @@ def load_source(spark: SparkSession, name: str, kind: str, load: Callable[[], Da
     try:
         df = load()
         rec = adapt(df, kind, name)
-        kept = rec.filter(F.trim("text") != "")
+        kept = rec.filter(strip(F.col("text")) != "")
         n = rec.count()
         kept.write.mode("overwrite").json(f"{out}/{name}")
         written = spark.read.json(f"{out}/{name}").count() if n else 0

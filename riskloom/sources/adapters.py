@@ -17,6 +17,7 @@ from pyspark.sql import types as ty
 from .. import taxonomy as T
 from ..functions.labels import literal_list
 from ..functions.rules import weak_labels
+from ..functions.text import strip
 from .scan import TEXT_KEYS
 
 
@@ -33,12 +34,12 @@ def _string(df: DataFrame, name: str) -> Column:
 def first_text(df: DataFrame, *before: str) -> Column:
     """The first column with a text that is not blank; ``before`` are tried first."""
     cols = [c for c in [*before, *TEXT_KEYS] if c in df.columns and isinstance(df.schema[c].dataType, ty.StringType)]
-    return F.coalesce(*[F.when(F.trim(F.col(f"`{c}`")) != "", F.col(f"`{c}`")) for c in cols]) if cols else F.lit(None).cast("string")
+    return F.coalesce(*[F.when(strip(F.col(f"`{c}`")) != "", F.col(f"`{c}`")) for c in cols]) if cols else F.lit(None).cast("string")
 
 
 def _out(df: DataFrame, source: str, text: Column, labels: Column) -> DataFrame:
     """Rows with text and labels; null labels drop a row."""
-    return df.select(text.alias("text"), labels.alias("labels"), F.lit(source).alias("source")).filter((F.trim("text") != "") & F.col("labels").isNotNull())
+    return df.select(text.alias("text"), labels.alias("labels"), F.lit(source).alias("source")).filter((strip(F.col("text")) != "") & F.col("labels").isNotNull())
 
 
 def _one(label: str | Column) -> Column:
@@ -205,7 +206,7 @@ def generic(df: DataFrame, source: str) -> DataFrame:
     single = _string(df, "label")
     base = F.when(single.isNotNull(), _one(single)).otherwise(literal_list([T.SAFE]))
     if "labels" in df.columns:
-        many = F.col("labels") if isinstance(df.schema["labels"].dataType, ty.ArrayType) else F.filter(F.transform(F.split("labels", ","), F.trim), lambda x: x != "")
+        many = F.col("labels") if isinstance(df.schema["labels"].dataType, ty.ArrayType) else F.filter(F.transform(F.split("labels", ","), lambda x: strip(x)), lambda x: x != "")
         base = F.coalesce(many.cast("array<string>"), base)
     return _out(df, source, first_text(df), base)
 

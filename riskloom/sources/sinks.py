@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import coarse_labels, literal_list
-from ..functions.text import collapse
+from ..functions.text import collapse, strip
 
 
 def write_jsonl(df: DataFrame, path: str, text: str = "text") -> tuple[int, int]:
@@ -17,7 +17,7 @@ def write_jsonl(df: DataFrame, path: str, text: str = "text") -> tuple[int, int]
     from pyspark.sql import Observation
 
     seen = Observation()
-    blank = F.trim(F.coalesce(text, F.lit(""))) == ""
+    blank = strip(F.coalesce(F.col(text), F.lit(""))) == ""
     df.observe(seen, F.count_if(~blank).alias("written"), F.count_if(blank).alias("skipped")).filter(~blank).write.mode("overwrite").json(path)
     return seen.get["written"], seen.get["skipped"]
 

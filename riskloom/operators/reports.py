@@ -49,14 +49,14 @@ def percentiles(df: DataFrame, value: str, by: list[str] | None = None, ps: dict
 
     Values are counted first, so that what is ordered is the distinct values with
     running counts.  Suits columns with few distinct values next to rows (lengths,
-    rounded latencies); nulls are left out.
+    rounded latencies); nulls are left out.  An empty table gives n = 0 and nulls.
     """
     by, ps = by or [], ps or {"p50": 0.50, "p95": 0.95, "p99": 0.99}
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
     up = Window.partitionBy(*by).orderBy(value)
     run = counts.withColumn("_to", F.sum("_n").over(up)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
     at = [F.min(F.when(F.col("_to") > F.floor(F.lit(p) * (F.col("_all") - 1)), F.col(value))).alias(name) for name, p in ps.items()]
-    return run.groupBy(*by).agg(F.sum("_n").alias("n"), (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"), *at)
+    return run.groupBy(*by).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"), *at)
 
 
 def length_stats(df: DataFrame, text: str = "text", by: list[str] | None = None) -> DataFrame:

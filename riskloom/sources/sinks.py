@@ -13,13 +13,15 @@ from ..functions.text import collapse, strip
 
 
 def write_jsonl(df: DataFrame, path: str, text: str = "text") -> tuple[int, int]:
-    """Write the rows with text as JSON lines; (written, skipped), counted in the same pass."""
-    from pyspark.sql import Observation
+    """Write the rows with text as JSON lines; (written, skipped) by one pruned aggregate.
 
-    seen = Observation()
+    (An ``Observation`` would save that pass, but leaves the session unusable for
+    functions of ML models, which serialize it.)
+    """
     blank = strip(F.coalesce(F.col(text), F.lit(""))) == ""
-    df.observe(seen, F.count_if(~blank).alias("written"), F.count_if(blank).alias("skipped")).filter(~blank).write.mode("overwrite").json(path)
-    return seen.get["written"], seen.get["skipped"]
+    df.filter(~blank).write.mode("overwrite").json(path)
+    n = df.agg(F.count_if(~blank).alias("written"), F.count_if(blank).alias("skipped")).first()
+    return n["written"], n["skipped"]
 
 
 def write_splits(df: DataFrame, path: str, kind: str = "parquet") -> None:

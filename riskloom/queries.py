@@ -19,6 +19,7 @@ from .operators import quality as Q
 from .operators import reports as R
 from .operators import scoring as S
 from .plans.classify import classify, stand_ins
+from .plans.parallel import spread
 from .plans.prepare import process
 from .sources import adapters as A
 from .sources import scan, sinks
@@ -66,7 +67,7 @@ def normalize_core(spark, d):
 
 @query
 def normalize_text(spark, d):
-    n = X.normalize(table(spark, d, "documents").select("doc_id", "text"))
+    n = X.normalize(spread(table(spark, d, "documents").select("doc_id", "text")))
     return n.select("doc_id", "model_text", "detection_text", "text_hash", "flags")
 
 
@@ -300,12 +301,12 @@ def class_weights(spark, d):
 def gate_families(spark, d):
     t = F.lower("text")
     hits = [F.coalesce(t.rlike(rules.family_regex(p)), F.lit(False)).alias(n) for n, _, _, p in T.RULES]
-    return table(spark, d, "documents").select("doc_id", *hits).filter(" or ".join(n for n, *_ in T.RULES))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", *hits).filter(" or ".join(n for n, *_ in T.RULES))
 
 
 @query
 def gate(spark, d):
-    n = X.normalize(table(spark, d, "documents").select("doc_id", "text")).filter("model_text is not null")
+    n = X.normalize(spread(table(spark, d, "documents").select("doc_id", "text"))).filter("model_text is not null")
     return rules.with_gate(n, "detection_text", "text", "flags", "g").select("doc_id", "g.*")
 
 
@@ -367,14 +368,14 @@ def category_scores(spark, d):
 @query
 def classify_documents(spark, d):
     heads, models = stand_ins(toxic=True)
-    c = classify(table(spark, d, "documents").select("doc_id", "text"), heads, models, toxic_fallback=True)
+    c = classify(spread(table(spark, d, "documents").select("doc_id", "text")), heads, models, toxic_fallback=True)
     return c.select("doc_id", "decision", "risk_level", "labels", "reasons", "scores", "internal_scores", "triggered", "skipped", F.col("gate.reasons").alias("gate_reasons"))
 
 
 @query
 def classify_candidate(spark, d):
     heads, models = stand_ins(toxic=True)
-    c = classify(table(spark, d, "documents").select("doc_id", "text"), heads, models, merge_heads=False, windowing=False)
+    c = classify(spread(table(spark, d, "documents").select("doc_id", "text")), heads, models, merge_heads=False, windowing=False)
     return c.select("doc_id", "decision", "risk_level", "labels", "triggered")
 
 

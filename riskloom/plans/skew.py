@@ -69,3 +69,10 @@ def semi_join_checked(rows: DataFrame, keys: DataFrame, on: list[str], most: int
     """
     few = keys.count() <= most
     return rows.join(F.broadcast(keys) if few else keys, on, "left_semi")
+
+
+def join_checked(rows: DataFrame, heads: DataFrame, keys: list[str], count: str, total: int, how: str = "inner", most: int = 400_000) -> DataFrame:
+    """Join many ``rows`` to one staged head a key: broadcast while the heads are counted to be few, else ``join_heads``."""
+    if heads.count() <= most:
+        return rows.join(F.broadcast(heads), keys, how)
+    return join_heads(rows, heads, keys, count, total, how)

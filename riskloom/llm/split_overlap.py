@@ -20,8 +20,8 @@ any size of the corpus.  The whole record is a chunk too.
 
 Each posting carries the record's length and a 64-bit map of its words; maps that
 differ in more bits than the threshold allows words rule a pair out at the join.
-Records with one word set are one class on either side, and copies are dropped
-behind the exchange by digest, before the join.
+Records with one word set are one class on either side: only the first of a class
+sends chunks, and found pairs of classes are given their members at the end.
 
 Defined results: null text and text without letter or digit match nothing; other
 columns are ignored; an empty table gives an empty result.
@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.skew import join_heads, semi_join_checked
+from ..plans.skew import join_checked, semi_join_checked
 from ..plans.staging import stage
 from . import wordsets
 from .common import WORD, word_list
@@ -48,67 +48,74 @@ BLOCK = 4096
 
 
 def chunk_rows(sets: DataFrame, freq: Frequencies, num: int, den: int) -> DataFrame:
-    """(key, cls, n, bits): the chunk digests of each record."""
+    """(key, id, n, bits): the chunk digests of each record (id, cls, tokens)."""
     shared = sets.sparkSession.sparkContext.broadcast((freq.words, freq.counts, freq.records))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = Frequencies(*shared.value)
         for batch in batches:
-            b = wordsets.ordered(batch.column("cls"), batch.column("tokens"), f)
+            b = wordsets.ordered(batch.column("id"), batch.column("tokens"), f)
             s1, s2 = wordsets.signatures(b)
             bits, sizes = s1 ^ s2, b.sizes.astype(np.int32)  # the fold of the two maps
-            whole = np.arange(len(b.ids))
-            for key, idx in [(mix(b.ids), whole), *((k, i) for k, i, _ in region_keys(b, f, num, den))]:
+            whole = batch.column("cls").to_numpy(zero_copy_only=False)
+            for key, idx in [(mix(whole), np.arange(len(b.ids))), *((k, i) for k, i, _ in region_keys(b, f, num, den))]:
                 if len(key):
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(b.ids[idx]), pa.array(sizes[idx]), pa.array(bits[idx])], names=["key", "cls", "n", "bits"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(b.ids[idx]), pa.array(sizes[idx]), pa.array(bits[idx])], names=["key", "id", "n", "bits"])
 
-    return sets.select("cls", "tokens").mapInArrow(run, "key long, cls long, n int, bits long")
+    return sets.select("id", "cls", "tokens").mapInArrow(run, "key long, id long, n int, bits long")
+
+
+CLASS = ["train", "cls", "h2"]
 
 
 def overlaps(evaluation: DataFrame, training: DataFrame, id_col: str = "rec_id", text_col: str = "text", num: int = 3, den: int = 4) -> DataFrame:
     """(split, source, id, train_id, shared_chunks, common, either) of every pair of word share >= num / den.
 
     ``evaluation`` has a column ``split``; ``source`` is that of the evaluation
-    record.  Words are compared by 64-bit hashes.
+    record.  Ids are unique on either side.  Words are compared by 64-bit hashes.
     """
     src = F.col("source") if "source" in evaluation.columns else F.lit(None).cast("string")
-    e = evaluation.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), "split", src.alias("source"), F.lit(False).alias("train"))
-    t = training.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit("train").alias("split"), F.lit(None).cast("string").alias("source"), F.lit(True).alias("train"))
+    e = evaluation.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), "split", src.alias("source"), F.lit(False).alias("train"))
+    t = training.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit("train").alias("split"), F.lit(None).cast("string").alias("source"), F.lit(True).alias("train"))
     tokens = F.array_sort(F.transform(word_list("text"), lambda w: F.xxhash64(w)))
     recs = e.unionByName(t).filter(F.col("text").rlike(WORD)).withColumn("tokens", tokens)
-    recs = stage(recs.select("train", "split", "source", "id", F.xxhash64("tokens").alias("cls"), "tokens"), "p5-records")
+    recs = stage(recs.select("split", "source", "id", "train", F.xxhash64("tokens").alias("cls"), F.xxhash64(F.lit(1), "tokens").alias("h2"), "tokens"), "p5-records")
     freq = wordsets.frequencies(recs)
-    # one exchange by digest for each side: copies of a class are dropped behind it, where the join is
-    sides = [chunk_rows(recs.filter(F.col("train") == is_train), freq, num, den).repartition("key").distinct() for is_train in (False, True)]
+    copies = stage(recs.groupBy(*CLASS).agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "p5-copies")
+    firsts = join_checked(recs, copies, CLASS, "rows", freq.records, "left").filter("first is null or first = id")
+    firsts = firsts.select(*CLASS, "id", F.coalesce("rows", F.lit(1)).alias("rows"), "tokens")
+    sides = [chunk_rows(firsts.filter(F.col("train") == is_train), freq, num, den) for is_train in (False, True)]
     e, t = sides[0].alias("e"), sides[1].alias("t")
     words = F.col("e.n") + F.col("t.n")
     most = words - 2 * F.ceil(words * F.lit(num) / F.lit(num + den))  # largest difference at the least overlap
     near = (F.col("e.key") == F.col("t.key")) & (F.bit_count(F.col("e.bits").bitwiseXOR(F.col("t.bits"))) <= most)
-    met = e.join(t, near).groupBy(F.col("e.cls").alias("cls_e"), F.col("t.cls").alias("cls_t")).agg(F.count(F.lit(1)).alias("shared_chunks"))
-    return _verified(recs, stage(met, "p5-met"), num, den)
+    met = e.join(t, near).groupBy(F.col("e.id").alias("id_e"), F.col("t.id").alias("id_t")).agg(F.count(F.lit(1)).alias("shared_chunks"))
+    return _verified(recs, firsts, stage(met, "p5-met"), freq.records, num, den)
 
 
-def _verified(recs: DataFrame, met: DataFrame, num: int, den: int) -> DataFrame:
-    """Check the met classes on their words and give their records as pairs."""
-    wanted = met.select(F.lit(False).alias("train"), F.col("cls_e").alias("cls")).unionByName(met.select(F.lit(True).alias("train"), F.col("cls_t").alias("cls"))).distinct()
-    cand = stage(semi_join_checked(recs, stage(wanted, "p5-wanted"), ["train", "cls"]).withColumn("h2", F.xxhash64(F.lit(1), "tokens")), "p5-candidates")
-    reps = stage(cand.groupBy("train", "cls", "h2").agg(F.first("tokens").alias("tokens"), F.count(F.lit(1)).alias("rows")), "p5-classes")
+def _verified(recs: DataFrame, firsts: DataFrame, met: DataFrame, total: int, num: int, den: int) -> DataFrame:
+    """Check the pairs of classes that met on their words and give their records as pairs."""
+    wanted = met.select(F.lit(False).alias("train"), F.col("id_e").alias("id")).unionByName(met.select(F.lit(True).alias("train"), F.col("id_t").alias("id"))).distinct()
+    cand = stage(semi_join_checked(firsts, stage(wanted, "p5-wanted"), ["train", "id"]), "p5-candidates")
     blocks = F.ceil(F.col("rows") / BLOCK).cast("int")
 
     def side(train: bool, tag: str) -> DataFrame:
-        return reps.filter(F.col("train") == train).select(F.col("cls").alias(f"cls_{tag}"), F.col("h2").alias(f"h2_{tag}"), F.col("tokens").alias(f"tokens_{tag}"), blocks.alias(f"blocks_{tag}"))
+        return cand.filter(F.col("train") == train).select(*[F.col(c).alias(f"{c}_{tag}") for c in ("id", "cls", "h2", "rows", "tokens")], blocks.alias(f"blocks_{tag}"))
 
-    ok = met.join(side(False, "e"), "cls_e").join(side(True, "t"), "cls_t").withColumn("common", F.size(F.array_intersect("tokens_e", "tokens_t")))
+    ok = met.join(side(False, "e"), "id_e").join(side(True, "t"), "id_t").withColumn("common", F.size(F.array_intersect("tokens_e", "tokens_t")))
     ok = ok.withColumn("either", F.size("tokens_e") + F.size("tokens_t") - F.col("common")).filter(F.col("common") * den >= F.col("either") * num)
-    ok = ok.withColumn("block_e", F.explode(F.sequence(F.lit(0), F.col("blocks_e") - 1))).withColumn("block_t", F.explode(F.sequence(F.lit(0), F.col("blocks_t") - 1)))
-    ok = ok.select("cls_e", "h2_e", "block_e", "cls_t", "h2_t", "block_t", "shared_chunks", "common", "either")
+    ok = stage(ok.drop("tokens_e", "tokens_t"), "p5-pairs")
+
+    def of(train: bool, tag: str) -> DataFrame:
+        return ok.select(F.lit(train).alias("train"), *[F.col(f"{c}_{tag}").alias(c) for c in ("cls", "h2", "rows")])
 
-    total = cand.count()
-    members = join_heads(cand.drop("tokens"), reps.select("train", "cls", "h2", "rows"), ["train", "cls", "h2"], "rows", total)
-    members = members.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    classes = stage(of(False, "e").unionByName(of(True, "t")).distinct(), "p5-classes")
+    members = join_checked(recs.drop("tokens"), classes, CLASS, "rows", total).withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    # a pair of large classes is made block by block
+    split = ok.withColumn("block_e", F.explode(F.sequence(F.lit(0), F.col("blocks_e") - 1))).withColumn("block_t", F.explode(F.sequence(F.lit(0), F.col("blocks_t") - 1)))
     me = members.filter(~F.col("train")).select("split", "source", "id", F.col("cls").alias("cls_e"), F.col("h2").alias("h2_e"), F.col("block").alias("block_e"))
     mt = members.filter("train").select(F.col("id").alias("train_id"), F.col("cls").alias("cls_t"), F.col("h2").alias("h2_t"), F.col("block").alias("block_t"))
-    out = ok.join(me, ["cls_e", "h2_e", "block_e"]).join(mt, ["cls_t", "h2_t", "block_t"])
+    out = split.join(me, ["cls_e", "h2_e", "block_e"]).join(mt, ["cls_t", "h2_t", "block_t"])
     return out.select("split", "source", "id", "train_id", "shared_chunks", "common", "either")
 
 

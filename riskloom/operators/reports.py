@@ -161,3 +161,21 @@ def benchmark_verdict(f1: Column) -> Column:
 def stage_latency(df: DataFrame, stage: str = "stage", ms: str = "ms") -> DataFrame:
     """Latency percentiles of each stage in microsecond steps."""
     return percentiles(df.withColumn("_v", F.round(F.col(ms), 3)), "_v", [stage])
+
+
+def weak_labels(metrics: DataFrame, least: float = 0.6) -> DataFrame:
+    """Labels with support whose F1 is under ``least``, weakest first by place."""
+    weak = metrics.filter((F.col("support") > 0) & (F.col("f1") < least))
+    return weak.withColumn("place", F.row_number().over(Window.orderBy("f1", "label"))).select("label", "f1", "place")  # one row a label
+
+
+def fastest_mode(latency: DataFrame, prefix: str = "routed") -> DataFrame:
+    """The mode (stage, avg) of least average latency among those that start with ``prefix``."""
+    return latency.filter(F.startswith("stage", F.lit(prefix))).agg(F.min_by("stage", F.struct("avg", "stage")).alias("mode"))
+
+
+def final_report(components: dict[str, str | None]) -> tuple[str, list[tuple[str, str]]]:
+    """Overall status and a row for each component; a component without status was not run and is a warning."""
+    rows = [(name, status or "NOT-RUN") for name, status in components.items()]
+    rank = {"PASS": 0, "NOT-RUN": 1, "WARN": 1, "FAIL": 2}
+    return STATUSES[max((rank[s] for _, s in rows), default=0)], rows

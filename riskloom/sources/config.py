@@ -89,3 +89,16 @@ def load_runtime(path: str) -> RuntimeConfig:
     got = read_yaml(path)
     names = RuntimeConfig.__dataclass_fields__
     return RuntimeConfig(**{k: tuple(v) if isinstance(v, list) else v for k, v in got.items() if k in names})
+
+
+# Kinds of model artefacts, the preferred ones first.
+MODEL_KINDS = ["finetuned", "int8", "onnx", "local", "hub"]
+
+
+def model_source(places: dict[str, str | None]) -> tuple[str, str] | None:
+    """(kind, place) of the preferred artefact that is there; a hub name needs no file."""
+    for kind in MODEL_KINDS:
+        place = places.get(kind)
+        if place and (kind == "hub" or os.path.exists(place)):
+            return kind, place
+    return None

@@ -217,3 +217,11 @@ def test_load_all(spark, tmp_path):
 def test_labels_overlap_is_null_safe(spark):
     df = spark.createDataFrame([(None,), (["hate"],), ([None],)], "labels array<string>")
     assert df.filter(F.coalesce(F.arrays_overlap("labels", literal_list(T.RISK)), F.lit(False))).count() == 1
+
+
+def test_final_report(spark):
+    assert R.final_report({"data": "PASS", "heads": None})[0] == "WARN" and R.final_report({"a": "PASS", "b": "FAIL"})[0] == "FAIL" and R.final_report({})[0] == "PASS"
+    m = spark.createDataFrame([("a", 0.5, 3), ("b", 0.2, 3), ("c", 0.1, 0), ("d", 0.9, 2)], "label string, f1 double, support int")
+    assert [(r.label, r.place) for r in R.weak_labels(m).orderBy("place").collect()] == [("b", 1), ("a", 2)]
+    t = spark.createDataFrame([("routed_a", 3.0), ("routed_b", 2.0), ("heads", 1.0)], "stage string, avg double")
+    assert R.fastest_mode(t).first().mode == "routed_b"

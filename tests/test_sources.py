@@ -111,3 +111,9 @@ def test_heads(spark):
 def test_library_does_not_need_the_subpackage():
     root = Path(queries.__file__).parent
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and ("riskloom.llm" in p.read_text() or "from .llm" in p.read_text() or "from ..llm" in p.read_text())]
+
+
+def test_model_source(tmp_path):
+    (tmp_path / "m.onnx").write_text("")
+    assert config.model_source({"int8": str(tmp_path / "none"), "onnx": str(tmp_path / "m.onnx"), "hub": "org/m"}) == ("onnx", str(tmp_path / "m.onnx"))
+    assert config.model_source({"hub": "org/m"}) == ("hub", "org/m") and config.model_source({}) is None

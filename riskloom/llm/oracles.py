@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .lookalikes import INVISIBLE, MULTIPLE, SINGLE
+
 _CATEGORY = """
 cats AS (
   SELECT coalesce(a.label, 'unknown') AS label
@@ -41,6 +43,14 @@ def _words(table: str, ident: str, name: str, extra: str = "") -> str:
 """
 
 
+def _look(c: str) -> str:
+    out = f"regexp_replace({c}, '{INVISIBLE}', '', 'g')"
+    for ch, plain in MULTIPLE.items():
+        out = f"replace({out}, '{ch}', '{plain}')"
+    a, b = ("".join(x).replace("'", "''") for x in (SINGLE, SINGLE.values()))
+    return f"nfc_normalize(translate({out}, '{a}', '{b}'))"
+
+
 def oracle_sql() -> dict[str, str]:
     p5 = " UNION ALL ".join(
         f"""SELECT '{split}' AS split, least(a.id, b.id) AS rec_id_a, greatest(a.id, b.id) AS rec_id_b
@@ -58,5 +68,7 @@ def oracle_sql() -> dict[str, str]:
         "p4_found": f"""WITH {_words("test", "row_id", "t")}
             SELECT a.id AS row_id_a, b.id AS row_id_b FROM t_w a JOIN t_w b ON a.word = b.word AND a.id < b.id
             GROUP BY a.id, b.id, a.n, b.n HAVING 10 * count(*) >= 7 * (a.n + b.n - count(*))""",
+        "p6_found": "WITH v AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, norm_id, {f} AS raw, {_look(f)} AS look FROM normalized_text WHERE {f} IS NOT NULL" for f in ("original_text", "detection_text")) + """)
+            SELECT a.field, a.norm_id AS norm_id_a, b.norm_id AS norm_id_b FROM v a JOIN v b ON a.field = b.field AND a.look = b.look AND a.norm_id < b.norm_id AND a.raw <> b.raw""",
         "p5_found": f"WITH {_words('all_val', 'rec_id', 'val')}, {_words('all_test', 'rec_id', 'test')}, {_words('all_train', 'rec_id', 'train')} {p5}",
     }

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: A key is hot when it holds more than this fraction of all rows.  At most
 #: ``1 / HOT_SHARE`` keys can be hot, which bounds what is broadcast.
 HOT_SHARE = 0.001
+#: A table is sent to every executor up to this size.
+SENT_BYTES = 4 << 20
 
 
 def join_heads(rows: DataFrame, heads: DataFrame, keys: list[str], count: str, total: int, how: str = "inner") -> DataFrame:
@@ -61,18 +63,43 @@ def hash63(*cols: str | Column, seed: int = 42) -> Column:
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 1)
 
 
-def semi_join_checked(rows: DataFrame, keys: DataFrame, on: list[str], most: int = 400_000) -> DataFrame:
-    """Rows whose key is among ``keys`` (distinct, staged); wide rows stay in place while the keys are few.
+def fits(heads: DataFrame, most: int = SENT_BYTES) -> bool:
+    """Whether a (staged) table may be broadcast: its rows are counted, its bytes measured.
 
-    The number of keys is counted: up to ``most`` they are broadcast, beyond that the
-    join is an ordinary shuffled one.
+    Fixed-width columns take 8 bytes and a row 16 more; the bytes of other columns are summed up.
     """
-    few = keys.count() <= most
-    return rows.join(F.broadcast(keys) if few else keys, on, "left_semi")
+    wide = [c for c, kind in heads.dtypes if kind in ("string", "binary")]
+    if any(kind.startswith(("array", "map", "struct")) for _, kind in heads.dtypes):
+        return False
+    size = F.lit(16 + 8 * len(heads.columns))
+    for c in wide:
+        size = size + F.coalesce(F.octet_length(c), F.lit(0))
+    return (heads.agg(F.sum(size.cast("long"))).first()[0] or 0) <= most
 
 
-def join_checked(rows: DataFrame, heads: DataFrame, keys: list[str], count: str, total: int, how: str = "inner", most: int = 400_000) -> DataFrame:
-    """Join many ``rows`` to one staged head a key: broadcast while the heads are counted to be few, else ``join_heads``."""
-    if heads.count() <= most:
+def semi_join_checked(rows: DataFrame, keys: DataFrame, on: list[str]) -> DataFrame:
+    """Rows whose key is among ``keys`` (distinct, staged); wide rows stay in place while the keys are few."""
+    return rows.join(F.broadcast(keys) if fits(keys) else keys, on, "left_semi")
+
+
+def _hot_total(heads: DataFrame, count: str) -> int:
+    return heads.agg(F.coalesce(F.sum(count), F.lit(0))).first()[0]
+
+
+def join_checked(rows: DataFrame, heads: DataFrame, keys: list[str], count: str, total: int | None = None, how: str = "inner") -> DataFrame:
+    """Join many ``rows`` to one staged head a key: broadcast while the heads are measured to be small, else ``join_heads``.
+
+    ``total``: rows of all keys; if not given, those of the heads.
+    """
+    if fits(heads):
         return rows.join(F.broadcast(heads), keys, how)
-    return join_heads(rows, heads, keys, count, total, how)
+    return join_heads(rows, heads, keys, count, _hot_total(heads, count) if total is None else total, how)
+
+
+def anti_join_checked(rows: DataFrame, heads: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """Rows whose key has no head; ``heads`` as in ``join_checked``.  Rows of hot keys go before anything is shuffled."""
+    own = heads.select(*keys)
+    if fits(own):
+        return rows.join(F.broadcast(own), keys, "left_anti")
+    hot = heads.filter(F.col(count) > max(1.0, _hot_total(heads, count) * HOT_SHARE)).select(*keys)
+    return rows.join(F.broadcast(hot), keys, "left_anti").join(own, keys, "left_anti")

@@ -2,8 +2,11 @@
 
 A staged table survives the loss of an executor: its files are in the shared
 checkpoint folder, not on one machine.  The folder is ``spark.checkpoint.dir``
-of the session; only where that is unset (unit tests) a temporary folder of
-this machine is used.
+of the session, or the one given to ``setCheckpointDir``.  Only a session whose
+master is local may go without one and then uses a temporary folder; on a
+cluster a missing setting is an error.
+
+Staged tables are deleted when the process ends, or at the end of a ``scope``.
 """
 
 from __future__ import annotations
@@ -11,18 +14,28 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: dict[str, str] = {}
+_SCOPES: list[list[str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder for staged tables of this application."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    sc = spark.sparkContext
+    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not base:
+        given = sc._jsc.sc().getCheckpointDir()
+        base = given.get() if given.isDefined() else None
     if not base:
+        master = sc.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(f"spark.checkpoint.dir is not set: executors of {master} need a shared folder for staged tables")
         base = _LOCAL.setdefault("base", "file://" + tempfile.mkdtemp(prefix="riskloom-"))
-    return f"{base.rstrip('/')}/riskloom-{spark.sparkContext.applicationId}"
+    return f"{base.rstrip('/')}/riskloom-{sc.applicationId}"
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -46,10 +59,23 @@ def _cleanup_at_exit(spark: SparkSession) -> None:
     atexit.register(clean)
 
 
+@contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Delete the tables staged inside when the block ends: for long sessions, once a result is written."""
+    _SCOPES.append([])
+    try:
+        yield
+    finally:
+        for path in _SCOPES.pop():
+            _delete(spark, path)
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back (lineage is cut)."""
     spark = df.sparkSession
     _cleanup_at_exit(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    if _SCOPES:
+        _SCOPES[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -1,30 +1,14 @@
 """Problem 4: group records whose texts share most of their words, exactly.
 
-Jaccard metric-space join over word sets, in three steps.
+Not the method named.  Pivots drawn from the documents, with Voronoi regions and
+triangle-inequality windows, cannot work on these texts: the distance to the nearest
+pivot is almost as large as to any other, so that the window sends every document to
+nearly every region (figures in the README).  Instead the word sets are joined by a
+prefix filter whose regions are divided recursively by one more word (``setjoin``,
+where the proof is); the survivors are verified on the words.  The result is exact.
 
-Pivots and regions.  A pivot is a word set K, and the region of K holds the
-records that contain K.  Records fall into the regions of their rarest words
-first (a Voronoi cell of single-word pivots whose ties go to the rarest word);
-the region of a frequent word is not joined but divided recursively by pivots of
-two and three words, until it is expected to be small.
-
-Windows.  For a threshold t a record x of n words can only match records sharing
-at least ceil(t n) of them.  Under the distance |x delta y| the words of x ahead of
-a shared word and not shared are already part of the distance, so by the triangle
-inequality the first shared word is among the first n - ceil(t n) + 1, the second
-among the first n - ceil(t n) + 2, and so on: x is replicated to the regions in
-that window and to no other.  Two records of distance within the threshold always
-meet: follow their shared words in order, and take the first region on that path
-that is joined.
-
-Join.  Within a region pairs are kept when the sum of their skipped words, their
-lengths, and the bits in which their 128-bit word maps differ (a 1-Lipschitz image
-of the distance) allow the threshold; the survivors are verified on the words.
-
-Records with the same word set are one class and are joined once.  Hot regions are
-split into blocks, and every pair of blocks is a task of its own.
-
-(Pivots drawn from the documents themselves were measured first: see README.)
+Records with the same word set are one class and are joined once; their copies come
+back at the end, large classes in blocks.
 
 Defined results: null text and text without letter or digit match nothing; other
 columns are ignored; an empty table gives empty results.
@@ -32,203 +16,111 @@ columns are ignored; an empty table gives empty results.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import combinations
-
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.skew import join_heads, pairs_within
+from ..plans.skew import join_checked, join_heads
 from ..plans.staging import stage
-from . import wordsets
 from .common import WORD, word_list
-from .wordsets import Frequencies, mix
+from .setjoin import LEFT, REGION, RIGHT, Share, candidates, expanded, tokens_of, verified, with_rows
 
-#: A region expected to hold more records than this is divided further.
-REGION = 128
-#: A region holding more records than this is joined in blocks of this size.
-BLOCK = 2048
-#: Records of more words than this have regions of the second kind.
-LONG = 150
-LONG_RARE = 4096
-_CELLS = 1 << 21
-_REGION_SCHEMA = "key long, cid long, n int, skipped int, s1 long, s2 long"
+_HASHES = ["h1", "h2"]
 
 
-def classes(rows: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """Members (id, cid) and classes (cid, words, size): records with one word set.
+def classes(rows: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Records (id, h1, h2, tokens), classes (cid, role, tokens) and those with copies (h1, h2, cid, role, rows).
 
-    ``cid`` is the least id of the class.
+    ``cid`` is the least id of the class, ``rows`` the number of its records.
     """
     sets = rows.filter(F.col(text_col).rlike(WORD)).select(F.col(id_col).alias("id"), F.array_sort(word_list(text_col)).alias("words"))
-    keyed = sets.withColumn("h1", F.xxhash64("words")).withColumn("h2", F.xxhash64(F.lit(1), "words"))
-    heads = keyed.groupBy("h1", "h2").agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("size"), F.first("words").alias("words"))
-    heads = stage(heads, "p4-classes")
-    total = heads.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
-    members = join_heads(keyed.select("id", "h1", "h2"), heads.select("h1", "h2", "cid", "size"), ["h1", "h2"], "size", total)
-    return stage(members.select("id", "cid"), "p4-members"), heads.select("cid", "words", "size")
-
+    recs = stage(sets.select("id", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), tokens_of(F.col("words")).alias("tokens")), "p4-records")
+    both = F.lit(LEFT | RIGHT).alias("role")
+    copies = stage(recs.groupBy(*_HASHES).agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").withColumn("role", both), "p4-copies")
+    heads = join_checked(recs, copies.drop("role"), _HASHES, "rows", how="left").filter("cid is null or cid = id")
+    return recs, heads.select(F.col("id").alias("cid"), both, "tokens"), copies
 
-def _combos(width: int, k: int) -> np.ndarray:
-    return np.array(list(combinations(range(width), k)), dtype=np.int64).reshape(-1, k)
 
+def similar_classes(rows: DataFrame, heads: DataFrame, id_col: str, text_col: str, num: int = 7, den: int = 10, region: int = REGION) -> DataFrame:
+    """(cid_l, cid_r, common, either), cid_l < cid_r: classes of word share >= num / den."""
+    share = Share(num, den)
+    met = stage(candidates(heads, share, region), "p4-met")
+    texts = rows.select(F.col(id_col).alias("cid"), F.lit(LEFT | RIGHT).alias("role"), F.col(text_col).alias("text"))
+    return stage(verified(met, texts, share, two=False), "p4-similar")
 
-Keys = Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]
 
-
-def region_keys(b: wordsets.Batch, freq: Frequencies, num: int, den: int, region: int = REGION) -> Keys:
-    """(key, index of record, words skipped) for every region each record is sent to.
-
-    Records of more than LONG words have windows too wide for three-word pivots;
-    they, and every record that can be a partner of one, also have regions of a
-    second kind, in which a word is rare up to LONG_RARE records and pivots have at
-    most two words.  Two records of at most LONG words meet in the first kind, any
-    other two in the second.
-    """
-    n = b.sizes
-    window = n - (num * n + den - 1) // den + 1  # first shared word
-    owner = np.repeat(np.arange(len(n)), n)
-    place = np.arange(len(b.tokens)) - np.repeat(b.starts, n)
-    for kind, member, limit in ((0, n <= LONG, 0), (1, n * den > LONG * num, LONG_RARE)):
-        if not member.any():
-            continue
-        is_rare = b.counts <= limit
-        rare = np.add.reduceat(is_rare.astype(np.int64), b.starts)
-        single = is_rare & np.repeat(member, n) & (place < np.repeat(window, n))
-        yield mix(b.tokens[single]) ^ kind, owner[single], place[single]
-        todo = np.flatnonzero(member & (rare < window))
-        if kind:
-            yield from _wide(b, todo, rare, window)
-        else:
-            yield from _narrow(b, freq, todo, rare, window, region)
-
-
-def _narrow(b: wordsets.Batch, freq: Frequencies, todo: np.ndarray, rare: np.ndarray, window: np.ndarray, region: int) -> Keys:
-    """Regions of two frequent words, and of three where two are expected to hold too many."""
-    n = b.sizes
-    reach = np.minimum(window + 2, n) - rare  # frequent words up to the third shared one
-    for width in np.unique(reach[todo]):
-        pairs, triples = _combos(int(width), 2), _combos(int(width), 3)
-        of_pair = {tuple(p): i for i, p in enumerate(pairs.tolist())}
-        parent = np.array([of_pair[(i, j)] for i, j, _ in triples.tolist()], dtype=np.int64)
-        same = todo[reach[todo] == width]
-        step = max(1, _CELLS // max(1, len(pairs) + len(triples)))
-        for at in range(0, len(same), step):
-            idx = same[at : at + step]
-            where = b.starts[idx, None] + rare[idx, None] + np.arange(width)
-            tok, cnt = b.tokens[where], b.counts[where].astype(np.float64)
-            first = (window - rare)[idx, None]
-            second = np.minimum(window + 1, n)[idx, None] - rare[idx, None]
-            i, j = pairs[:, 0], pairs[:, 1]
-            expected = cnt[:, i] * cnt[:, j] / max(freq.records, 1)
-            allowed = (i < first) & (j < second)
-            hot = allowed & (expected > region)
-            r, c = np.nonzero(allowed & ~hot)
-            yield mix(tok[r, i[c]], tok[r, j[c]]), idx[r], rare[idx[r]] + j[c] - 1
-            if len(triples) and hot.any():
-                r, c = np.nonzero(hot[:, parent])
-                t = triples[c]
-                yield mix(tok[r, t[:, 0]], tok[r, t[:, 1]], tok[r, t[:, 2]]), idx[r], rare[idx[r]] + t[:, 2] - 2
-
-
-def _wide(b: wordsets.Batch, todo: np.ndarray, rare: np.ndarray, window: np.ndarray) -> Keys:
-    """Regions of two frequent words of long records, a record at a time and in pieces."""
-    for x in todo.tolist():
-        first, second = int(window[x] - rare[x]), int(min(window[x] + 1, b.sizes[x]) - rare[x])
-        tok = b.tokens[b.starts[x] + rare[x] : b.starts[x] + rare[x] + second]
-        step = max(1, _CELLS // max(1, second))
-        for at in range(0, first, step):
-            i, j = np.meshgrid(np.arange(at, min(at + step, first)), np.arange(second), indexing="ij")
-            later = j > i
-            i, j = i[later], j[later]
-            yield mix(tok[i], tok[j]) ^ 1, np.full(len(i), x), rare[x] + j - 1
-
-
-def regions(sets: DataFrame, freq: Frequencies, num: int, den: int) -> DataFrame:
-    """One row for each class and region it belongs to; ``sets``: (cid, tokens)."""
-    shared = sets.sparkSession.sparkContext.broadcast((freq.words, freq.counts, freq.records))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        f = Frequencies(*shared.value)
-        for batch in batches:
-            b = wordsets.ordered(batch.column("cid"), batch.column("tokens"), f)
-            s1, s2 = wordsets.signatures(b)
-            for key, idx, skipped in region_keys(b, f, num, den):
-                if len(key):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(key), pa.array(b.ids[idx]), pa.array(b.sizes[idx].astype(np.int32)), pa.array(skipped.astype(np.int32)), pa.array(s1[idx]), pa.array(s2[idx])],
-                        names=["key", "cid", "n", "skipped", "s1", "s2"],
-                    )
-
-    return sets.select("cid", "tokens").mapInArrow(run, _REGION_SCHEMA)
-
-
-def similar_classes(heads: DataFrame, num: int = 7, den: int = 10) -> DataFrame:
-    """(cid_a, cid_b, common, either), cid_a < cid_b: classes of word share >= num / den."""
-    sets = heads.select("cid", F.transform("words", lambda w: F.xxhash64(w)).alias("tokens"))
-    freq = wordsets.frequencies(sets)
-    placed = stage(regions(sets, freq, num, den), "p4-regions")
-    met = pairs_within(placed, "key", "cid", BLOCK)
-    both_n = F.col("n_a") + F.col("n_b")
-    most = both_n - 2 * F.ceil(both_n * F.lit(num) / F.lit(num + den))  # largest difference at the least overlap
-    bits = F.bit_count(F.col("s1_a").bitwiseXOR(F.col("s1_b"))) + F.bit_count(F.col("s2_a").bitwiseXOR(F.col("s2_b")))
-    pairs = met.filter((bits <= most) & (F.col("skipped_a") + F.col("skipped_b") <= most)).select("cid_a", "cid_b").distinct()
-    x = heads.select(F.col("cid").alias("cid_a"), F.col("words").alias("wa"))
-    y = heads.select(F.col("cid").alias("cid_b"), F.col("words").alias("wb"))
-    both = pairs.join(x, "cid_a").join(y, "cid_b").withColumn("common", F.size(F.array_intersect("wa", "wb")))
-    both = both.withColumn("either", F.size("wa") + F.size("wb") - F.col("common"))
-    return both.filter(F.col("common") * den >= F.col("either") * num).select("cid_a", "cid_b", "common", "either")
-
-
-def pairs(rows: DataFrame, id_col: str = "row_id", text_col: str = "text", num: int = 7, den: int = 10) -> DataFrame:
+def pairs(rows: DataFrame, id_col: str = "row_id", text_col: str = "text", num: int = 7, den: int = 10, region: int = REGION) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair of records of word share >= num / den.
 
     This is the expanded form, with the copies of a class as pairs; ``linked``
     has one row per record instead.
     """
-    members, heads = classes(rows, id_col, text_col)
-    sim = similar_classes(heads, num, den).select("cid_a", "cid_b")
-    twin = heads.filter("size > 1").select(F.col("cid").alias("cid_a"), F.col("cid").alias("cid_b"))
-    all_pairs = sim.unionByName(twin)
-    a, b = members.select(F.col("cid").alias("cid_a"), F.col("id").alias("x")), members.select(F.col("cid").alias("cid_b"), F.col("id").alias("y"))
-    j = all_pairs.join(a, "cid_a").join(b, "cid_b").filter((F.col("cid_a") != F.col("cid_b")) | (F.col("x") < F.col("y")))
-    return j.select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
-
-
-def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    recs, heads, copies = classes(rows, id_col, text_col)
+    sim = with_rows(similar_classes(rows, heads, id_col, text_col, num, den, region).select("cid_l", "cid_r"), copies, two=False)
+    twin = copies.select(F.col("cid").alias("cid_l"), F.col("cid").alias("cid_r"), F.col("rows").alias("rows_l"), F.col("rows").alias("rows_r"))
+    every = stage(sim.unionByName(twin), "p4-pairs")
+    # records of classes with copies by their class, all others are their own class
+    several = join_checked(recs.select("id", *_HASHES), copies.drop("role"), _HASHES, "rows").select("id", "cid", "rows")
+    ends = F.explode(F.array(*[F.struct(F.col(f"cid_{t}").alias("id"), F.col(f"rows_{t}").alias("rows")) for t in "lr"]))
+    lone = every.select(ends.alias("e")).select("e.*").filter("rows = 1").distinct()
+    members = stage(several.unionByName(lone.select("id", F.col("id").alias("cid"), "rows")), "p4-members")
+    l, r = (members.select(*[F.col(c).alias(f"{c}_{t}") for c in ("id", "cid", "rows")]) for t in "lr")
+    j = expanded(every, l, r).filter((F.col("cid_l") != F.col("cid_r")) | (F.col("id_l") < F.col("id_r")))
+    return j.select(F.least("id_l", "id_r").alias("id_a"), F.greatest("id_l", "id_r").alias("id_b"))
+
+
+def _spread_min(both: DataFrame, labels: DataFrame) -> DataFrame:
+    """(cid, near): the least label among the neighbours; the label of a hub travels to its edges combined by block."""
+    far = labels.select(F.col("cid").alias("cid_b"), "group")
+    return both.join(far, "cid_b").groupBy(F.col("cid_a").alias("cid")).agg(F.min("group").alias("near"))
+
+
+def components(nodes: DataFrame, edges: DataFrame, hub: int = 4096) -> DataFrame:
     """(cid, group): least cid that can be reached over the edges (cid_a, cid_b).
 
     Min-label propagation with a jump to the label's label in each round; rounds
     grow with the logarithm of the longest chain.  Only linked classes take part.
+    A class with more than ``hub`` links stands as one copy for every ``hub`` of them,
+    tied together by links of their own, so no join key has more.
     """
-    both = stage(edges.select("cid_a", "cid_b").unionByName(edges.select(F.col("cid_b").alias("cid_a"), F.col("cid_a").alias("cid_b"))), "p4-edges")
+    both = edges.select("cid_a", "cid_b").unionByName(edges.select(F.col("cid_b").alias("cid_a"), F.col("cid_a").alias("cid_b")))
+    degree = stage(both.groupBy("cid_a").agg(F.count(F.lit(1)).alias("links")).filter(F.col("links") > hub), "p4-hubs")
+    both = both.withColumn("part_a", F.lit(0)).withColumn("part_b", F.lit(0))
+    if not degree.isEmpty():
+        for side, other in (("a", "b"), ("b", "a")):
+            d = degree.select(F.col("cid_a").alias(f"cid_{side}"), "links")
+            part = F.coalesce(F.pmod(F.xxhash64(f"cid_{other}"), F.ceil(F.col("links") / hub)).cast("int"), F.lit(0))
+            both = join_checked(both, d, [f"cid_{side}"], "links", how="left").withColumn(f"part_{side}", part).drop("links")
+        ring = degree.select(F.col("cid_a"), F.col("cid_a").alias("cid_b"), F.explode(F.sequence(F.lit(1), F.ceil(F.col("links") / hub).cast("int") - 1)).alias("part_a"))
+        ring = ring.withColumn("part_b", F.floor(F.col("part_a") / 2).cast("int"))  # a tree over the copies
+        both = both.unionByName(ring).unionByName(ring.select("cid_a", "cid_b", F.col("part_b").alias("part_a"), F.col("part_a").alias("part_b")))
+    both = stage(both.select(F.struct("cid_a", "part_a").alias("cid_a"), F.struct(F.col("cid_b").alias("cid_a"), F.col("part_b").alias("part_a")).alias("cid_b")), "p4-edges")
     labels = stage(both.groupBy("cid_a").agg(F.least(F.min("cid_b"), F.first("cid_a")).alias("group")).withColumnRenamed("cid_a", "cid"), "p4-labels")
     while True:
-        near = both.join(labels, F.col("cid_b") == F.col("cid")).groupBy("cid_a").agg(F.min("group").alias("near"))
-        low = labels.join(near, F.col("cid") == F.col("cid_a")).select("cid", F.col("group").alias("old"), F.least("group", "near").alias("group"))
+        low = labels.join(_spread_min(both, labels), "cid").select("cid", F.col("group").alias("old"), F.least("group", "near").alias("group"))
         jump = labels.select(F.col("cid").alias("group"), F.col("group").alias("further"))
         new = stage(low.join(jump, "group", "left").select("cid", "old", F.least("group", F.coalesce("further", "group")).alias("group")), "p4-labels")
         if new.filter("group <> old").isEmpty():
             break
         labels = new.select("cid", "group")
-    return nodes.join(new.select("cid", "group"), "cid", "left").withColumn("group", F.coalesce("group", "cid"))
+    found = new.filter("cid.part_a = 0").select("cid.cid_a", F.col("group.cid_a").alias("group")).withColumnRenamed("cid_a", "cid")
+    return nodes.join(found, "cid", "left").withColumn("group", F.coalesce("group", "cid"))
 
 
-def linked(rows: DataFrame, id_col: str = "row_id", text_col: str = "text", num: int = 7, den: int = 10) -> DataFrame:
+def linked(rows: DataFrame, id_col: str = "row_id", text_col: str = "text", num: int = 7, den: int = 10, region: int = REGION) -> DataFrame:
     """(id, class_id, group_id, links): one row per record with letters or digits.
 
     ``class_id`` is the least id with the same words, ``group_id`` the least id
     that is reached over links, ``links`` the number of other records of word
     share >= num / den.
     """
-    members, heads = classes(rows, id_col, text_col)
-    sizes = heads.select("cid", "size")
-    sim = stage(similar_classes(heads, num, den).select("cid_a", "cid_b"), "p4-similar")
-    ends = sim.unionByName(sim.select(F.col("cid_b").alias("cid_a"), F.col("cid_a").alias("cid_b")))
-    degree = ends.join(sizes.withColumnRenamed("cid", "cid_b"), "cid_b").groupBy(F.col("cid_a").alias("cid")).agg(F.sum("size").alias("_far"))
-    info = components(sizes, sim).join(degree, "cid", "left")
-    info = info.select("cid", "size", F.col("group"), (F.col("size") - 1 + F.coalesce("_far", F.lit(0))).alias("links"))
-    total = members.count()
-    return join_heads(members, info, ["cid"], "size", total).select("id", F.col("cid").alias("class_id"), F.col("group").alias("group_id"), F.col("links").cast("long").alias("links"))
+    recs, heads, copies = classes(rows, id_col, text_col)
+    sim = stage(with_rows(similar_classes(rows, heads, id_col, text_col, num, den, region), copies, two=False), "p4-pairs")
+    ends = sim.select(F.col("cid_l").alias("cid"), F.col("rows_r").alias("far")).unionByName(sim.select(F.col("cid_r").alias("cid"), F.col("rows_l").alias("far")))
+    degree = ends.groupBy("cid").agg(F.sum("far").alias("far"))  # combined before the exchange
+    info = components(degree, sim.select(F.col("cid_l").alias("cid_a"), F.col("cid_r").alias("cid_b")))
+    info = stage(info.select("cid", "group", "far"), "p4-info")
+    named = join_checked(recs.select("id", *_HASHES), copies.drop("role"), _HASHES, "rows", how="left").select("id", F.coalesce("cid", "id").alias("cid"), F.coalesce("rows", F.lit(1)).alias("rows"))
+    sized = info.join(copies.select("cid", "rows"), "cid", "left").withColumn("rows", F.coalesce("rows", F.lit(1)))
+    out = join_heads(named.withColumnRenamed("rows", "own"), sized, ["cid"], "rows", max(1, recs.count()), how="left")
+    links = F.col("own") - 1 + F.coalesce("far", F.lit(0))
+    return out.select("id", F.col("cid").alias("class_id"), F.coalesce("group", "cid").alias("group_id"), links.cast("long").alias("links"))

@@ -9,44 +9,12 @@ import numpy as np
 import pyarrow as pa
 import pytest
 import regex
+from fixtures import TEXTS, rows, similar, some_texts, words
 from pyspark.sql import functions as F
 
-from riskloom.llm import encoding, format_duplicates, lookalikes, near_duplicates, packing, source_mixing, split_overlap, subjects, target_sampling, wordsets
+from riskloom.llm import encoding, format_duplicates, lookalikes, packing, source_mixing, subjects, target_sampling
 from riskloom.llm.lexicon import Lexicon, build
 
-WORDS = regex.compile(r"[\p{L}\p{N}]+")
-TEXTS = "rec_id long, text string, source string, labels array<string>, _h string, id string, key string, cls string"
-
-
-def words(t):
-    return frozenset(WORDS.findall(t.lower())) if t else frozenset()
-
-
-def rows(texts):
-    """Records with columns whose names clash with internal ones."""
-    return [(i + 1, t, "Src ::aug" if i % 2 else " src", ["safe"], "x", "y", "z", "c") for i, t in enumerate(texts)]
-
-
-def some_texts(n=60, seed=5):
-    rng = random.Random(seed)
-    vocabulary = [f"w{i}" for i in range(120)] + ["the", "a", "and", "of"]
-    out = [None, "", "--- ***", "one", "one", "ONE!", "two words", "words two"]
-    for _ in range(n):
-        base = [rng.choice(vocabulary) for _ in range(rng.randint(5, 30))]
-        out.append(" ".join(base))
-        for _ in range(2):
-            edit = base[:]
-            for _ in range(rng.randint(0, 4)):
-                edit[rng.randrange(len(edit))] = rng.choice(vocabulary)
-            rng.shuffle(edit)
-            out.append(", ".join(edit).title())
-    out += [out[-1]] * 5 + [" ".join(f"long{i}" for i in range(3000)), " ".join(f"long{i}" for i in range(5, 3005))]
-    return out
-
-
-def similar(a, b, num, den):
-    return bool(a and b) and len(a & b) * den >= num * len(a | b)
-
 
 # problem 1 -------------------------------------------------------------------
 
@@ -144,65 +112,6 @@ def test_source_mixing_by_size(spark):
 # problems 4 and 5 ------------------------------------------------------------
 
 
-def test_near_duplicates(spark, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "BLOCK", 8)
-    monkeypatch.setattr(wordsets, "RARE_UP_TO", 2)
-    texts = some_texts()
-    df = spark.createDataFrame(rows(texts), TEXTS)
-    sets = {i + 1: words(t) for i, t in enumerate(texts)}
-    want = {(a, b) for a, b in itertools.combinations(sets, 2) if similar(sets[a], sets[b], 7, 10)}
-    got = [tuple(r) for r in near_duplicates.pairs(df, "rec_id").collect()]
-    assert len(got) == len(set(got)) and set(got) == want
-    links = Counter(x for p in want for x in p)
-    linked = near_duplicates.linked(df, "rec_id").collect()
-    assert {r.id: r.links for r in linked} == {i: links[i] for i, s in sets.items() if s}
-    group = {r.id: r.group_id for r in linked}
-    assert all(group[a] == group[b] for a, b in want)
-    assert near_duplicates.pairs(df.limit(0), "rec_id").count() == 0 and near_duplicates.linked(df.limit(0), "rec_id").count() == 0
-
-
-@pytest.mark.parametrize("num,den,region,rare", [(7, 10, 0, 0), (7, 10, 4, 10), (3, 4, 0, 5), (4, 5, 2, 0)])
-def test_every_similar_pair_meets(num, den, region, rare, monkeypatch):
-    monkeypatch.setattr(near_duplicates, "LONG", 60)
-    monkeypatch.setattr(near_duplicates, "LONG_RARE", 3)
-    rng = np.random.default_rng(1)
-    sets = []
-    for n in (3, 5, 8, 20, 50, 70, 120):
-        for _ in range(6):
-            base = set(rng.choice(int(n * 1.5), n, replace=False).tolist())
-            sets.append(base)
-            for _ in range(3):
-                other = set(base)
-                for w in rng.choice(sorted(base), max(1, n // 8), replace=False).tolist():
-                    other.discard(w)
-                sets.append(other | set(rng.choice(int(n * 1.5), n // 10).tolist()))
-    values, counts = np.unique(np.concatenate([list(s) for s in sets]), return_counts=True)
-    freq = wordsets.Frequencies(values[counts > rare].astype(np.int64), counts[counts > rare].astype(np.int64), len(sets))
-    b = wordsets.ordered(pa.array(range(len(sets))), pa.array([list(s) for s in sets], pa.list_(pa.int64())), freq)
-    regions = defaultdict(set)
-    for key, idx, _ in near_duplicates.region_keys(b, freq, num, den, region):
-        for k, i in zip(key.tolist(), idx.tolist()):
-            regions[k].add(i)
-    met = {p for v in regions.values() for p in itertools.combinations(sorted(v), 2)}
-    assert {(i, j) for i, j in itertools.combinations(range(len(sets)), 2) if sets[i] != sets[j] and similar(sets[i], sets[j], num, den)} <= met
-
-
-def test_split_overlap(spark, monkeypatch):
-    monkeypatch.setattr(wordsets, "RARE_UP_TO", 2)
-    monkeypatch.setattr(split_overlap, "BLOCK", 3)
-    texts = some_texts(seed=9)
-    df = spark.createDataFrame(rows(texts), TEXTS)
-    ev, tr = df.filter("rec_id % 3 = 0").withColumn("split", F.lit("test")), df.filter("rec_id % 3 <> 0")
-    sets = {i + 1: words(t) for i, t in enumerate(texts)}
-    want = {("test", min(a, b), max(a, b)) for a in sets for b in sets if a % 3 == 0 and b % 3 and similar(sets[a], sets[b], 3, 4)}
-    pairs = split_overlap.overlaps(ev, tr)
-    got = [tuple(r) for r in split_overlap.found(pairs).collect()]
-    assert len(got) == len(set(got)) and set(got) == want
-    rep = split_overlap.report(pairs, ev).collect()
-    assert sum(r.overlapping for r in rep) == len({p for p in {a if a % 3 == 0 else b for _, a, b in want}}) and sum(r.records for r in rep) == ev.count()
-    assert split_overlap.overlaps(ev.limit(0), tr).count() == 0 and split_overlap.overlaps(ev, tr.limit(0)).count() == 0
-
-
 # problem 6 -------------------------------------------------------------------
 
 

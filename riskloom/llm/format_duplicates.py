@@ -10,8 +10,13 @@ when they share either digest; since a copy may share the one with a second and
 the other with a third record, a record's root is the least field digest among
 the records with its plain digest, closed over by propagation.
 
-After grouping by digest, every group is confirmed with a comparison of the whole
-canonical form: a digest that stands for more than one form is split by the form.
+After grouping by digest, every group is confirmed on the whole canonical forms.  Beside
+each digest goes a second one of the whole form by another function, from the same
+pass; only where one digest comes with two of these can it stand for more than one
+form.  Then the forms themselves are compared, and the digest is split by the form.
+
+Numbers in JSON are compared as they are written: 1.50 is the leaf 150, as in
+``price: 1.50``, and 1e5 is 1e5.
 
 Skew: counts and heads are aggregated map-side; the head of a hot group (more
 than a thousandth of all rows) is broadcast, so copies are never gathered.
@@ -32,7 +37,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.skew import join_heads
+from ..plans.skew import join_checked, join_heads, semi_join_checked
 from ..plans.staging import stage
 
 _NOT_WORD = regex.compile(r"[^\p{L}\p{N}]+")
@@ -40,6 +45,9 @@ _PIECE = regex.compile(r"[\r\n|;]+")
 _NAMED = regex.compile(r"\s*([\p{L}\p{N}_\-]+)\s*[:=](.*)", regex.S)
 
 
+_LITERAL = {None: "null", True: "true", False: "false"}
+
+
 def leaf(s: str) -> str:
     return _NOT_WORD.sub("", s).upper().lower()
 
@@ -69,7 +77,7 @@ def merkle(value: object) -> tuple[bytes, str]:
     if isinstance(value, list):
         nodes = [merkle(v) for v in value]
         return _digest("l", [d for d, _ in nodes]), "[" + ",".join(c for _, c in nodes) + "]"
-    text = leaf(value if isinstance(value, str) else json.dumps(value))
+    text = leaf(value if isinstance(value, str) else _LITERAL[value])
     return _digest("t", [text.encode("utf-8", "surrogatepass")]), text
 
 
@@ -78,7 +86,7 @@ def fields(text: str) -> _Pairs | None:
     s = text.strip()
     if s.startswith("{"):
         try:
-            got = json.loads(s, object_pairs_hook=_Pairs)
+            got = json.loads(s, object_pairs_hook=_Pairs, parse_float=str, parse_int=str, parse_constant=str)
         except (ValueError, RecursionError):
             got = None
         if isinstance(got, _Pairs):
@@ -99,19 +107,20 @@ def fields(text: str) -> _Pairs | None:
 
 def _trees(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
     for texts in batches:
-        digests, forms = [], []
+        digests, second, forms = [], [], []
         for t in texts:
             got = fields(t) if t else None
             d, c = merkle(got) if got else (None, None)
             digests.append(d.hex() if d else None)
+            second.append(int.from_bytes(hashlib.sha256(c.encode("utf-8", "surrogatepass")).digest()[:8], "big", signed=True) if d else None)
             forms.append(c)
-        yield pd.DataFrame({"digest": digests, "form": forms})
+        yield pd.DataFrame({"digest": digests, "second": pd.array(second, dtype="Int64"), "form": forms})
 
 
 def _tree(text: Column) -> Column:
-    """Struct (digest, form) of the field tree; texts that cannot have one stay in the JVM."""
+    """Struct (digest, second, form) of the field tree; texts that cannot have one stay in the JVM."""
     maybe = text.rlike(r"^\s*\{") | (text.rlike(r"^[\s|;]*[\p{L}\p{N}_-]+\s*[:=]") & text.rlike(r"[\r\n|;]"))
-    return F.pandas_udf(_trees, "digest string, form string")(F.when(maybe, text))
+    return F.pandas_udf(_trees, "digest string, second long, form string")(F.when(maybe, text))
 
 
 def plain_form(text: Column) -> Column:
@@ -119,10 +128,11 @@ def plain_form(text: Column) -> Column:
 
 
 def forms(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, plain, fdigest, fform) of every record with a letter or digit."""
+    """(id, plain, pdigest, psecond, fdigest, fsecond, fform) of every record with a letter or digit."""
     base = rows.select(F.col(id_col).alias("id"), F.col(text_col).alias("t")).filter("t is not null")
     base = base.withColumn("plain", plain_form(F.col("t"))).filter("plain <> ''").withColumn("tree", _tree(F.col("t")))
-    return base.select("id", "plain", F.col("tree.digest").alias("fdigest"), F.col("tree.form").alias("fform"))
+    second = F.xxhash64(F.lit(7), "plain")
+    return base.select("id", "plain", F.md5("plain").alias("pdigest"), second.alias("psecond"), F.col("tree.digest").alias("fdigest"), F.col("tree.second").alias("fsecond"), F.col("tree.form").alias("fform"))
 
 
 def _roots(digests: DataFrame) -> DataFrame:
@@ -140,54 +150,47 @@ def _roots(digests: DataFrame) -> DataFrame:
         labels = new
 
 
+def _colliding(digests: DataFrame, kind: str) -> DataFrame:
+    """Digests that come with more than one second digest."""
+    seen = digests.filter(f"{kind}digest is not null").groupBy(F.col(f"{kind}digest").alias("digest"))
+    return seen.agg(F.min(f"{kind}second").alias("_lo"), F.max(f"{kind}second").alias("_hi")).filter("_lo <> _hi").select(F.lit(kind).alias("kind"), "digest")
+
+
+def _confirmed(digests: DataFrame, rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Digests, with those that stand for several forms split by the form."""
+    split = stage(_colliding(digests, "p").unionByName(_colliding(digests, "f")), "p2-collisions")
+    if split.isEmpty():
+        return digests
+    for kind in "pf":
+        odd = split.filter(F.col("kind") == kind).select(F.col("digest").alias(f"{kind}digest"))
+        ids = stage(digests.join(odd, f"{kind}digest", "left_semi").select("id"), "p2-odd")
+        again = forms(semi_join_checked(rows.withColumn("id", F.col(id_col)), ids, ["id"]), id_col, text_col)
+        form = F.col("plain" if kind == "p" else "fform")
+        own = again.filter(form.isNotNull()).select("id", F.concat(f"{kind}digest", F.lit(":"), F.sha2(form, 256), F.length(form)).alias("_own"))
+        digests = stage(digests.join(own, "id", "left").withColumn(f"{kind}digest", F.coalesce("_own", f"{kind}digest")).drop("_own"), "p2-digests")
+    return digests
+
+
 def groups(rows: DataFrame, id_col: str = "rec_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Members (id, key) and heads (key, first_id, copies) of all groups, singletons included."""
-    digests = stage(
-        forms(rows, id_col, text_col).select("id", F.md5("plain").alias("pdigest"), "fdigest"), "p2-digests"
-    )
+    digests = stage(forms(rows, id_col, text_col).drop("plain", "fform"), "p2-digests")
+    digests = _confirmed(digests, rows, id_col, text_col).select("id", "pdigest", "fdigest")
     total = digests.count()
     roots = _roots(digests)
     sized = roots.join(digests.groupBy("pdigest").agg(F.count(F.lit(1)).alias("_n")), "pdigest")
     rooted = join_heads(digests, sized, ["pdigest"], "_n", total, how="left").select("id", F.coalesce("root", "pdigest").alias("key"))
     members = stage(rooted, "p2-members")
-    heads = members.groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
-    return members, heads
-
-
-def confirmed(rows: DataFrame, id_col: str = "rec_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """As ``groups``, with the whole canonical forms compared.
-
-    Within a group, records of one plain digest must have one plain form and
-    records of one field digest one field form.  The comparison is an aggregate
-    (least and greatest form of each digest), so no group is gathered; a digest
-    with two forms, a hash collision, gets a key for each form.
-    """
-    members, heads = groups(rows, id_col, text_col)
-    total = members.count()
-    many = heads.filter("copies > 1").select("key", F.col("copies").alias("_n"))
-    f = forms(rows, id_col, text_col)
-    # forms of grouped records only
-    grouped = f.join(join_heads(members, many, ["key"], "_n", total).select("id", "key"), "id")
-    form = F.coalesce("fform", "plain")
-    digest = F.coalesce(F.concat(F.lit("f"), F.col("fdigest")), F.concat(F.lit("p"), F.md5("plain")))
-    seen = grouped.select("id", "key", digest.alias("digest"), form.alias("form"))
-    split = seen.groupBy("digest").agg(F.min("form").alias("_lo"), F.max("form").alias("_hi")).filter("_lo <> _hi").select("digest")
-    if split.isEmpty():
-        return members, heads
-    odd = seen.join(split, "digest").select("id", F.concat("key", F.lit(":"), F.md5("form"), F.length("form")).alias("key"))
-    members = stage(members.join(odd.withColumnRenamed("key", "_own"), "id", "left").select("id", F.coalesce("_own", "key").alias("key")), "p2-members")
     return members, members.groupBy("key").agg(F.min("id").alias("first_id"), F.count(F.lit(1)).alias("copies"))
 
 
 def copies(rows: DataFrame, id_col: str = "rec_id", text_col: str = "text") -> DataFrame:
     """(first_id, copy_id): every record but the first of its group."""
-    members, heads = confirmed(rows, id_col, text_col)
-    total = members.count()
-    j = join_heads(members, heads.filter("copies > 1"), ["key"], "copies", total)
+    members, heads = groups(rows, id_col, text_col)
+    j = join_checked(members, stage(heads.filter("copies > 1"), "p2-heads"), ["key"], "copies")
     return j.filter("id <> first_id").select("first_id", F.col("id").alias("copy_id"))
 
 
 def collapsed(rows: DataFrame, id_col: str = "rec_id", text_col: str = "text") -> DataFrame:
     """(first_id, copies): one record for each group with the number of its copies."""
-    _, heads = confirmed(rows, id_col, text_col)
+    _, heads = groups(rows, id_col, text_col)
     return heads.select("first_id", F.col("copies").cast("long").alias("copies"))

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from .lookalikes import INVISIBLE, MULTIPLE, SINGLE
-
+# Fixed values, written down apart from those of the operator: letters that look alike in the test tables, spaces, ligatures.
+_FROM = "ıɑɡΟοόЅІЈАЕОРСХВКМНТУаеорсухѕіјһԁԛԝһѐёїӓӧհոսօµ"
+_TO = "iagOoóSIJAEOPCXBKMHTYaeopcyxsijhdqwhèëïäöhnuoμ"
+_BLANKS = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
+_LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 _CATEGORY = """
 cats AS (
   SELECT coalesce(a.label, 'unknown') AS label
@@ -33,6 +36,36 @@ p3 AS (
 """
 
 
+_NAME = "[\\p{L}\\p{N}_-]+\\s*[:=]"
+_LEAF = "lower(upper(regexp_replace({0}, '[^\\p{{L}}\\p{{N}}]+', '', 'g')))"
+#: Groups of problem 2: least id over records with equal plain forms and equal fields, until nothing changes any more.
+_SAME = f"""
+t AS (
+  SELECT rec_id, text, {_LEAF.format("text")} AS plain, text LIKE '{{%' AND json_valid(text) AS is_json FROM all_test
+  WHERE regexp_matches(text, '[\\p{{L}}\\p{{N}}]')
+),
+jsons AS (
+  SELECT t.rec_id, list_sort(list({_LEAF.format("j.key")} || '=' || {_LEAF.format("coalesce(json_extract_string(j.value, '$'), 'null')")})) AS fields
+  FROM t, json_each(CASE WHEN is_json THEN text ELSE '{{}}' END) j WHERE is_json GROUP BY t.rec_id HAVING count(*) > 1
+),
+cut AS (
+  SELECT rec_id, list_filter(string_split(regexp_replace(text, '(?:^|[\\r\\n|;]+)\\s*({_NAME})', chr(1) || '\\1', 'g'), chr(1)), lambda x: {_LEAF.format("x")} <> '' OR contains(x, ':') OR contains(x, '=')) AS pieces
+  FROM t WHERE NOT is_json AND regexp_matches(text, '^[\\s|;]*{_NAME}')
+),
+named AS (
+  SELECT rec_id, list_sort(list_transform(pieces, lambda x: {_LEAF.format("regexp_extract(x, '^([^:=]*)[:=]', 1)")} || '=' || {_LEAF.format("regexp_replace(x, '^[^:=]*[:=]', '')")})) AS fields
+  FROM cut WHERE len(pieces) > 1
+),
+f AS (SELECT * FROM jsons UNION ALL SELECT * FROM named),
+g0 AS (SELECT t.rec_id, t.plain, coalesce(array_to_string(f.fields, chr(2)), t.plain) AS fields FROM t LEFT JOIN f USING (rec_id)),
+g1 AS (SELECT *, min(rec_id) OVER (PARTITION BY plain) AS g FROM g0),
+g2 AS (SELECT rec_id, plain, fields, min(g) OVER (PARTITION BY fields) AS g FROM g1),
+g3 AS (SELECT rec_id, plain, fields, min(g) OVER (PARTITION BY plain) AS g FROM g2),
+g4 AS (SELECT rec_id, plain, fields, min(g) OVER (PARTITION BY fields) AS g FROM g3),
+g5 AS (SELECT rec_id, min(g) OVER (PARTITION BY plain) AS g FROM g4)
+"""
+
+
 def _words(table: str, ident: str, name: str, extra: str = "") -> str:
     return f"""
 {name} AS (
@@ -44,11 +77,13 @@ def _words(table: str, ident: str, name: str, extra: str = "") -> str:
 
 
 def _look(c: str) -> str:
-    out = f"regexp_replace({c}, '{INVISIBLE}', '', 'g')"
-    for ch, plain in MULTIPLE.items():
+    out = f"regexp_replace({c}, '[\\p{{Cf}}\\x00-\\x08\\x0e-\\x1f\\x7f-\\x9f\\x{{34f}}\\x{{fe00}}-\\x{{fe0f}}\\x{{e0000}}-\\x{{e0fff}}]', '', 'g')"
+    for ch, plain in _LIGATURES.items():
         out = f"replace({out}, '{ch}', '{plain}')"
-    a, b = ("".join(x).replace("'", "''") for x in (SINGLE, SINGLE.values()))
-    return f"nfc_normalize(translate({out}, '{a}', '{b}'))"
+    wide = range(0xFF01, 0xFF5F)
+    a = _FROM + "".join(map(chr, [*_BLANKS, *wide]))
+    b = _TO + " " * len(_BLANKS) + "".join(chr(x - 0xFEE0) for x in wide)
+    return f"nfc_normalize(translate({out}, '{a}', '{b.replace(chr(39), chr(39) * 2)}'))"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -60,6 +95,8 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p1_found": f"WITH {_CATEGORY} SELECT request_id, label FROM p1 WHERE available < wanted",
         "p1_report": f"WITH {_CATEGORY} SELECT request_id, label, available, wanted, least(available, wanted) AS drawn, greatest(0, wanted - available)::BIGINT AS short FROM p1",
+        "p2_found": f"WITH {_SAME} SELECT g AS first_id, rec_id AS copy_id FROM g5 WHERE rec_id <> g",
+        "p2_records": f"WITH {_SAME} SELECT g AS first_id, count(*)::BIGINT AS copies FROM g5 GROUP BY g",
         "p3_found": f"WITH {_MIX} SELECT mix_id, source FROM p3 WHERE held * max_repeats < wanted",
         "p3_report": f"""WITH {_MIX}, r AS (SELECT *, least(wanted, held * max_repeats)::BIGINT AS reached FROM p3)
             SELECT mix_id, source, target_pct, held, wanted, reached,
@@ -70,5 +107,7 @@ def oracle_sql() -> dict[str, str]:
             GROUP BY a.id, b.id, a.n, b.n HAVING 10 * count(*) >= 7 * (a.n + b.n - count(*))""",
         "p6_found": "WITH v AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, norm_id, {f} AS raw, {_look(f)} AS look FROM normalized_text WHERE {f} IS NOT NULL" for f in ("original_text", "detection_text")) + """)
             SELECT a.field, a.norm_id AS norm_id_a, b.norm_id AS norm_id_b FROM v a JOIN v b ON a.field = b.field AND a.look = b.look AND a.norm_id < b.norm_id AND a.raw <> b.raw""",
+        "p6_classes": "WITH v AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, norm_id, {_look(f)} AS look FROM normalized_text WHERE {f} IS NOT NULL" for f in ("original_text", "detection_text")) + """)
+            SELECT field, norm_id, least_id, members FROM (SELECT *, (min(norm_id) OVER w) AS least_id, (count(*) OVER w)::BIGINT AS members FROM v WINDOW w AS (PARTITION BY field, look))""",
         "p5_found": f"WITH {_words('all_val', 'rec_id', 'val')}, {_words('all_test', 'rec_id', 'test')}, {_words('all_train', 'rec_id', 'train')} {p5}",
     }

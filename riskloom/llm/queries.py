@@ -91,6 +91,13 @@ def p6_canonical(spark: SparkSession, d: str) -> DataFrame:
     return lookalikes.canonical(table(spark, d, "normalized_text"), ["original_text", "detection_text"]).withColumnRenamed("id", "norm_id")
 
 
+def p6_classes(spark: SparkSession, d: str) -> DataFrame:
+    """The class of every value as its least id: does not depend on which member is canonical."""
+    c = p6_canonical(spark, d)
+    least = c.groupBy("field", "canonical").agg(F.min("norm_id").alias("least_id"))
+    return c.join(least, ["field", "canonical"]).select("field", "norm_id", "least_id", "members")
+
+
 def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents"))
 
@@ -126,5 +133,5 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     fs = [p1_found, p1_report, p1_sample, p2_found, p2_records, p3_found, p3_report, p3_mix, p4_found, p4_groups, p5_found, p5_overlap, p5_report]
-    fs += [p6_found, p6_canonical, p7_ids, p8_containers, p8_report, p9_found, p9_composition]
+    fs += [p6_found, p6_canonical, p6_classes, p7_ids, p8_containers, p8_report, p9_found, p9_composition]
     return {f.__name__: f for f in fs}

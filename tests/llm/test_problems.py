@@ -56,6 +56,11 @@ SAME = [
     ['{"a": {"x": 1, "y": [1, 2]}, "b": null}', '{"b": null, "a": {"y": [1, 2], "x": 1}}'],
     ['{"a": {"x": 1, "y": [2, 1]}, "b": null}'],
     ['{"broken": '],
+    ['{"price": 1.50, "item": "pen"}', "price: 1.50 | item: pen", "item = PEN\nprice = 1.50"],
+    ['{"price": 1.5, "item": "pen"}', "price: 1.5 | item: pen"],
+    ['{"n": 1e5, "k": 123456789012345678901234567890}', "n: 1e5; k: 123456789012345678901234567890"],
+    ["n: 100000; k: 123456789012345678901234567890"],
+    ['{"n": NaN, "ok": true, "no": null}', "n: NaN | ok: TRUE | no: null"],
 ]
 
 
@@ -72,6 +77,13 @@ def test_format_duplicates(spark):
     assert collapsed == {(min(v), len(v)) for v in by.values()}
 
 
+def test_format_duplicates_with_colliding_digests(spark, monkeypatch):
+    monkeypatch.setattr(format_duplicates, "_digest", lambda kind, parts: b"0" * 16)
+    texts = ["a: 1 | b: 2", "b: 2; a: 1", "a: 3 | b: 4", '{"b": 4, "a": 3}', "a: 5 | b: 6", "plain"]
+    got = {tuple(r) for r in format_duplicates.copies(spark.createDataFrame(rows(texts), TEXTS)).collect()}
+    assert got == {(1, 2), (3, 4)}
+
+
 def test_format_duplicates_hot_and_empty(spark):
     texts = ["Same  text."] * 3000 + ["same, TEXT"] * 3 + [f"other {i}" for i in range(50)]
     got = format_duplicates.copies(spark.createDataFrame(rows(texts), TEXTS))

@@ -1,9 +1,8 @@
 """Caps, samples and augmentation.
 
 Random choices use the order of ``sha2(seed:hash)`` and are repeatable on any
-cluster.  Greedy caps whose labels do not depend on each other are window sums over
-hash-bucketed prefixes; the one greedy cap whose labels do (``any_label_cap``) folds
-over (order, label bits) only.
+cluster.  Greedy caps are running sums by budget (a two-level prefix, see
+``plans.prefix``).
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from pyspark.sql.window import Window
 
 from .. import taxonomy as T
 from ..functions.labels import head_labels, literal_list, literal_map
+from ..plans.prefix import with_running
 
 
 def resolve_cap(head: str, split: str, env: dict[str, str] | None = None) -> int:
@@ -38,23 +38,6 @@ def shuffled(hash_col: Column, seed: int = 13) -> Column:
     return F.sha2(F.concat(F.lit(f"{seed}:"), hash_col), 256)
 
 
-def running_before(df: DataFrame, partition: list[str], order: str, value: str, buckets: int = 256) -> DataFrame:
-    """Add ``before``: sum of ``value`` over earlier rows of the partition.
-
-    Two-level prefix: range buckets of the order are summed first (at most
-    partitions x buckets rows), so no partition is summed in one task.
-    """
-    bounds = df.agg(F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    width = (F.col("_hi") - F.col("_lo") + 1) / F.lit(float(buckets))
-    b = df.crossJoin(F.broadcast(bounds)).withColumn("_b", F.floor((F.col(order) - F.col("_lo")) / width)).drop("_lo", "_hi")  # one row
-    sums = b.groupBy(*partition, "_b").agg(F.sum(value).alias("_v"))
-    ahead = Window.partitionBy(*partition).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(*partition, "_b", F.coalesce(F.sum("_v").over(ahead), F.lit(0)).alias("_ahead"))
-    inner = Window.partitionBy(*partition, "_b").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    out = b.withColumn("_in", F.coalesce(F.sum(value).over(inner), F.lit(0))).join(sums, [*partition, "_b"])
-    return out.withColumn("before", F.col("_ahead") + F.col("_in")).drop("_b", "_in", "_ahead")
-
-
 def head_projection(df: DataFrame) -> DataFrame:
     """A row for each record and head with labels there: columns of ``df``, head, head_labels."""
     sources = F.col("sources") if "sources" in df.columns else None
@@ -74,38 +57,24 @@ def shared_budget_cap(projected: DataFrame, order: str, cap: Column, partition:
     budget = F.coalesce(F.try_element_at(literal_map(T.SHARED_BUDGET), F.col("label")), F.col("label"))
     one = one.withColumn("budget", budget)
     per_row = one.groupBy(*partition, "budget", order).agg(F.count(F.lit(1)).alias("_w"), F.first("_cap").alias("_cap"))
-    kept = running_before(per_row, [*partition, "budget"], order, "_w").filter((F.col("_cap") <= 0) | (F.col("before") < F.col("_cap")))
+    kept = with_running(per_row, [*partition, "budget"], order, {"_w": "before"}).filter((F.col("_cap") <= 0) | (F.col("before") < F.col("_cap")))
     return one.join(kept.select(*partition, "budget", order), [*partition, "budget", order]).select(*partition, order, "label")
 
 
 def any_label_cap(df: DataFrame, order: str, labels: str, names: list[str], cap: int, shared: dict[str, str] | None = None) -> DataFrame:
     """Rows kept while any of their labels is under its cap; a kept row counts for all its labels.
 
-    The budgets depend on each other, so the fold runs in order over (order, label
-    bits): sixteen bytes a row, in one streaming task, whole partitions never held.
+    As long as a budget is open every row that has it is kept, so what it has used
+    before a row is the number of its labels in all earlier rows, whatever the other
+    budgets do: a running sum for each budget, and no fold over the corpus.
     """
     shared = shared or {}
-    groups = sorted({shared.get(n, n) for n in names})
-    counts = [groups.index(shared.get(n, n)) for n in names]
-    bits = F.lit(0).cast("long")
-    for i, n in enumerate(names):
-        bits = bits + F.when(F.array_contains(labels, n), F.lit(1 << i)).otherwise(0)
-    narrow = df.select(F.col(order).alias("ord"), bits.alias("bits")).filter("bits > 0")
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        used = [0] * len(groups)
-        for pdf in batches:
-            kept = []
-            for o, b in zip(pdf["ord"], pdf["bits"]):
-                mine = [counts[i] for i in range(len(names)) if b >> i & 1]
-                if any(used[g] < cap for g in mine):
-                    kept.append(o)
-                    for g in mine:
-                        used[g] += 1
-            yield pd.DataFrame({"ord": kept}, dtype="int64")
-
-    kept = narrow.orderBy("ord").coalesce(1).mapInPandas(fold, "ord long")
-    return df.join(kept.withColumnRenamed("ord", order), order, "left_semi")
+    budget = F.create_map(*[F.lit(x) for n in names for x in (n, shared.get(n, n))])
+    mine = F.filter(F.array_distinct(F.col(labels)), lambda x: x.isin(names))
+    one = df.select(F.col(order).alias("_o"), F.explode(F.transform(mine, lambda x: F.element_at(budget, x))).alias("_g"))
+    per = one.groupBy("_g", "_o").agg(F.count(F.lit(1)).alias("_w"))
+    kept = with_running(per, ["_g"], "_o", {"_w": "_before"}).filter(F.col("_before") < cap).select(F.col("_o").alias(order)).distinct()
+    return df.join(kept, order, "left_semi")
 
 
 def top_by(df: DataFrame, partition: list[str], order: list[Column], most: int | Column) -> DataFrame:

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions.labels import without_safe
 
@@ -26,36 +25,31 @@ def named_split(split: Column, text_hash: Column, hashed_source: Column) -> Colu
     return F.when(hashed_source, stable_split(text_hash)).otherwise(official)
 
 
-def _ordered_union(lists: str) -> Column:
-    """Distinct entries of (ord, list) structs in arrival order."""
-    return F.array_distinct(F.flatten(F.transform(F.array_sort(lists), lambda x: x["v"])))
-
-
-def union_duplicates(df: DataFrame, key: str = "hash", order: str = "ord", keep: list[str] | None = None, unions: list[str] | None = None, salts: int = 16) -> DataFrame:
+def union_duplicates(df: DataFrame, key: str = "hash", order: str = "ord", keep: list[str] | None = None, unions: list[str] | None = None) -> DataFrame:
     """One row per key: the first row's columns ``keep``, the ordered unions of the lists ``unions``, and ``copies``.
 
-    Two-level aggregate: copies are first merged within (key, salt), where each list
-    entry is kept once with its first position, so a hot key reaches the last step as
-    at most ``salts`` rows of distinct entries.  Null keys are dropped.
+    One pass over the input: a row gives one entry for itself and one for each element
+    of its lists; entries are combined map-side by (key, list, element), which keeps
+    the first row, the number of rows and the first place of each element.  A hot key
+    therefore reaches the last step as its distinct elements.  Null keys are dropped.
     """
     keep, unions = keep or ["text", "source"], unions or ["labels", "raw_labels", "sources"]
-    base = df.filter(F.col(key).isNotNull()).withColumn("_s", F.pmod(F.xxhash64(order), F.lit(salts)))
-    one = base.groupBy(key, "_s").agg(
-        F.min_by(F.struct(*keep), F.col(order)).alias("_first"), F.min(order).alias("_ord"), F.count(F.lit(1)).alias("_n"),
-        *[F.min_by(F.col(u), F.col(order)).alias(f"_own_{u}") for u in unions],
-    )
-    parts = one.select(key, "_first", "_ord", "_n")
-    firsts = parts.groupBy(key).agg(F.min_by("_first", "_ord").alias("_first"), F.min("_ord").alias(order), F.sum("_n").alias("copies"))
-    out = firsts
-    for u in unions:
-        entries = base.select(key, "_s", F.col(order).alias("_o"), F.posexplode(F.array_distinct(F.coalesce(F.col(u), F.array().cast("array<string>")))).alias("_p", "_e"))
-        once = entries.groupBy(key, "_e").agg(F.min(F.struct("_o", "_p")).alias("_at"))
-        lists = once.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_at", "_e"))), lambda x: x["_e"]).alias(u))  # distinct entries of a vocabulary
-        out = out.join(lists, key, "left")
-    cols = [F.col(f"_first.{k}").alias(k) for k in keep]
-    empty = F.array().cast("array<string>")
-    lists = [F.coalesce(F.col(u), empty).alias(u) for u in unions]
-    return out.select(key, order, *cols, *lists, F.col("copies").cast("long").alias("copies"))
+    first = F.struct(*[F.col(k) for k in keep])
+    nothing = F.lit(None).cast(df.select(first.alias("f")).schema["f"].dataType)
+    entry = lambda kind, e, pos, row: F.struct(F.lit(kind).alias("kind"), e.cast("string").alias("e"), pos.alias("pos"), row.alias("row"))
+    own = F.array(entry(-1, F.lit(None), F.lit(0), first))
+
+    def entries(k: int, u: str) -> Column:
+        return F.transform(F.array_distinct(F.coalesce(F.col(u), F.array().cast("array<string>"))), lambda x, i: entry(k, x, i, nothing))
+
+    lists = [entries(k, u) for k, u in enumerate(unions)]
+    every = df.filter(F.col(key).isNotNull()).select(key, F.col(order).alias("_o"), F.explode(F.concat(own, *lists)).alias("_x"))
+    once = every.groupBy(key, F.col("_x.kind").alias("_k"), F.col("_x.e").alias("_e")).agg(F.min(F.struct("_o", "_x.pos")).alias("_at"), F.count(F.lit(1)).alias("_n"), F.min_by("_x.row", "_o").alias("_row"))
+    of = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("_k") == k, F.struct("_at", "_e")))), lambda x: x["_e"])
+    is_row = F.col("_k") == -1
+    # one row a key and distinct element from here
+    out = once.groupBy(key).agg(F.max(F.when(is_row, F.col("_at._o"))).alias(order), F.first(F.when(is_row, F.col("_row")), True).alias("_row"), F.max(F.when(is_row, F.col("_n"))).alias("copies"), *[of(k).alias(u) for k, u in enumerate(unions)])
+    return out.select(key, order, *[F.col(f"_row.{k}").alias(k) for k in keep], *unions, F.col("copies").cast("long").alias("copies"))
 
 
 def merged_labels(labels: Column) -> Column:
@@ -93,9 +87,3 @@ def drop_seen(df: DataFrame, seen: DataFrame, key: str = "hash") -> DataFrame:
 def in_split(df: DataFrame, split: str, key: str = "hash") -> DataFrame:
     """Rows whose hash falls into the split (held-out filter)."""
     return df.filter(stable_split(F.col(key)) == split)
-
-
-def latest(df: DataFrame, key: str, order: str) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(key).orderBy(F.desc(order))
-    return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")

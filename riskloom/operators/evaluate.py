@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from ..plans.prefix import with_running
 
 
 def grid(first: int, last: int, step: float) -> list[float]:
@@ -40,18 +41,34 @@ def confusion(scores: DataFrame, threshold: float, by: list[str] | None = None)
     return _rates(got)
 
 
+def reached(score: Column, thresholds: list[float]) -> Column:
+    """The number of thresholds (rising) that a score reaches; null for a null score.
+
+    The place on an even grid is arithmetic, put right by comparing with the
+    thresholds themselves; other grids are counted through.
+    """
+    n, step = len(thresholds), (thresholds[-1] - thresholds[0]) / max(1, len(thresholds) - 1)
+    steps = F.array(*[F.lit(float(t)) for t in thresholds])
+    if n < 2 or any(abs(t - thresholds[0] - i * step) > step / 4 for i, t in enumerate(thresholds)):
+        return sum(((score >= t).cast("int") for t in thresholds), F.lit(0))
+    near = F.least(F.greatest(F.floor((score - thresholds[0]) / step).cast("int") + 1, F.lit(0)), F.lit(n))
+    up = F.coalesce(F.get(steps, near) <= score, F.lit(False)).cast("int")
+    down = F.coalesce(F.get(steps, near - 1) > score, F.lit(False)).cast("int")
+    return F.when(score.isNotNull(), near + up - down)
+
+
 def sweep(scores: DataFrame, thresholds: list[float], by: list[str] | None = None) -> DataFrame:
-    """Confusion counts and rates at every threshold of the grid."""
+    """Confusion counts and rates at every threshold of the grid; NaN reaches all, rows without a score none."""
     by = by or []
     steps = F.array(*[F.lit(t) for t in thresholds])
-    bucket = F.size(F.filter(steps, lambda t: t <= F.col("score")))  # the number of thresholds reached
+    bucket = F.coalesce(F.when(F.isnan("score"), F.lit(len(thresholds))).otherwise(reached(F.col("score"), thresholds)), F.lit(0))
     counts = scores.groupBy(*by, bucket.alias("_b")).agg(F.count_if(F.col("gold") == 1).alias("_p"), F.count_if(F.col("gold") == 0).alias("_n"))
     # at most (labels x (thresholds + 1)) rows from here
     cells = counts.groupBy(*by).agg(F.collect_list(F.struct("_b", "_p", "_n")).alias("_cells"))
     at = cells.withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(len(thresholds)))))
     total = lambda cond, c: F.aggregate(F.filter("_cells", cond), F.lit(0).cast("long"), lambda a, x: a + x[c])
-    reached, missed = (lambda x: x["_b"] >= F.col("_i")), (lambda x: x["_b"] < F.col("_i"))
-    out = at.select(*by, F.element_at(steps, F.col("_i")).alias("threshold"), total(reached, "_p").alias("tp"), total(reached, "_n").alias("fp"), total(missed, "_p").alias("fn"), total(missed, "_n").alias("tn"))
+    hit, missed = (lambda x: x["_b"] >= F.col("_i")), (lambda x: x["_b"] < F.col("_i"))
+    out = at.select(*by, F.element_at(steps, F.col("_i")).alias("threshold"), total(hit, "_p").alias("tp"), total(hit, "_n").alias("fp"), total(missed, "_p").alias("fn"), total(missed, "_n").alias("tn"))
     return _rates(out)
 
 
@@ -104,20 +121,19 @@ def review_block(swept: DataFrame, by: list[str]) -> DataFrame:
 def average_precision(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Sum over distinct scores, from the top, of (gain in recall) x precision; null unless both classes occur."""
     by = by or []
-    at = scores.groupBy(*by, "score").agg(F.sum("gold").alias("_p"), F.count(F.lit(1)).alias("_n"))
-    down = Window.partitionBy(*by).orderBy(F.desc("score"))
-    whole = Window.partitionBy(*by)
-    r = at.withColumn("_tp", F.sum("_p").over(down)).withColumn("_all", F.sum("_n").over(down)).withColumn("_pos", F.sum("_p").over(whole)).withColumn("_tot", F.sum("_n").over(whole))
-    part = F.col("_p") / F.nullif("_pos", F.lit(0)) * F.col("_tp") / F.col("_all")
-    return r.groupBy(*by).agg(F.when((F.max("_pos") > 0) & (F.max("_pos") < F.max("_tot")), F.sum(part)).alias("pr_auc"))
+    at = scores.groupBy(*by, (-F.col("score")).alias("_down")).agg(F.sum("gold").alias("_p"), F.count(F.lit(1)).alias("_n"))
+    r = with_running(at, by, "_down", {"_p": "_tp", "_n": "_all"})
+    # the sum over positives p x precision, divided by their number at the end
+    part = F.col("_p") * (F.col("_tp") + F.col("_p")) / (F.col("_all") + F.col("_n"))
+    pos, tot = F.sum("_p"), F.sum("_n")
+    return r.groupBy(*by).agg(F.when((pos > 0) & (pos < tot), F.sum(part) / pos).alias("pr_auc"))
 
 
 def roc_auc(scores: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Rank statistic with ties averaged; null unless both classes occur."""
     by = by or []
     at = scores.groupBy(*by, "score").agg(F.sum("gold").alias("_p"), F.sum(1 - F.col("gold")).alias("_q"))
-    up = Window.partitionBy(*by).orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    r = at.withColumn("_below", F.coalesce(F.sum("_q").over(up), F.lit(0)))
+    r = with_running(at, by, "score", {"_q": "_below"})
     won = F.sum(F.col("_p") * (2 * F.col("_below") + F.col("_q")))  # twice the pairs won, exact
     return r.groupBy(*by).agg((won / (2 * F.nullif(F.sum("_p"), F.lit(0)) * F.nullif(F.sum("_q"), F.lit(0)))).alias("roc_auc"))
 
@@ -147,11 +163,13 @@ def head_predictions(records: DataFrame, threshold: float = 0.5) -> DataFrame:
 
 
 def head_report(predicted: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Per-label precision / recall / F1 / support, and the confusion (gold joined with ``|``, top1, n)."""
-    g = predicted.select("id", F.explode("gold").alias("label")).distinct().withColumn("g", F.lit(1))
-    p = predicted.select("id", F.explode("predicted").alias("label")).distinct().withColumn("p", F.lit(1))
-    j = g.join(p, ["id", "label"], "full")
-    per = _rates(j.groupBy("label").agg(F.count_if(F.col("g").isNotNull() & F.col("p").isNotNull()).alias("tp"), F.count_if(F.col("g").isNull()).alias("fp"), F.count_if(F.col("p").isNull()).alias("fn")))
+    """Per-label precision / recall / F1 / support, and the confusion (gold joined with ``|``, top1, n).
+
+    Gold and predicted labels are compared in the row; only counts by label are shuffled.
+    """
+    each = F.explode(F.transform(F.array_union("gold", "predicted"), lambda x: F.struct(x.alias("label"), F.array_contains("gold", x).alias("g"), F.array_contains("predicted", x).alias("p"))))
+    one = predicted.select(each.alias("e")).select("e.*").filter("label is not null")
+    per = _rates(one.groupBy("label").agg(F.count_if(F.col("g") & F.col("p")).alias("tp"), F.count_if(~F.col("g")).alias("fp"), F.count_if(~F.col("p")).alias("fn")))
     per = per.withColumn("support", F.col("tp") + F.col("fn"))
     table = predicted.groupBy(F.array_join(F.array_sort("gold"), "|").alias("gold"), "top1").agg(F.count(F.lit(1)).alias("n"))
     return per, table
@@ -186,9 +204,8 @@ def gate_choice(gates: DataFrame, target: float = 0.005) -> DataFrame:
 
 def fast_allow(scored: DataFrame, thresholds: list[float]) -> DataFrame:
     """Rows (attack, moderation doubles; is_attack, is_moderation booleans) skipped when both scores are below."""
-    steps = F.array(*[F.lit(t) for t in thresholds])
     top = F.greatest("attack", "moderation")
-    cells = scored.groupBy(F.size(F.filter(steps, lambda t: t <= top)).alias("_b"), "is_attack", "is_moderation").agg(F.count(F.lit(1)).alias("_n"))
+    cells = scored.groupBy(F.coalesce(reached(top, thresholds), F.lit(0)).alias("_b"), "is_attack", "is_moderation").agg(F.count(F.lit(1)).alias("_n"))
     g = cells.sparkSession.createDataFrame([(i + 1, t) for i, t in enumerate(thresholds)], "_i int, threshold double")
     j = cells.crossJoin(F.broadcast(g))  # cells: at most 4 x (thresholds + 1) rows
     n = lambda c: F.coalesce(F.sum(F.when(c, F.col("_n"))), F.lit(0)).cast("long")

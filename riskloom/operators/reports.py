@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+
 from pyspark.sql.window import Window
 
 from .. import taxonomy as T
 from ..functions.text import strip
+from ..plans.prefix import with_running
+from ..plans.skew import fits
+from ..plans.staging import stage
 from .balance import first_n, top_by
 
 # Error-report buckets (from, name), highest first.
@@ -47,16 +53,18 @@ def record_checks(df: DataFrame) -> DataFrame:
 def percentiles(df: DataFrame, value: str, by: list[str] | None = None, ps: dict[str, float] | None = None) -> DataFrame:
     """count, avg, min, max and the values at index floor(p (n - 1)) of the sorted column.
 
-    Values are counted first, so that what is ordered is the distinct values with
-    running counts.  Suits columns with few distinct values next to rows (lengths,
-    rounded latencies); nulls are left out.  An empty table gives n = 0 and nulls.
+    Values are counted first, then the distinct values get running counts (a two-level
+    prefix, so a group of many distinct values is no single task); nulls are left out.
+    An empty table gives n = 0 and nulls.
     """
     by, ps = by or [], ps or {"p50": 0.50, "p95": 0.95, "p99": 0.99}
     counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    up = Window.partitionBy(*by).orderBy(value)
-    run = counts.withColumn("_to", F.sum("_n").over(up)).withColumn("_all", F.sum("_n").over(Window.partitionBy(*by)))
-    at = [F.min(F.when(F.col("_to") > F.floor(F.lit(p) * (F.col("_all") - 1)), F.col(value))).alias(name) for name, p in ps.items()]
-    return run.groupBy(*by).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"), *at)
+    run = with_running(counts, by, value, {"_n": "_before"})
+    totals = stage(run.groupBy(*[F.col(c).alias(f"_k_{c}") for c in by]).agg(F.sum("_n").alias("_all")), "totals")
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in by], F.lit(True))
+    j = run.join(F.broadcast(totals) if fits(totals) else totals, same, "left")
+    at = [F.min(F.when(F.col("_before") + F.col("_n") > F.floor(F.lit(p) * (F.col("_all") - 1)), F.col(value))).alias(name) for name, p in ps.items()]
+    return j.groupBy(*by).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), (F.sum(F.col(value) * F.col("_n")) / F.sum("_n")).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"), *at)
 
 
 def length_stats(df: DataFrame, text: str = "text", by: list[str] | None = None) -> DataFrame:
@@ -90,26 +98,31 @@ def score_bucket(score: Column) -> Column:
     return out.otherwise(LOWEST_BUCKET)
 
 
-def error_buckets(scored: DataFrame, threshold: float) -> DataFrame:
-    """(bucket, n, positives, false_positives, false_negatives)."""
+def error_buckets(scored: DataFrame, threshold: float, by: list[str] | None = None) -> DataFrame:
+    """(by, bucket, n, positives, false_positives, false_negatives)."""
     hit, gold = F.col("score") >= threshold, F.col("gold") == 1
-    return scored.groupBy(score_bucket(F.col("score")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.count_if(gold).alias("positives"), F.count_if(hit & ~gold).alias("false_positives"), F.count_if(~hit & gold).alias("false_negatives"))
+    return scored.groupBy(*(by or []), score_bucket(F.col("score")).alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.count_if(gold).alias("positives"), F.count_if(hit & ~gold).alias("false_positives"), F.count_if(~hit & gold).alias("false_negatives"))
 
 
-def error_sources(scored: DataFrame, threshold: float, most: int = 20) -> DataFrame:
-    """(kind, source, n): the most frequent sources of positives, false positives and false negatives; ties by name."""
+def error_sources(scored: DataFrame, threshold: float, most: int = 20, by: list[str] | None = None) -> DataFrame:
+    """(by, kind, source, n): the most frequent sources of positives, false positives and false negatives; ties by name."""
     hit, gold = F.col("score") >= threshold, F.col("gold") == 1
     kinds = F.array_compact(F.array(F.when(gold, F.lit("positive")), F.when(hit & ~gold, F.lit("false_positive")), F.when(~hit & gold, F.lit("false_negative"))))
-    per = scored.select(F.explode(kinds).alias("kind"), F.coalesce("source", F.lit("unknown")).alias("source")).groupBy("kind", "source").agg(F.count(F.lit(1)).alias("n"))
-    return top_by(per, ["kind"], [F.desc("n"), F.col("source")], most)
+    by = by or []
+    per = scored.select(*by, F.explode(kinds).alias("kind"), F.coalesce("source", F.lit("unknown")).alias("source")).groupBy(*by, "kind", "source").agg(F.count(F.lit(1)).alias("n"))
+    return top_by(per, [*by, "kind"], [F.desc("n"), F.col("source")], most)
 
 
-def worst_false_positives(scored: DataFrame, threshold: float, most: int = 20) -> DataFrame:
-    return first_n(scored.filter((F.col("score") >= threshold) & (F.col("gold") == 0)), [F.desc("score"), F.col("id")], most)
+def worst_false_positives(scored: DataFrame, threshold: float, most: int = 20, by: list[str] | None = None) -> DataFrame:
+    """The negatives scored highest, overall or of each group (cut to ``most`` before the exchange)."""
+    wrong, order = scored.filter((F.col("score") >= threshold) & (F.col("gold") == 0)), [F.desc("score"), F.col("id")]
+    return top_by(wrong, by, order, most) if by else first_n(wrong, order, most)
 
 
-def weakest_positives(scored: DataFrame, most: int = 20) -> DataFrame:
-    return first_n(scored.filter("gold = 1"), [F.col("score"), F.col("id")], most)
+def weakest_positives(scored: DataFrame, most: int = 20, by: list[str] | None = None) -> DataFrame:
+    """The positives scored lowest, overall or of each group."""
+    right, order = scored.filter("gold = 1"), [F.col("score"), F.col("id")]
+    return top_by(right, by, order, most) if by else first_n(right, order, most)
 
 
 def false_pass_samples(scored: DataFrame, threshold: float, most: int = 25) -> DataFrame:

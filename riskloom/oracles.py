@@ -139,6 +139,76 @@ def _weak() -> str:
     return f"SELECT CASE WHEN len(l) = 0 THEN 'unknown' ELSE array_to_string(l, ',') END AS labels, count(*) AS n FROM (SELECT list_filter([{cases}], lambda x: x IS NOT NULL) AS l FROM documents WHERE {_strip('text')} <> '') GROUP BY ALL"
 
 
+def _oversample(names: list[str], target: int) -> str:
+    """Copies of each label's rows, label after label; ``c_x`` counts the copies that a row gets for label x."""
+    rows = f"""{_R}, s0 AS (SELECT h, labels, {", ".join(f"{_has(x)} AS has_{x}, row_number() OVER (PARTITION BY {_has(x)} ORDER BY sha256('13:' || h), h) AS r_{x}" for x in names)}
+        FROM (SELECT coalesce(hash, '') || '#' || rec_id AS h, labels FROM recs WHERE split = 'train'))"""
+    done: list[str] = []
+    for i, x in enumerate(names):
+        sofar = " + ".join(["1", *[f"c_{y}" for y in done]])
+        rows += f""", k{i} AS (SELECT count(*) FILTER (has_{x}) AS nat, greatest(0, {target} - coalesce(sum(CASE WHEN has_{x} THEN {sofar} END), 0)) AS need FROM s{i}),
+            s{i + 1} AS (SELECT s{i}.*, (CASE WHEN has_{x} AND nat > 0 THEN need // nat + (r_{x} <= need % nat)::INT ELSE 0 END)::BIGINT AS c_{x} FROM s{i}, k{i})"""
+        done.append(x)
+    last, every = f"s{len(names)}", " + ".join(f"c_{x}" for x in names)
+    return f"""WITH {rows} SELECT false AS copied, count(*) AS n, {", ".join(f"count(*) FILTER (has_{x}) AS {x}" for x in names)} FROM {last}
+        UNION ALL SELECT true, sum({every})::BIGINT, {", ".join(f"coalesce(sum({every}) FILTER (has_{x}), 0)::BIGINT" for x in names)} FROM {last} HAVING sum({every}) > 0"""
+
+
+def _route_balance(where: str, cap: int, train: bool) -> str:
+    most = cap if train else max(cap // 8, 1)
+    attack = _any(["prompt_injection", "jailbreak"])
+    moderation = _any(["toxicity", "hate", "harassment", "sexual", "violence", "self_harm", "dangerous_information", "illegal_activity"])
+    base = f"""{_R}, a AS (SELECT coalesce(hash, '') || '#' || rec_id AS h, {attack} AS a, {moderation} AS m, {_has("safe")} AS f FROM recs WHERE {where} AND labels IS NOT NULL),
+        b AS (SELECT *, CASE WHEN a OR m THEN concat_ws(',', CASE WHEN a THEN 'attack' END, CASE WHEN m THEN 'moderation' END) WHEN f THEN 'safe' ELSE '' END AS routes, sha256('13:' || h) AS o FROM a),
+        k AS (SELECT *, row_number() OVER (PARTITION BY a, m, routes = 'safe' ORDER BY o, h) AS r, row_number() OVER (PARTITION BY a ORDER BY o, h) AS ra FROM b),
+        rest AS (SELECT routes, count(*) AS n FROM k WHERE NOT a AND (m OR routes = 'safe') AND r <= {most} GROUP BY routes),
+        t AS (SELECT count(*) FILTER (a) AS n, least({most}, greatest(count(*) FILTER (a), (SELECT coalesce(sum(n), 0) FROM rest) // 3)) AS target FROM k)"""
+    times = "t.target // t.n + (ra <= t.target % t.n)::INT" if train else "1"
+    return f"WITH {base} SELECT routes, sum(c)::BIGINT AS n FROM (SELECT routes, {times} AS c FROM k, t WHERE a AND t.n > 0 UNION ALL SELECT routes, n FROM rest) GROUP BY routes HAVING sum(c) > 0"
+
+
+def _more() -> dict[str, str]:
+    """Evaluation, balance and adapter queries."""
+    R, S = f"WITH {_R} ", f"WITH {_R}, {_SCORES}"
+    p, r, f = _rates("tp", "fp", "fn")
+    half = f"""{S}, half AS (SELECT label, count(*) FILTER (gold = 1 AND score >= 0.5)::DOUBLE tp, count(*) FILTER (gold = 0 AND score >= 0.5)::DOUBLE fp, count(*) FILTER (gold = 1 AND score < 0.5)::DOUBLE fn FROM scores GROUP BY label)"""
+    abuse = ", ".join(f"{{'s': {_hash('rec_id', x)}, 'x': '{x}'}}" for x in ["safe", "toxicity", "hate", "harassment"])
+    heads = f"""{R}, a AS (SELECT rec_id, list_distinct(list_filter(labels, lambda x: x IS NOT NULL)) AS gold, [{abuse}] AS s FROM recs WHERE len(labels) > 0),
+        b AS (SELECT *, (list_sort(list_transform(s, lambda e: {{'n': -e.s, 'x': e.x}}))[1]).x AS top1, list_transform(list_filter(s, lambda e: e.s >= 0.7), lambda e: e.x) AS hits FROM a),
+        h AS (SELECT rec_id, gold, top1, CASE WHEN len(hits) > 0 THEN hits ELSE [top1] END AS predicted FROM b)"""
+    clean = "list_filter(labels, lambda x: x IS NOT NULL)"
+    line = f"regexp_replace({_collapse('text')}, '\\n', ' ', 'g')"
+    return {
+        "any_label_cap": f"""{R}, e AS (SELECT DISTINCT rec_id, x FROM recs, unnest(labels) u(x) WHERE x IN ('prompt_injection', 'jailbreak', 'toxicity', 'hate', 'harassment', 'sexual', 'violence', 'self_harm', 'dangerous_information', 'illegal_activity')),
+            w AS (SELECT rec_id, CASE WHEN x = 'toxicity' THEN 'hate' ELSE x END AS g, count(*) AS c FROM e GROUP BY ALL),
+            b AS (SELECT rec_id, coalesce(sum(c) OVER (PARTITION BY g ORDER BY rec_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM w)
+            SELECT DISTINCT rec_id FROM b WHERE before < 30""",
+        "review_block": f"""{S}, {_sweep(19, '0.05')}, b AS (SELECT label, arg_max(threshold, (f1, -threshold)) AS best, max(f1) AS top, list_sort(list(threshold) FILTER (precision >= 0.95)) AS ok FROM swept GROUP BY label),
+            c AS (SELECT label, CASE WHEN top > 0 THEN best ELSE 0.5 END AS review, CASE WHEN ok[1] = 0.8 THEN coalesce(ok[2], 0.8) ELSE coalesce(ok[1], 0.8) END AS start FROM b)
+            SELECT label, 0.2::DOUBLE AS route, review, greatest(review, start) AS block FROM c""",
+        "macro_metrics": f"{half} SELECT count(*) AS labels, round(avg({p}) * 1e9)::BIGINT AS p9, round(avg({r}) * 1e9)::BIGINT AS r9 FROM half WHERE tp + fn > 0",
+        "micro_macro": f"""{half}, t AS (SELECT sum(tp) tp, sum(fp) fp, sum(fn) fn FROM half), m AS (SELECT {f} AS f1 FROM half)
+            SELECT (SELECT {f} FROM t) AS micro_f1, (SELECT round(avg(f1) * 1e9)::BIGINT FROM m) AS macro9""",
+        "head_report": f"""{heads}, e AS (SELECT rec_id, unnest(list_distinct(list_concat(gold, predicted))) AS label, gold, predicted FROM h),
+            c AS (SELECT label, count(*) FILTER (list_contains(gold, label) AND list_contains(predicted, label))::DOUBLE tp, count(*) FILTER (NOT list_contains(gold, label))::DOUBLE fp, count(*) FILTER (NOT list_contains(predicted, label))::DOUBLE fn FROM e GROUP BY label)
+            SELECT label, tp::BIGINT tp, fp::BIGINT fp, fn::BIGINT fn, (tp + fn)::BIGINT AS support, {f} AS f1 FROM c""",
+        "head_confusion": f"{heads} SELECT array_to_string(list_sort(gold), '|') AS gold, top1, count(*) AS n FROM h GROUP BY ALL",
+        "score_drift": f"""{S}, d AS (SELECT abs(score - round(score * 127) / 127) AS d, (score >= 0.5) = (round(score * 127) / 127 >= 0.5) AS same FROM scores)
+            SELECT count(*) AS n, max(d) AS max_abs_diff, round(avg(d) * 1e9)::BIGINT AS mean9, round(avg(same::INT) * 1e9)::BIGINT AS agree9 FROM d""",
+        "head_file_scan": f"""{_head_rows()}, l AS (SELECT labels, {line} AS t FROM heads WHERE text IS NOT NULL), u AS (SELECT t, x FROM l, unnest(labels) u(x))
+            SELECT md5(t) AS text_hash, string_agg(DISTINCT x, ',' ORDER BY x) AS labels FROM u GROUP BY t""",
+        "merged_head_lines": f"""{R}, a AS (SELECT rec_id, {_collapse('text')} AS t, list_filter([CASE WHEN list_has_any(l, ['toxicity', 'hate', 'harassment', 'violence', 'self_harm']) THEN '__label__harmful_content' END, CASE WHEN list_contains(l, 'sexual') THEN '__label__sexual' END], lambda x: x IS NOT NULL) AS m
+            FROM (SELECT *, {clean} AS l FROM recs WHERE text IS NOT NULL AND labels IS NOT NULL))
+            SELECT rec_id, md5((CASE WHEN len(m) > 0 THEN array_to_string(m, ' ') ELSE '__label__safe' END) || ' ' || t) AS line_hash FROM a""",
+        "adapt_civil": f"""{R}, a AS (SELECT {_has('toxicity')} t, {_has('hate')} h, {_has('violence')} v, {_has('sexual')} s, {_has('harassment')} i FROM recs WHERE {_strip("coalesce(text, '')")} <> ''),
+            b AS (SELECT 'labels' AS kind, array_to_string(list_filter([CASE WHEN t THEN 'toxicity' END, CASE WHEN h THEN 'hate' END, CASE WHEN i THEN 'harassment' END, CASE WHEN v THEN 'violence' END, CASE WHEN s THEN 'sexual' END], lambda x: x IS NOT NULL), ',') AS labels FROM a)
+            SELECT kind, CASE WHEN labels = '' THEN 'safe' ELSE labels END AS labels, count(*) AS n FROM b GROUP BY ALL
+            UNION ALL SELECT 'route', CASE WHEN t OR h OR i OR v OR s THEN 'moderation' ELSE 'safe' END, count(*) FROM a GROUP BY ALL""",
+        "oversample": _oversample(["toxicity", "hate", "harassment", "sexual", "violence", "self_harm"], 120),
+        "route_balance": " UNION ALL ".join(f"SELECT {_q(x)} AS split, * FROM ({_route_balance(f'split = {_q(x)}', 500, x == 'train')})" for x in ("train", "val", "test")),
+    }
+
+
 def oracle_sql() -> dict[str, str]:
     R = f"WITH {_R} "
     S = f"WITH {_R}, {_SCORES}"
@@ -147,7 +217,7 @@ def oracle_sql() -> dict[str, str]:
     over = lambda xs: " OR ".join(f"{p8[x]} >= {T.THRESHOLDS[x][0]}" for x in xs)
     phrase = "(" + " OR ".join(f"contains(lower(coalesce(text, '')), {_q(x)})" for x in T.ATTACK_PHRASES) + ")"
     split = "CASE WHEN ('0x' || substr({h}, 1, 8))::BIGINT % 100 < 80 THEN 'train' WHEN ('0x' || substr({h}, 1, 8))::BIGINT % 100 < 90 THEN 'val' ELSE 'test' END"
-    one = f"{S}, s AS (SELECT * FROM scores WHERE label = 'toxicity')"
+    one = f"{S}, s AS (SELECT * FROM scores)"
     gate = f"WITH {_R}, g AS (SELECT rec_id AS id, text, {_any([*T.HARMFUL, 'sexual'])} AS unsafe, greatest({_hash('rec_id', 'harmful')}, {_hash('rec_id', 'sexual')}) AS gate FROM recs)"
     gates = f"""{gate}, grid AS (SELECT round(i * 0.01, 2)::DOUBLE AS threshold FROM range(1, 100) t(i)),
       c AS (SELECT threshold, count(*)::DOUBLE total, count(*) FILTER (NOT unsafe)::DOUBLE safe_total, count(*) FILTER (unsafe)::DOUBLE unsafe_total, count(*) FILTER (gate < threshold)::DOUBLE passed,
@@ -237,11 +307,11 @@ def oracle_sql() -> dict[str, str]:
         "length_stats": f"{R}, a AS (SELECT split, length(coalesce(text, '')) AS l FROM recs), b AS (SELECT split, list_sort(list(l)) AS l, sum(l)::DOUBLE AS s FROM a GROUP BY split) SELECT split, len(l) AS n, s / len(l) AS avg, l[1] AS min, l[len(l)] AS max, l[floor(0.5::DOUBLE * (len(l) - 1))::INT + 1] AS p50, l[floor(0.95::DOUBLE * (len(l) - 1))::INT + 1] AS p95 FROM b",
         "imbalance": f"{R}, e AS (SELECT split, x, count(*)::DOUBLE AS n FROM recs, unnest(labels) u(x) WHERE x IS NOT NULL GROUP BY ALL) SELECT split, max(n) / min(n) AS imbalance FROM e GROUP BY split",
         "event_percentiles": "WITH a AS (SELECT event_type, list_sort(list(round(value * 100)::BIGINT)) AS l FROM events WHERE value IS NOT NULL GROUP BY event_type) SELECT event_type, len(l) AS n, l[1] AS min, l[len(l)] AS max, l[floor(0.5::DOUBLE * (len(l) - 1))::INT + 1] AS p50, l[floor(0.95::DOUBLE * (len(l) - 1))::INT + 1] AS p95, l[floor(0.99::DOUBLE * (len(l) - 1))::INT + 1] AS p99 FROM a",
-        "error_buckets": f"{one} SELECT CASE WHEN score >= 0.9 THEN '0.90-1.00' WHEN score >= 0.75 THEN '0.75-0.90' WHEN score >= 0.5 THEN '0.50-0.75' WHEN score >= 0.25 THEN '0.25-0.50' WHEN score >= 0.1 THEN '0.10-0.25' ELSE '0.00-0.10' END AS bucket, count(*) AS n, count(*) FILTER (gold = 1) AS positives, count(*) FILTER (gold = 0 AND score >= 0.6) AS false_positives, count(*) FILTER (gold = 1 AND score < 0.6) AS false_negatives FROM s GROUP BY ALL",
-        "error_sources": f"""{one}, k AS (SELECT 'positive' AS kind, source FROM s WHERE gold = 1 UNION ALL SELECT 'false_positive', source FROM s WHERE gold = 0 AND score >= 0.6 UNION ALL SELECT 'false_negative', source FROM s WHERE gold = 1 AND score < 0.6),
-            c AS (SELECT kind, coalesce(source, 'unknown') AS source, count(*) AS n FROM k GROUP BY ALL) SELECT kind, source, n FROM (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY n DESC, source) AS r FROM c) WHERE r <= 5""",
-        "worst_false_positives": f"{one} SELECT id, score FROM s WHERE gold = 0 AND score >= 0.6 ORDER BY score DESC, id LIMIT 20",
-        "weakest_positives": f"{one} SELECT id, score FROM s WHERE gold = 1 ORDER BY score, id LIMIT 20",
+        "error_buckets": f"{one} SELECT label, CASE WHEN score >= 0.9 THEN '0.90-1.00' WHEN score >= 0.75 THEN '0.75-0.90' WHEN score >= 0.5 THEN '0.50-0.75' WHEN score >= 0.25 THEN '0.25-0.50' WHEN score >= 0.1 THEN '0.10-0.25' ELSE '0.00-0.10' END AS bucket, count(*) AS n, count(*) FILTER (gold = 1) AS positives, count(*) FILTER (gold = 0 AND score >= 0.6) AS false_positives, count(*) FILTER (gold = 1 AND score < 0.6) AS false_negatives FROM s GROUP BY ALL",
+        "error_sources": f"""{one}, k AS (SELECT label, 'positive' AS kind, source FROM s WHERE gold = 1 UNION ALL SELECT label, 'false_positive', source FROM s WHERE gold = 0 AND score >= 0.6 UNION ALL SELECT label, 'false_negative', source FROM s WHERE gold = 1 AND score < 0.6),
+            c AS (SELECT label, kind, coalesce(source, 'unknown') AS source, count(*) AS n FROM k GROUP BY ALL) SELECT label, kind, source, n FROM (SELECT *, row_number() OVER (PARTITION BY label, kind ORDER BY n DESC, source) AS r FROM c) WHERE r <= 5""",
+        "worst_false_positives": f"{one} SELECT label, id, score FROM s WHERE gold = 0 AND score >= 0.6 QUALIFY row_number() OVER (PARTITION BY label ORDER BY score DESC, id) <= 20",
+        "weakest_positives": f"{one} SELECT label, id, score FROM s WHERE gold = 1 QUALIFY row_number() OVER (PARTITION BY label ORDER BY score, id) <= 20",
         "build_summary": f"{R} SELECT split, count(*) AS rows, count(*) FILTER ({_any(T.MODERATED)}) AS positives, count(*) FILTER (coalesce(labels = ['safe'], false)) AS safe_rows, {', '.join(f'count(*) FILTER ({_has(x)}) AS {x}' for x in T.MODERATED)} FROM recs GROUP BY split",
         "head_file_checks": f"{_head_rows()}, w(head, label) AS (VALUES {', '.join(f'({_q(h)}, {_q(x)})' for h, xs in T.HEADS.items() for x in xs)}), c AS (SELECT head, labels[1] AS label, count(*) AS n FROM heads WHERE text IS NOT NULL GROUP BY ALL) SELECT head, label, coalesce(n, 0) AS n, CASE WHEN coalesce(n, 0) = 0 THEN 'FAIL' WHEN n < 100 THEN 'WARN' ELSE 'PASS' END AS status FROM w LEFT JOIN c USING (head, label)",
         "head_file_labels": f"{_head_rows()} SELECT x AS label, count(*) AS n FROM heads, unnest(labels) u(x) WHERE text IS NOT NULL GROUP BY x",
@@ -251,4 +321,5 @@ def oracle_sql() -> dict[str, str]:
         "quota_scan": "SELECT doc_id, kind FROM (SELECT doc_id, kind, row_number() OVER (PARTITION BY coalesce(kind, '-') ORDER BY doc_id) AS r FROM documents WHERE length(trim(text)) BETWEEN 8 AND 2000) WHERE r <= 20",
         "tumbling_events": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY ALL",
     }
+    out |= _more()
     return {k: re.sub(r"\n\s+", " ", v) for k, v in out.items()}

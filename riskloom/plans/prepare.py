@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import map_labels
-from ..functions.text import normalize, strip
+from ..functions.text import is_blank, normalize, strip
 from ..operators.dedup import merged_labels, stable_split, union_duplicates
 from ..operators.quality import check_record
 from ..sources.adapters import adapt
-from .staging import stage
 
 
 def process(raw: DataFrame, text: str = "text", order: str = "ord") -> tuple[DataFrame, DataFrame]:
@@ -24,7 +23,7 @@ def process(raw: DataFrame, text: str = "text", order: str = "ord") -> tuple[Dat
     """
     checked = raw.withColumn("reason", check_record(F.col(text), F.col("labels")))
     reasons = checked.groupBy(F.coalesce("reason", F.lit("valid")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
-    good = normalize(checked.filter("reason is null"), text).filter("model_text is not null")
+    good = normalize(checked.filter(F.col("reason").isNull() & ~is_blank(F.col(text))), text)
     good = good.select(
         F.col("model_text").alias("text"), "detection_text", F.col("text_hash").alias("hash"), F.col("labels").alias("raw_labels"), map_labels(F.col("labels"), F.col("model_text")).alias("labels"),
         "source", F.array("source").alias("sources"), order,
@@ -70,7 +69,3 @@ def load_all(spark: SparkSession, sources: dict[str, tuple[str, Callable[[], Dat
     results = [load_source(spark, n, kind, load, out) for n, (kind, load) in sources.items()]
     ok = sum(r.status == "ok" for r in results)
     return results, "FAIL" if not ok else "WARN" if ok < len(results) else "PASS"
-
-
-def staged(df: DataFrame, name: str) -> DataFrame:
-    return stage(df, name)

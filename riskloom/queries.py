@@ -278,9 +278,10 @@ def oversample(spark, d):
 
 @query
 def route_balance(spark, d):
-    r = records(spark, d).filter("split = 'train' and labels is not null").withColumn("labels", F.array_compact("labels"))
-    r = r.withColumn("hash", F.concat(F.coalesce("hash", F.lit("")), F.lit("#"), "rec_id")).withColumn("route_labels", L.route_labels(F.col("labels"))).select("hash", "route_labels")
-    return B.route_balance(r, 500, True).groupBy(F.array_join("route_labels", ",").alias("routes")).agg(F.count(F.lit(1)).alias("n"))
+    r = records(spark, d).filter("labels is not null").withColumn("labels", F.array_compact("labels"))
+    r = r.withColumn("hash", F.concat(F.coalesce("hash", F.lit("")), F.lit("#"), "rec_id")).withColumn("route_labels", L.route_labels(F.col("labels"))).select("hash", "route_labels", "split")
+    out = [B.route_balance(r.filter(F.col("split") == s).drop("split"), 500, s == "train").withColumn("split", F.lit(s)) for s in ("train", "val", "test")]
+    return reduce(DataFrame.unionByName, out).groupBy("split", F.array_join("route_labels", ",").alias("routes")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -542,28 +543,24 @@ def event_percentiles(spark, d):
     return R.percentiles(table(spark, d, "events").withColumn("cents", F.round(F.col("value") * 100).cast("long")), "cents", ["event_type"]).select("event_type", "n", "min", "max", "p50", "p95", "p99")
 
 
-def _one_label(spark, d) -> DataFrame:
-    return long_scores(spark, d).filter("label = 'toxicity'")
-
-
 @query
 def error_buckets(spark, d):
-    return R.error_buckets(_one_label(spark, d), 0.6)
+    return R.error_buckets(long_scores(spark, d), 0.6, ["label"])
 
 
 @query
 def error_sources(spark, d):
-    return R.error_sources(_one_label(spark, d), 0.6, 5)
+    return R.error_sources(long_scores(spark, d), 0.6, 5, ["label"])
 
 
 @query
 def worst_false_positives(spark, d):
-    return R.worst_false_positives(_one_label(spark, d), 0.6).select("id", "score")
+    return R.worst_false_positives(long_scores(spark, d), 0.6, by=["label"]).select("label", "id", "score")
 
 
 @query
 def weakest_positives(spark, d):
-    return R.weakest_positives(_one_label(spark, d)).select("id", "score")
+    return R.weakest_positives(long_scores(spark, d), by=["label"]).select("label", "id", "score")
 
 
 @query
@@ -587,7 +584,7 @@ def head_file_labels(spark, d):
 
 @query
 def head_file_scan(spark, d):
-    return scan.parse_head_lines(_lines(spark, d).filter("head = 'abuse'")).select(F.md5("text").alias("text_hash"), F.array_join("labels", ",").alias("labels"))
+    return scan.parse_head_lines(_lines(spark, d)).select(F.md5("text").alias("text_hash"), F.array_join("labels", ",").alias("labels"))
 
 
 @query

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -91,6 +90,3 @@ def count_labels(lines: DataFrame) -> DataFrame:
     """(label, n): leading labels over head lines."""
     got = F.regexp_extract_all(F.regexp_extract("value", r"^((?:__label__\S+\s*)+)", 1), F.lit(r"__label__(\S+)"), F.lit(1))
     return lines.select(F.explode(got).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-
-
-Loader = Callable[[SparkSession], DataFrame]

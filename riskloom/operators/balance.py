@@ -120,6 +120,33 @@ def stratified_sample(df: DataFrame, names: list[str], most: int, hash_col: str
     return a.unionByName(first_n(rest, [fill_order if fill_order is not None else F.col(hash_col), F.col(hash_col)], room))
 
 
+def cap_pairs(df: DataFrame, per_source: int, ratio: float = 2.5, label: str = "label", source: str = "source", hash_col: str = "hash", seed: int = 13) -> DataFrame:
+    """Positives and negatives with at most ``per_source`` rows of a source each (0: all), negatives first cut to positives x ratio.
+
+    Both are in the order of a seeded hash; the ratio goes by the positives before their cap.
+    """
+    order = [shuffled(F.col(hash_col), seed), F.col(hash_col)]
+    pos, neg = df.filter(F.col(label) == 1), df.filter(F.col(label) == 0)
+    n = pos.agg(F.count(F.lit(1))).first()[0]
+    neg = first_n(neg, order, int(max(n, 1) * ratio))
+    both = pos.unionByName(neg)
+    return top_by(both, [label, source], order, per_source) if per_source else both
+
+
+def cap_safe_rows(df: DataFrame, safe: Column, most: int, ratio: float, hash_col: str = "hash", seed: int = 13) -> DataFrame:
+    """All other rows and the first min(rows, most, others x ratio) safe ones in the order of a seeded hash."""
+    c = df.agg(F.count_if(safe).alias("safe"), F.count_if(~F.coalesce(safe, F.lit(False))).alias("rest")).first()
+    keep = ratio_cap(c["rest"], c["safe"], ratio, most)
+    is_safe = F.coalesce(safe, F.lit(False))
+    return df.filter(~is_safe).unionByName(first_n(df.filter(is_safe), [shuffled(F.col(hash_col), seed), F.col(hash_col)], keep))
+
+
+def blend(df: DataFrame, other: DataFrame | None, hash_col: str = "hash", seed: int = 13) -> DataFrame:
+    """Rows of both sets with ``place``, a key to order them by: a repeatable shuffle without a sort of its own."""
+    both = df if other is None else df.unionByName(other, allowMissingColumns=True)
+    return both.withColumn("place", shuffled(F.coalesce(hash_col, F.lit("")), seed))
+
+
 def source_cap(df: DataFrame, most: int, source: str = "source", order: Column | None = None) -> DataFrame:
     return top_by(df, [source], [order if order is not None else F.col("ord")], most)
 
@@ -141,7 +168,8 @@ def oversample(df: DataFrame, names: list[str], target: int, room: int | None =
         return {k: int(v or 0) for k, v in r.items()}
 
     left = (1 << 60) if room is None else room
-    have, natural = counts(df), counts(df)
+    natural = counts(df)
+    have = dict(natural)
     out = df
     for n in names:
         need = min(max(0, target - have[n]), left)

@@ -70,3 +70,8 @@ def clean_records(df: DataFrame, supported: list[str], merged: bool = False, sho
 
 def reason_counts(df: DataFrame, reason: Column) -> DataFrame:
     return df.groupBy(F.coalesce(reason, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def length_between(df: DataFrame, text: str = "text", shortest: int = 8, longest: int = 4000) -> DataFrame:
+    """Rows whose text, white space collapsed, has a length within the bounds; null texts are dropped."""
+    return df.filter(F.length(collapse(F.col(text))).between(shortest, longest))

@@ -80,7 +80,7 @@ def with_scores(df: DataFrame, prefix: str, *sources: Column) -> tuple[DataFrame
     return df.withColumns({prefix + x: c for x, c in merge_scores(*sources).items()}), {x: F.col(prefix + x) for x in T.SCORED}
 
 
-def map_categories(raw: Column, table: dict[str, str], safe: list[str], variants: bool = True) -> Column:
+def map_categories(raw: Column, table: dict[str, list[str]], safe: list[str], variants: bool = True) -> Column:
     """Scores by label from a map of raw categories; safe categories and unknown ones count for nothing."""
     name = lambda k: F.replace(F.lower(F.trim(k)), F.lit(" "), F.lit("_"))
     if not variants:
@@ -90,11 +90,11 @@ def map_categories(raw: Column, table: dict[str, str], safe: list[str], variants
 
     def labels(k: Column) -> Column:
         keys = [name(k)] + ([F.replace(name(k), F.lit("_"), F.lit("/")), F.replace(name(k), F.lit("/"), F.lit("_"))] if variants else [])
-        lookup = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
+        lookup = F.create_map(*[x for k, v in table.items() for x in (F.lit(k), literal_list(v))])
         return F.coalesce(*[F.try_element_at(lookup, x) for x in keys])
 
     each = F.filter(F.map_entries(raw), lambda e: ~is_safe(e["key"]) & labels(e["key"]).isNotNull())
-    flat = F.flatten(F.transform(each, lambda e: F.transform(F.split(labels(e["key"]), " "), lambda x: F.struct(x.alias("label"), e["value"].alias("score")))))
+    flat = F.flatten(F.transform(each, lambda e: F.transform(labels(e["key"]), lambda x: F.struct(x.alias("label"), e["value"].alias("score")))))
     names = F.array_distinct(F.transform(flat, lambda s: s["label"]))
     return F.transform(names, lambda n: F.struct(n.alias("label"), F.array_max(F.transform(F.filter(flat, lambda s: s["label"] == n), lambda s: s["score"])).alias("score")))
 
@@ -243,3 +243,23 @@ def respond(merged: Scores) -> tuple[Column, Column]:
     """Public and internal scores, rounded to four digits for display only."""
     show = lambda names: F.struct(*[F.bround(merged[x], 4).alias(x) for x in names])
     return show(T.PUBLIC), show(T.INTERNAL)
+
+
+def named_scores(raw: Column, names: list[str], prefix: str = "__label__") -> Column:
+    """Struct with the score of each of ``names`` from a map label -> score, 0 where there is none; other labels are left out.
+
+    The coarse router has attack, moderation and safe, the merged head harmful_content, sexual and safe.
+    """
+    plain = F.transform_keys(raw, lambda k, v: F.when(F.startswith(k, F.lit(prefix)), F.substring(k, len(prefix) + 1, 1 << 20)).otherwise(k))
+    return F.struct(*[F.coalesce(F.try_element_at(plain, F.lit(n)), F.lit(0.0)).alias(n) for n in names])
+
+
+ROUTER_LABELS, MERGED_LABELS = ["attack", "moderation", "safe"], ["harmful_content", "sexual", "safe"]
+
+
+def router_scores(raw: Column) -> Column:
+    return named_scores(raw, ROUTER_LABELS)
+
+
+def merged_head_scores(raw: Column) -> Column:
+    return named_scores(raw, MERGED_LABELS)

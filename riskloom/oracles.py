@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from . import taxonomy as T
+from .oracle_cases import cases
 
 _R = """recs AS (
   SELECT 'train' AS split, rec_id, text, labels, source, sources, hash, raw_labels FROM all_train
@@ -204,6 +205,7 @@ def _more() -> dict[str, str]:
             b AS (SELECT 'labels' AS kind, array_to_string(list_filter([CASE WHEN t THEN 'toxicity' END, CASE WHEN h THEN 'hate' END, CASE WHEN i THEN 'harassment' END, CASE WHEN v THEN 'violence' END, CASE WHEN s THEN 'sexual' END], lambda x: x IS NOT NULL), ',') AS labels FROM a)
             SELECT kind, CASE WHEN labels = '' THEN 'safe' ELSE labels END AS labels, count(*) AS n FROM b GROUP BY ALL
             UNION ALL SELECT 'route', CASE WHEN t OR h OR i OR v OR s THEN 'moderation' ELSE 'safe' END, count(*) FROM a GROUP BY ALL""",
+        "head_file_round_trip": f"{_head_rows()} SELECT x AS label, count(*) AS n, (SELECT count(*) FROM heads WHERE text IS NOT NULL) AS lines FROM heads, unnest(labels) u(x) WHERE text IS NOT NULL GROUP BY x",
         "oversample": _oversample(["toxicity", "hate", "harassment", "sexual", "violence", "self_harm"], 120),
         "route_balance": " UNION ALL ".join(f"SELECT {_q(x)} AS split, * FROM ({_route_balance(f'split = {_q(x)}', 500, x == 'train')})" for x in ("train", "val", "test")),
     }
@@ -321,5 +323,5 @@ def oracle_sql() -> dict[str, str]:
         "quota_scan": "SELECT doc_id, kind FROM (SELECT doc_id, kind, row_number() OVER (PARTITION BY coalesce(kind, '-') ORDER BY doc_id) AS r FROM documents WHERE length(trim(text)) BETWEEN 8 AND 2000) WHERE r <= 20",
         "tumbling_events": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY ALL",
     }
-    out |= _more()
+    out |= _more() | cases()
     return {k: re.sub(r"\n\s+", " ", v) for k, v in out.items()}

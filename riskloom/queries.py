@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,7 +13,9 @@ from . import taxonomy as T
 from .functions import labels as L
 from .functions import rules, windows
 from .functions import text as X
+from .cases import ADAPTER_ROWS, BINARY_LABELS
 from .operators import balance as B
+from .operators import compose as C
 from .operators import dedup as D
 from .operators import evaluate as E
 from .operators import quality as Q
@@ -20,7 +23,8 @@ from .operators import reports as R
 from .operators import scoring as S
 from .plans.classify import classify, stand_ins
 from .plans.parallel import spread
-from .plans.prepare import process
+from .plans.prepare import availability, load_all, process
+from .plans.staging import shared_dir
 from .sources import adapters as A
 from .sources import scan, sinks
 from .streaming.stream import tumbling_counts
@@ -510,6 +514,117 @@ def score_drift(spark, d):
     return g.select("n", "max_abs_diff", F.round(F.col("mean_abs_diff") * 1e9).cast("long").alias("mean9"), F.round(F.col("agreement") * 1e9).cast("long").alias("agree9"))
 
 
+def _models(spark, d) -> DataFrame:
+    """Scores of three stand-in models over their labels."""
+    targets = {"injection": ["prompt_injection"], "jailbreak": ["jailbreak"], "moderation": T.MODERATED}
+    r = table(spark, d, "all_test").select(F.col("rec_id").alias("id"), "labels")
+    each = [F.struct(F.lit(m).alias("model"), F.lit(x).alias("label"), F.coalesce(F.array_contains("labels", x), F.lit(False)).cast("int").alias("gold"), S.hash_score(F.concat(F.lit(m), "id"), x).alias("score")) for m, xs in targets.items() for x in xs]
+    return r.select("id", F.explode(F.array(*each)).alias("e")).select("id", "e.*")
+
+
+_nine = lambda *cs: [F.round(F.col(c) * 1e9).cast("long").alias(c) for c in cs]
+
+
+@query
+def model_baseline(spark, d):
+    m = C.model_baseline(_models(spark, d))
+    return m.select("model", "labels", "status", *_nine("macro_f1", "macro_best_f1", "macro_pr_auc"))
+
+
+@query
+def model_status(spark, d):
+    return C.overall(C.model_baseline(_models(spark, d)), 4)
+
+
+@query
+def label_metrics(spark, d):
+    m = C.label_metrics(long_scores(spark, d), ["label"])
+    return m.select("label", "support", "precision", "recall", "f1", "best_f1_threshold", "best_f1", "high_recall_threshold", *_nine("pr_auc", "roc_auc"))
+
+
+@query
+def trainer_metrics(spark, d):
+    best, one = C.trainer_metrics(long_scores(spark, d))
+    names = ["micro_f1", "macro_f1", "macro_best_f1", "macro_pr_auc"]
+    both = one.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(n).alias("value")) for n in names])).alias("e")).select("e.*")
+    return both.unionByName(best.select(F.concat(F.lit("best_f1_"), "label").alias("name"), F.col("best_f1").alias("value")))
+
+
+@query
+def head_calibration(spark, d):
+    """Calibrated thresholds of every head, through the file that the router reads."""
+    r = table(spark, d, "all_val").select(F.col("rec_id").alias("id"), "labels")
+    each = [F.struct(F.lit(h).alias("head"), F.lit(x).alias("label"), F.coalesce(F.array_contains("labels", x), F.lit(False)).cast("int").alias("gold"), S.hash_score(F.col("id"), x).alias("score")) for h, xs in T.HEADS.items() for x in xs]
+    return C.calibrate_heads(r.select(F.explode(F.array(*each)).alias("e")).select("e.*"), ["head", "label"])[0]
+
+
+def _router(spark, d) -> DataFrame:
+    has = lambda xs: F.coalesce(F.arrays_overlap("labels", L.literal_list(xs)), F.lit(False))
+    raw = F.create_map(F.lit("__label__attack"), S.hash_score(F.col("rec_id"), "attack"), F.lit("moderation"), S.hash_score(F.col("rec_id"), "moderation"), F.lit("other"), F.lit(1.0))
+    r = records(spark, d).select(S.router_scores(raw).alias("s"), has(["prompt_injection", "jailbreak"]).alias("is_attack"), has([x for x in T.RISK if x not in T.HEADS["attack"]]).alias("is_moderation"))
+    return r.select("s.attack", "s.moderation", "is_attack", "is_moderation")
+
+
+@query
+def router_routes(spark, d):
+    return C.router_report(_router(spark, d))[0]
+
+
+@query
+def router_recommendation(spark, d):
+    return C.router_report(_router(spark, d), 0.05)[2]
+
+
+@query
+def merged_head(spark, d):
+    """Scores of the merged head from labels with and without prefix; other labels are left out."""
+    raw = F.create_map(F.lit("__label__harmful_content"), S.hash_score(F.col("doc_id"), "h"), F.lit("sexual"), S.hash_score(F.col("doc_id"), "s"), F.lit("__label__odd"), F.lit(0.5))
+    return table(spark, d, "documents").select("doc_id", S.merged_head_scores(raw).alias("m")).select("doc_id", "m.*")
+
+
+def _benchmark(spark, d) -> DataFrame:
+    return table(spark, d, "test").filter("label is not null").select(F.col("row_id").alias("id"), "text", F.col("label").alias("gold"), S.hash_score(F.col("row_id"), "bench").alias("score"))
+
+
+@query
+def external_benchmark(spark, d):
+    b = C.external_benchmark(_benchmark(spark, d))[0]
+    return b.select("rows", "positives", "best_threshold", "best_f1", "route_precision", "route_recall", "route_f1", "default_precision", "default_recall", "default_f1", "verdict", *_nine("pr_auc", "roc_auc"))
+
+
+@query
+def benchmark_misses(spark, d):
+    return C.external_benchmark(_benchmark(spark, d))[1].select("kind", "id", F.md5(F.coalesce("text", F.lit(""))).alias("text_hash"))
+
+
+@query
+def score_comparison(spark, d):
+    a = _benchmark(spark, d).select("id", "gold", "score")
+    return C.compare_scores(a.withColumn("score", F.round(F.col("score") * 7) / 7), a, ["id"])
+
+
+@query
+def candidate_choice(spark, d):
+    """The smallest candidate within the tolerances, and what is taken if none is."""
+    some = spark.createDataFrame([("int8", 100, 0.001, 0.0019), ("fp16", 200, 0.0, 0.0), ("int4", 50, 0.01, 0.0)], "name string, size_bytes long, best_f1_drop double, pr_auc_drop double")
+    return E.smallest_within(some).withColumn("kind", F.lit("some")).unionByName(E.smallest_within(some.filter("name = 'int4'")).withColumn("kind", F.lit("none")))
+
+
+@query
+def metric_deltas(spark, d):
+    a = spark.createDataFrame([("x", 0.5, 0.8), ("y", 0.5, 0.8), ("z", 0.5, 0.8)], "name string, macro_f1 double, recall double")
+    b = spark.createDataFrame([("x", 0.46, 0.9), ("y", 0.48, 0.8), ("w", 0.1, 0.1)], "name string, macro_f1 double, recall double")
+    out = E.metric_diff(a, b, "name", ["macro_f1", "recall"])
+    return out.select("name", F.round("macro_f1_delta", 9).alias("macro_f1_delta"), F.round("recall_delta", 9).alias("recall_delta"), "status")
+
+
+@query
+def component_status(spark, d):
+    """The worst status of components, and the verdict of benchmarks."""
+    c = spark.createDataFrame([("a", "PASS", 0.9), ("a", "WARN", 0.7), ("b", "PASS", 0.69), ("c", "FAIL", 0.85), ("c", "PASS", 0.1)], "part string, status string, f1 double")
+    return c.groupBy("part").agg(R.worst_status(F.col("status")).alias("status"), F.array_join(F.array_sort(F.collect_list(R.benchmark_verdict(F.col("f1")))), ",").alias("verdicts"))
+
+
 # reports --------------------------------------------------------------------
 
 
@@ -624,6 +739,134 @@ def adapt_civil(spark, d):
     return a.unionByName(A.adapt(r, "civil_route", "civil").groupBy(F.array_join("labels", ",").alias("labels")).agg(F.count(F.lit(1)).alias("n")).withColumn("kind", F.lit("route")))
 
 
+def _adapter(kind: str) -> Query:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        schema, rows = ADAPTER_ROWS[kind]
+        return A.adapt(spark.createDataFrame(rows, schema), kind, f"{kind}_rows").select("text", F.array_join("labels", ",").alias("labels"), "source")
+
+    run.__name__ = f"adapter_{kind}"
+    run.__doc__ = f"The {kind} adapter over literal rows of its external shape."
+    return run
+
+
+for _kind in ADAPTER_ROWS:
+    query(_adapter(_kind))
+
+
+@query
+def binary_labels(spark, d):
+    """Both variants of the binary label over literal spellings."""
+    v = F.col("v")
+    return spark.createDataFrame([(x,) for x in BINARY_LABELS], "v string").select(F.coalesce(v, F.lit("(null)")).alias("value"), A.to_binary(v).alias("build"), A.to_binary(v, build=False).alias("evaluate"))
+
+
+def _folder(spark, name: str) -> str:
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+@query
+def jsonl_round_trip(spark, d):
+    """Documents with text written as JSON lines and scanned again."""
+    path = _folder(spark, "jsonl")
+    docs = table(spark, d, "documents").select("text", "labels", "source")
+    written, skipped = sinks.write_jsonl(docs, path)
+    back = scan.read_jsonl(spark, path)
+    return back.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars"), F.sum(F.coalesce(F.size("labels"), F.lit(0))).alias("labels")).withColumn("written", F.lit(written).cast("long")).withColumn("skipped", F.lit(skipped).cast("long"))
+
+
+@query
+def split_round_trip(spark, d):
+    """The processed records written by split and read again."""
+    path = _folder(spark, "splits")
+    sinks.write_splits(records(spark, d).select("rec_id", "text", "split"), path)
+    return spark.read.parquet(path).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.sum("rec_id").alias("ids"), F.sum(F.length("text")).alias("chars"))
+
+
+@query
+def head_file_round_trip(spark, d):
+    """Head lines written as text files, scanned and counted again."""
+    path = _folder(spark, "heads")
+    sinks.write_head_lines(_lines(spark, d), path)
+    back = scan.read_head_lines(spark, path)
+    n = scan.count_labels(back)
+    return n.withColumn("lines", F.lit(back.count()))
+
+
+@query
+def detected_columns(spark, d):
+    """Detected text and label columns of every table that has a text."""
+    names = ["all_test", "documents", "test", "normalized_text"]
+    rows = []
+    for n in names:
+        cols = table(spark, d, n).columns
+        got = scan.detect_columns(cols)
+        rows.append((n, got["text"], got["label"], scan.detect_key([c.upper() for c in cols], scan.LABEL_KEYS)))
+    return spark.createDataFrame(rows, "name string, text_column string, label_column string, key string")
+
+
+def _loaded(spark, d: str) -> tuple[list, str, str]:
+    out = _folder(spark, "sources")
+    sources = {
+        "documents": ("generic", lambda: table(spark, d, "documents").select("text", F.array_join("labels", ",").alias("labels"))),
+        "binary": ("prompt_injection", lambda: table(spark, d, "test").select("text", F.col("label").cast("string").alias("label"))),
+        "nothing": ("generic", lambda: table(spark, d, "documents").select("text").limit(0)),
+        "missing": ("generic", lambda: spark.read.parquet(f"{d}/no_such_table")),
+    }
+    return *load_all(spark, sources, out), out
+
+
+@query
+def source_availability(spark, d):
+    """Load, adapt and write four sources, one empty and one that fails; what became of each."""
+    results, status, out = _loaded(spark, d)
+    report = sinks.load_report(spark, out, "availability")
+    a = availability(spark, results).drop("error").withColumn("overall", F.lit(status)).withColumn("reported", F.lit(report["status"]))
+    return a.withColumn("label_column", F.coalesce("label_column", F.lit("-"))).withColumn("text_column", F.coalesce("text_column", F.lit("-"))).withColumn("license", F.coalesce("license", F.lit("-")))
+
+
+@query
+def custom_files(spark, d):
+    """Local CSV and JSONL files found by a pattern, read as sources."""
+    path = _folder(spark, "custom")
+    sinks.write_text(spark, f"{path}/one.csv", 'text,label\n"a ""quoted""\nline",1\nplain,0\n')
+    sinks.write_text(spark, f"{path}/two.jsonl", '{"text": "first", "label": "1"}\n{"text": "second", "label": null}\n')
+    sinks.write_text(spark, f"{path}/skipped.txt", "not a source")
+    good, _ = scan.read_custom(spark, scan.custom_paths(spark, f"{path}/*"))
+    return reduce(DataFrame.unionByName, [df.select("text", F.col("label").cast("string").alias("label"), F.lit(n).alias("source")) for n, df in good.items()])
+
+
+@query
+def length_filter(spark, d):
+    return Q.length_between(table(spark, d, "documents")).select("doc_id")
+
+
+@query
+def capped_pairs(spark, d):
+    """Binary rows with a cap a source, negatives cut to twice and a half the positives."""
+    t = table(spark, d, "test").withColumn("hash", F.sha2(F.col("row_id").cast("string"), 256)).filter("label = 0 or row_id % 4 = 0")
+    return B.cap_pairs(t, 15).select("row_id", "label")
+
+
+@query
+def capped_safe(spark, d):
+    r = records(spark, d).withColumn("hash", F.concat(F.coalesce("hash", F.lit("")), F.lit("#"), "rec_id"))
+    return B.cap_safe_rows(r, F.coalesce(F.col("labels") == F.array(F.lit("safe")), F.lit(False)), 300, 0.05).select("rec_id")
+
+
+@query
+def blended(spark, d):
+    a, b = (table(spark, d, n).select("rec_id", F.sha2(F.col("rec_id").cast("string"), 256).alias("hash")) for n in ("all_val", "all_test"))
+    return B.blend(a, b.withColumn("extra", F.lit(1)))
+
+
+@query
+def cap_by_environment(spark, d):
+    """Caps by head and split under settings of the environment."""
+    envs = {"default": {}, "one head": {"SC_MAX_PER_LABEL_ABUSE": "80"}, "all": {"SC_MAX_PER_LABEL": "100"}, "older": {"SC_MAX_SAFE_PER_HEAD": "40"}, "none": {"SC_MAX_PER_LABEL": "0"}, "broken": {"SC_MAX_PER_LABEL": "x"}}
+    rows = [(n, h, s, B.resolve_cap(h, s, e)) for n, e in envs.items() for h in T.HEADS for s in ("train", "val")]
+    return spark.createDataFrame(rows, "setting string, head string, split string, cap int")
+
+
 @query
 def quota_scan(spark, d):
     t = table(spark, d, "documents").filter("text is not null")

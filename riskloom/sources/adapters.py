@@ -122,25 +122,56 @@ def moderation_410k(df: DataFrame, source: str) -> DataFrame:
 
 # Subcategories, the first that is part of the name wins.
 WILDGUARD = {
-    "toxic_language_hate_speech": "hate toxicity", "social_stereotypes_and_unfair_discrimination": "hate", "violence_and_physical_harm": "violence", "sexual_content": "sexual", "mental_health": "self_harm",
-    "fraud_assisting_illegal_activities": "illegal_activity", "copyright_violations": "illegal_activity", "private_information": "illegal_activity",
-    "sensitive_information_organization_government": "dangerous_information", "cyberattack": "dangerous_information", "defamation": "harassment",
+    "toxic_language_hate_speech": ["hate", "toxicity"],
+    "social_stereotypes_and_unfair_discrimination": ["hate"],
+    "violence_and_physical_harm": ["violence"],
+    "sexual_content": ["sexual"],
+    "mental_health": ["self_harm"],
+    "fraud_assisting_illegal_activities": ["illegal_activity"],
+    "copyright_violations": ["illegal_activity"],
+    "private_information": ["illegal_activity"],
+    "sensitive_information_organization_government": ["dangerous_information"],
+    "cyberattack": ["dangerous_information"],
+    "defamation": ["harassment"],
 }
+# Categories and their labels.
 BEAVERTAILS = {
-    "animal_abuse": "violence", "child_abuse": "sexual", "controversial_topics,politics": "unknown", "discrimination,stereotype,injustice": "hate", "drug_abuse,weapons,banned_substance": "dangerous_information",
-    "financial_crime,property_crime,theft": "illegal_activity", "hate_speech,offensive_language": "hate", "misinformation_regarding_ethics,laws_and_safety": "unknown", "non_violent_unethical_behavior": "unknown",
-    "privacy_violation": "illegal_activity", "self_harm": "self_harm", "sexually_explicit,adult_content": "sexual", "terrorism,organized_crime": "illegal_activity", "violence,aiding_and_abetting,incitement": "violence",
+    "animal_abuse": "violence",
+    "child_abuse": "sexual",
+    "controversial_topics,politics": "unknown",
+    "discrimination,stereotype,injustice": "hate",
+    "drug_abuse,weapons,banned_substance": "dangerous_information",
+    "financial_crime,property_crime,theft": "illegal_activity",
+    "hate_speech,offensive_language": "hate",
+    "misinformation_regarding_ethics,laws_and_safety": "unknown",
+    "non_violent_unethical_behavior": "unknown",
+    "privacy_violation": "illegal_activity",
+    "self_harm": "self_harm",
+    "sexually_explicit,adult_content": "sexual",
+    "terrorism,organized_crime": "illegal_activity",
+    "violence,aiding_and_abetting,incitement": "violence",
 }
+# Kinds of harm, the first that is part of the name wins.
 DO_NOT_ANSWER = {
-    "information hazards": "dangerous_information", "malicious uses": "illegal_activity", "discrimination, stereotype, injustice": "hate", "human trafficking": "illegal_activity", "financial crime": "illegal_activity",
-    "privacy violation": "illegal_activity", "mental health or self-harm": "self_harm", "self-harm": "self_harm", "violence": "violence", "hate speech": "hate", "adult content": "sexual", "terrorism": "illegal_activity",
-    "weapons": "dangerous_information",
+    "information hazards": ["dangerous_information"],
+    "malicious uses": ["illegal_activity"],
+    "discrimination, stereotype, injustice": ["hate"],
+    "human trafficking": ["illegal_activity"],
+    "financial crime": ["illegal_activity"],
+    "privacy violation": ["illegal_activity"],
+    "mental health or self-harm": ["self_harm"],
+    "self-harm": ["self_harm"],
+    "violence": ["violence"],
+    "hate speech": ["hate"],
+    "adult content": ["sexual"],
+    "terrorism": ["illegal_activity"],
+    "weapons": ["dangerous_information"],
 }
 
 
-def _first_part(value: Column, table: dict[str, str]) -> Column:
+def _first_part(value: Column, table: dict[str, list[str]]) -> Column:
     """Labels of the first key that is part of the value, else null."""
-    return F.coalesce(*[F.when(F.contains(value, F.lit(k)), literal_list(v.split())) for k, v in table.items()])
+    return F.coalesce(*[F.when(F.contains(value, F.lit(k)), literal_list(v)) for k, v in table.items()])
 
 
 def wildguard(df: DataFrame, source: str) -> DataFrame:
@@ -229,12 +260,17 @@ _POSITIVE = ["inject", "injection", "prompt_injection", "attack", "jailbreak", "
 _NEGATIVE = ["safe", "benign", "legit", "clean", "normal", "harmless", "none", "false", "0", "no", "negative"]
 
 
-def to_binary(value: Column) -> Column:
-    """0, 1 or null of a label of any spelling: numbers by 0.5, exact words, then positive parts before negative ones."""
+def to_binary(value: Column, build: bool = True) -> Column:
+    """0, 1 or null of a label of any spelling: numbers by 0.5, exact words, then positive parts before negative ones.
+
+    Two variants: in building data ``none`` is 0, ``null`` is null and ``positive`` /
+    ``negative`` are exact words; in evaluation ``none`` is null.
+    """
     s = F.lower(F.trim(value.cast("string")))
     num = s.try_cast("double")
+    empty, one, zero = (["", "nan", "null"], ["true", "yes", "positive"], ["false", "no", "negative"]) if build else (["", "nan", "none"], ["true", "yes"], ["false", "no"])
     return (
-        F.when(s.isNull() | s.isin("", "nan", "null"), F.lit(None).cast("int")).when(s.isin("true", "yes", "positive"), 1).when(s.isin("false", "no", "negative"), 0)
+        F.when(s.isNull() | s.isin(*empty), F.lit(None).cast("int")).when(s.isin(*one), 1).when(s.isin(*zero), 0)
         .when(num.isNotNull(), (num >= 0.5).cast("int")).when(s.rlike("|".join(_POSITIVE)), 1).when(s.rlike("|".join(_NEGATIVE)), 0)
     )
 

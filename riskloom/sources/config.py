@@ -85,6 +85,12 @@ def load_thresholds(path: str, calibrated: str | None = None) -> Thresholds:
     return t
 
 
+def write_routes(path: str, routes: dict[str, float], sweep: dict[str, list[dict]] | None = None) -> None:
+    """A file of calibrated routes (``labels``: route) that ``load_thresholds`` overlays; the sweep is kept beside them."""
+    doc = {"labels": {k: {"route": float(v)} for k, v in routes.items()}}
+    write_yaml(path, doc | ({"sweep": sweep} if sweep else {}))
+
+
 def load_runtime(path: str) -> RuntimeConfig:
     got = read_yaml(path)
     names = RuntimeConfig.__dataclass_fields__

@@ -38,6 +38,14 @@ def read_local(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path)
 
 
+def custom_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """CSV and JSONL files that a pattern of the file system matches, in order of name."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(p)
+    return sorted(x for x in (str(f.getPath()) for f in found or []) if x.endswith((".csv", ".jsonl")))
+
+
 def read_custom(spark: SparkSession, paths: list[str]) -> tuple[dict[str, DataFrame], dict[str, str]]:
     """Sources ``custom_<stem>`` of local files, and the errors of those that cannot be read."""
     good, bad = {}, {}
@@ -50,6 +58,12 @@ def read_custom(spark: SparkSession, paths: list[str]) -> tuple[dict[str, DataFr
     return good, bad
 
 
+def load_source(splits: dict[str, DataFrame], license: str | None = None) -> tuple[DataFrame, dict]:
+    """All splits of a source as one table, and what is known of it: columns, splits, licence and detected columns."""
+    df = concat_splits(list(splits.values()))
+    return df, {"columns": df.columns, "splits": list(splits), "license": license or "unknown", "detected": detect_columns(df.columns)}
+
+
 def concat_splits(splits: list[DataFrame]) -> DataFrame:
     """All splits of a source as one; columns may be missing in some."""
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), splits)
@@ -73,6 +87,11 @@ def quota_scan(df: DataFrame, text: str, group: Column, quota: int, order: Colum
     return top_by(df.filter(n.between(shortest, longest)).withColumn("_g", group), ["_g"], [order], quota).drop("_g")
 
 
+def read_head_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Head lines (value) of text files; a line ends at a line feed only, carriage returns belong to the text."""
+    return spark.read.text(path, lineSep="\n")
+
+
 def parse_head_lines(lines: DataFrame) -> DataFrame:
     """(text, labels) of head lines (value): leading ``__label__`` words are labels, [unknown] without any; equal texts are united."""
     w = F.filter(F.split(collapse(F.col("value")), " "), lambda x: x != "")

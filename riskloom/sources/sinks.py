@@ -10,18 +10,19 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import coarse_labels, literal_list
 from ..functions.text import collapse, strip
+from ..plans.staging import stage
 
 
 def write_jsonl(df: DataFrame, path: str, text: str = "text") -> tuple[int, int]:
-    """Write the rows with text as JSON lines; (written, skipped) by one pruned aggregate.
+    """Write the rows with text as JSON lines; (written, skipped).
 
-    (An ``Observation`` would save that pass, but leaves the session unusable for
-    functions of ML models, which serialize it.)
+    The plan runs once, into a staged table; rows are counted there, from one column.
     """
-    blank = strip(F.coalesce(F.col(text), F.lit(""))) == ""
-    df.filter(~blank).write.mode("overwrite").json(path)
-    n = df.agg(F.count_if(~blank).alias("written"), F.count_if(blank).alias("skipped")).first()
-    return n["written"], n["skipped"]
+    staged = stage(df.withColumn("_blank", strip(F.coalesce(F.col(text), F.lit(""))) == ""), "sink")
+    n = staged.groupBy("_blank").agg(F.count(F.lit(1)).alias("n")).collect()  # two rows, from the column of flags alone
+    staged.filter("not _blank").drop("_blank").write.mode("overwrite").json(path)
+    by = {r["_blank"]: r["n"] for r in n}
+    return by.get(False, 0), by.get(True, 0)
 
 
 def write_splits(df: DataFrame, path: str, kind: str = "parquet") -> None:
@@ -54,7 +55,7 @@ def write_report(spark: SparkSession, path: str, name: str, status: str, payload
         doc[title] = rows
         md += [f"## {title}", "", markdown_table(df.columns, [[r[c] for c in df.columns] for r in rows]), ""]
     for suffix, body in (("json", json.dumps(doc, indent=2, default=str, ensure_ascii=False)), ("md", "\n".join(md))):
-        _write_text(spark, f"{path}/{name}.{suffix}", body)
+        write_text(spark, f"{path}/{name}.{suffix}", body)
     return doc
 
 
@@ -62,7 +63,8 @@ def load_report(spark: SparkSession, path: str, name: str) -> dict:
     return json.loads("\n".join(r["value"] for r in spark.read.text(f"{path}/{name}.json", wholetext=True).collect()))
 
 
-def _write_text(spark: SparkSession, path: str, body: str) -> None:
+def write_text(spark: SparkSession, path: str, body: str) -> None:
+    """One small file, through Spark's file system."""
     jvm = spark.sparkContext._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     out = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(p, True)
@@ -89,3 +91,11 @@ def human_size(n: float | None) -> str:
             return f"{n:.1f}{unit}"
         n /= 1024
     return f"{n:.1f}GB"
+
+
+def file_size(spark: SparkSession, path: str) -> int:
+    """Bytes of a file, or of all files below a folder; 0 if there is nothing."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getContentSummary(p).getLength() if fs.exists(p) else 0

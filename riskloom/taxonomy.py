@@ -33,35 +33,69 @@ DEFAULT_THRESHOLDS = (0.20, 0.50, 0.80)
 
 # External names of each label.
 ALIASES = {
-    SAFE: "safe benign clean none ok negative 0 non_toxic not_toxic",
-    "prompt_injection": "injection prompt_injection prompt-injection promptinjection malicious_instruction indirect_injection malicious attack",
-    "jailbreak": "jailbreak jailbreak_attempt jailbreaking dan bypass",
-    "toxicity": "toxic toxicity severe_toxic severe_toxicity insult obscene profanity",
-    "hate": "hate identity_hate identity_attack hate_speech hatespeech discrimination",
-    "harassment": "harassment harass bullying",
-    "sexual": "sexual sexual_content sexual/minors sexual_minors porn nsfw",
-    "violence": "violence violent threat violence_graphic violence/graphic graphic_violence harassment_threatening harassment/threatening hate_threatening hate/threatening",
-    "self_harm": "self_harm self-harm selfharm self_harm_intent self-harm/intent self_harm_instructions self-harm/instructions suicide suicidal",
-    "dangerous_information": "dangerous dangerous_information weapons cyber_abuse cybercrime",
-    "illegal_activity": "illegal_activity illegal illegal_advice crime",
+    SAFE: ["safe", "benign", "clean", "none", "ok", "negative", "0", "non_toxic", "not_toxic"],
+    "prompt_injection": ["injection", "prompt_injection", "prompt-injection", "promptinjection", "malicious_instruction", "indirect_injection", "malicious", "attack"],
+    "jailbreak": ["jailbreak", "jailbreak_attempt", "jailbreaking", "dan", "bypass"],
+    "toxicity": ["toxic", "toxicity", "severe_toxic", "severe_toxicity", "insult", "obscene", "profanity"],
+    "hate": ["hate", "identity_hate", "identity_attack", "hate_speech", "hatespeech", "discrimination"],
+    "harassment": ["harassment", "harass", "bullying"],
+    "sexual": ["sexual", "sexual_content", "sexual/minors", "sexual_minors", "porn", "nsfw"],
+    "violence": ["violence", "violent", "threat", "violence_graphic", "violence/graphic", "graphic_violence", "harassment_threatening", "harassment/threatening", "hate_threatening", "hate/threatening"],
+    "self_harm": ["self_harm", "self-harm", "selfharm", "self_harm_intent", "self-harm/intent", "self_harm_instructions", "self-harm/instructions", "suicide", "suicidal"],
+    "dangerous_information": ["dangerous", "dangerous_information", "weapons", "cyber_abuse", "cybercrime"],
+    "illegal_activity": ["illegal_activity", "illegal", "illegal_advice", "crime"],
 }
-ALIAS_OF = {alias: label for label, names in ALIASES.items() for alias in names.split()}
+ALIAS_OF = {alias: label for label, names in ALIASES.items() for alias in names}
 SEXUAL_CONTEXT = ["sexual", "porn", "nsfw", "explicit"]
 
 # Raw categories of moderation models and the labels they count for.
 MODERATION_CATEGORIES = {
-    "harassment": "harassment toxicity", "harassment/threatening": "harassment toxicity violence", "harassment_threatening": "harassment toxicity violence",
-    "hate": "hate", "hate/threatening": "hate violence", "hate_threatening": "hate violence", "self-harm": "self_harm", "self_harm": "self_harm",
-    "self-harm/intent": "self_harm", "self_harm_intent": "self_harm", "self-harm/instructions": "self_harm", "self_harm_instructions": "self_harm",
-    "sexual": "sexual", "sexual/minors": "sexual", "sexual_minors": "sexual", "violence": "violence", "violence/graphic": "violence", "violence_graphic": "violence",
-    "dangerous": "dangerous_information", "dangerous_information": "dangerous_information", "weapons": "dangerous_information",
-    "illegal": "illegal_activity", "illegal_activity": "illegal_activity", "toxic": "toxicity", "toxicity": "toxicity",
-    "h": "hate", "h2": "hate violence", "hr": "harassment toxicity", "s": "sexual", "s3": "sexual", "sh": "self_harm", "v": "violence", "v2": "violence",
+    "harassment": ["harassment", "toxicity"],
+    "harassment/threatening": ["harassment", "toxicity", "violence"],
+    "harassment_threatening": ["harassment", "toxicity", "violence"],
+    "hate": ["hate"],
+    "hate/threatening": ["hate", "violence"],
+    "hate_threatening": ["hate", "violence"],
+    "self-harm": ["self_harm"],
+    "self_harm": ["self_harm"],
+    "self-harm/intent": ["self_harm"],
+    "self_harm_intent": ["self_harm"],
+    "self-harm/instructions": ["self_harm"],
+    "self_harm_instructions": ["self_harm"],
+    "sexual": ["sexual"],
+    "sexual/minors": ["sexual"],
+    "sexual_minors": ["sexual"],
+    "violence": ["violence"],
+    "violence/graphic": ["violence"],
+    "violence_graphic": ["violence"],
+    "dangerous": ["dangerous_information"],
+    "dangerous_information": ["dangerous_information"],
+    "weapons": ["dangerous_information"],
+    "illegal": ["illegal_activity"],
+    "illegal_activity": ["illegal_activity"],
+    "toxic": ["toxicity"],
+    "toxicity": ["toxicity"],
+    "h": ["hate"],
+    "h2": ["hate", "violence"],
+    "hr": ["harassment", "toxicity"],
+    "s": ["sexual"],
+    "s3": ["sexual"],
+    "sh": ["self_harm"],
+    "v": ["violence"],
+    "v2": ["violence"],
 }
 MODERATION_SAFE = ["safe", "benign", "ok", "none", "clean", "neutral"]
 TOXIC_CATEGORIES = {
-    "toxic": "toxicity", "toxicity": "toxicity", "severe_toxic": "toxicity", "severe_toxicity": "toxicity", "insult": "toxicity", "obscene": "toxicity",
-    "threat": "violence", "identity_hate": "hate", "identity_attack": "hate", "hate": "hate",
+    "toxic": ["toxicity"],
+    "toxicity": ["toxicity"],
+    "severe_toxic": ["toxicity"],
+    "severe_toxicity": ["toxicity"],
+    "insult": ["toxicity"],
+    "obscene": ["toxicity"],
+    "threat": ["violence"],
+    "identity_hate": ["hate"],
+    "identity_attack": ["hate"],
+    "hate": ["hate"],
 }
 TOXIC_SAFE = ["non_toxic", "non-toxic", "safe", "neutral", "clean", "label_0"]
 INJECTION_TOKENS = ["injection", "prompt_injection", "malicious", "attack", "unsafe"]

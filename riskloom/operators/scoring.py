@@ -8,8 +8,10 @@ streams.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -18,6 +20,7 @@ from pyspark.sql import functions as F
 from .. import taxonomy as T
 from ..functions.labels import literal_list
 from ..functions.rules import attack_phrase
+from .evaluate import reached
 
 SCORES = "array<struct<label:string,score:double>>"
 WINDOWED = "array<struct<label:string,score:double,window:string>>"
@@ -133,6 +136,25 @@ def sigmoid(logits: Column) -> Column:
     return F.transform(logits, lambda x: 1 / (1 + F.exp(-x)))
 
 
+def digits(score: Column, places: int) -> Column:
+    """A score of 0 to 1 as text with fixed places, rounded on its exact binary value, half to even."""
+    steps = []
+    for k in range(10**places):
+        exact = Decimal(2 * k + 1) / (2 * 10**places)
+        near = float(exact)
+        up = Decimal(near) > exact or (Decimal(near) == exact and k % 2 == 1)
+        steps.append(near if up else math.nextafter(near, 2.0))
+    k = reached(score, steps)
+    return F.concat(F.floor(k / 10**places).cast("string"), F.lit("."), F.lpad((k % 10**places).cast("string"), places, "0"))
+
+
+# Reason texts.
+FULL_SCAN = "full_scan enabled -> running %s"
+HEADS_TO = {"prompt_injection": "FastText attack head routed to prompt injection detector", "jailbreak": "FastText attack head routed to jailbreak detector"}
+PHRASE_TO = {"prompt_injection": "Attack heuristic routed to prompt injection detector", "jailbreak": "Attack heuristic routed to jailbreak detector"}
+TOXIC_FALLBACK = "Toxic fallback invoked on medium-confidence abuse result"
+
+
 def suggested_models(heads: Scores, thresholds: dict[str, tuple[float, float, float]] | None = None) -> Column:
     """Models whose labels reach their route threshold, in model order (information only)."""
     t = thresholds or T.THRESHOLDS
@@ -148,12 +170,12 @@ def select_models(heads: Scores, detection: Column, available: list[str], thresh
     first = F.coalesce(*[F.when(heads[x] >= t[x][0], F.lit(x)) for x in T.MODERATED])
     if full_scan:
         order = ["prompt_injection", "jailbreak", "moderation"] + (["toxic"] if toxic_fallback else [])
-        steps = [(m, F.lit(True), F.lit(f"full_scan enabled -> running {m}")) for m in order]
+        steps = [(m, F.lit(True), F.lit(FULL_SCAN % ("toxic fallback" if m == "toxic" else m))) for m in order]
     else:
         steps = [
-            ("prompt_injection", pi >= t["prompt_injection"][0], F.lit("heads routed to prompt_injection")), ("prompt_injection", phrase, F.lit("phrase routed to prompt_injection")),
-            ("jailbreak", phrase, F.lit("phrase routed to jailbreak")), ("jailbreak", jb >= t["jailbreak"][0], F.lit("heads routed to jailbreak")),
-            ("moderation", first.isNotNull(), F.concat(F.lit("heads routed "), first, F.lit(" to moderation"))),
+            ("prompt_injection", pi >= t["prompt_injection"][0], F.lit(HEADS_TO["prompt_injection"])), ("prompt_injection", phrase, F.lit(PHRASE_TO["prompt_injection"])),
+            ("jailbreak", phrase, F.lit(PHRASE_TO["jailbreak"])), ("jailbreak", jb >= t["jailbreak"][0], F.lit(HEADS_TO["jailbreak"])),
+            ("moderation", first.isNotNull(), F.concat(F.lit("FastText routed "), first, F.lit(" to moderation model"))),
         ]
     seen: dict[str, Column] = {}
     out = []
@@ -166,7 +188,8 @@ def select_models(heads: Scores, detection: Column, available: list[str], thresh
     if fast_block is not None and not full_scan:
         skip = (pi >= fast_block) | (jb >= fast_block)
         models = F.when(skip, literal_list([])).otherwise(models)
-        reasons = F.when(skip, literal_list([f"attack score reached fast_block_threshold {fast_block} -> no model needed"])).otherwise(reasons)
+        said = F.concat(F.lit("FastText attack score "), digits(F.greatest(pi, jb), 3), F.lit(f" >= fast_block_threshold {fast_block} -> skipping transformer"))
+        reasons = F.when(skip, F.array(said)).otherwise(reasons)
     return F.struct(models.alias("models"), reasons.alias("reasons"))
 
 
@@ -233,9 +256,10 @@ def decide(merged: Scores, thresholds: dict | None = None, heads: Scores | None
 
     final, routed = ranked(2), ranked(1)
     labels = F.when(F.size(final) > 0, final).when((top >= 0.20) & (F.size(routed) > 0), F.slice(routed, 1, 1)).otherwise(literal_list([T.SAFE]))
-    said = [F.when(level[x] >= 2, F.concat(F.format_string(f"{x} score %.2f crossed ", merged[x]), F.when(level[x] == 3, F.lit(f"block threshold {t[x][2]:.2f}")).otherwise(F.lit(f"review threshold {t[x][1]:.2f}")))) for x in T.SCORED]
+    said = [F.when(level[x] >= 2, F.concat(F.lit(f"{x} score "), digits(merged[x], 2), F.when(level[x] == 3, F.lit(f" crossed block threshold {t[x][2]:.2f}")).otherwise(F.lit(f" crossed review threshold {t[x][1]:.2f}")))) for x in T.SCORED]
     if heads is not None:
-        said += [F.when((heads[x] >= 0.30) & (merged[x] >= 0.30), F.format_string(f"heads and models agree on {x} (heads %.2f, merged %.2f)", heads[x], merged[x])) for x in T.SCORED]
+        agree = lambda x: F.concat(F.lit(f"FastText and transformer agree on {x} (ft="), digits(heads[x], 2), F.lit(", model="), digits(merged[x], 2), F.lit(") — elevated confidence"))
+        said += [F.when((heads[x] >= 0.30) & (merged[x] >= 0.30), agree(x)) for x in T.SCORED]
     return F.struct(decision.alias("decision"), risk.alias("risk_level"), labels.alias("labels"), F.array_compact(F.array(*said)).alias("reasons"))
 
 

@@ -6,6 +6,7 @@ import re
 
 from . import taxonomy as T
 from .oracle_cases import cases
+from .oracle_decisions import decisions
 
 _R = """recs AS (
   SELECT 'train' AS split, rec_id, text, labels, source, sources, hash, raw_labels FROM all_train
@@ -168,6 +169,21 @@ def _route_balance(where: str, cap: int, train: bool) -> str:
     return f"WITH {base} SELECT routes, sum(c)::BIGINT AS n FROM (SELECT routes, {times} AS c FROM k, t WHERE a AND t.n > 0 UNION ALL SELECT routes, n FROM rest) GROUP BY routes HAVING sum(c) > 0"
 
 
+def _augment() -> str:
+    """Masked, zero-width and spaced variants, the first two that are new."""
+    words = f"list_filter(string_split(regexp_replace(text, '{_SPACES[:-1]}+', ' ', 'g'), ' '), lambda x: x <> '')"
+    zero = "text"
+    for a, b in (("ignore", "ign\u200bore"), ("previous", "prev\u200bious"), ("instructions", "instr\u200buctions"), ("system", "sys\u200btem"), ("prompt", "pro\u200bmpt"), ("jailbreak", "jail\u200bbreak")):
+        zero = f"replace(replace({zero}, '{a}', '{b}'), '{a.title()}', '{b}')"
+    spaced = "text"
+    for a in ("ignore", "bypass", "jailbreak"):
+        spaced = f"replace(replace({spaced}, '{a}', '{' '.join(a)}'), '{a.title()}', '{' '.join(a)}')"
+    return f"""WITH t AS (SELECT row_id, replace(replace(text, 'order', 'prompt'), 'hidden', 'bypass') AS text FROM test WHERE label = 1 AND text IS NOT NULL), w AS (SELECT *, {words} AS w FROM t),
+      v AS (SELECT row_id, text, [CASE WHEN len(w) >= 6 THEN array_to_string(list_transform(w, lambda x, i: CASE WHEN (i - 1) % 9 = 2 AND length(x) > 3 AND regexp_full_match(x, '[\\p{{L}}]+') THEN '[MASK]' ELSE x END), ' ') ELSE text END, {zero}, {spaced}] AS v FROM w),
+      f AS (SELECT row_id, list_filter(v, lambda x, i: x <> text AND x <> '' AND list_position(v, x) = i)[1:2] AS v FROM v)
+      SELECT row_id, (i - 1)::INT AS i, v[i] AS variant FROM f, unnest(range(1, len(v) + 1)) u(i)"""
+
+
 def _more() -> dict[str, str]:
     """Evaluation, balance and adapter queries."""
     R, S = f"WITH {_R} ", f"WITH {_R}, {_SCORES}"
@@ -206,6 +222,14 @@ def _more() -> dict[str, str]:
             SELECT kind, CASE WHEN labels = '' THEN 'safe' ELSE labels END AS labels, count(*) AS n FROM b GROUP BY ALL
             UNION ALL SELECT 'route', CASE WHEN t OR h OR i OR v OR s THEN 'moderation' ELSE 'safe' END, count(*) FROM a GROUP BY ALL""",
         "head_file_round_trip": f"{_head_rows()} SELECT x AS label, count(*) AS n, (SELECT count(*) FROM heads WHERE text IS NOT NULL) AS lines FROM heads, unnest(labels) u(x) WHERE text IS NOT NULL GROUP BY x",
+        "adapt_binary": f"""{R}, a AS (SELECT rec_id, CASE WHEN raw_labels IS NOT NULL THEN lower(trim(array_to_string(list_filter(raw_labels, lambda x: x IS NOT NULL), ' '))) END AS s FROM recs)
+            SELECT rec_id, CASE WHEN s IS NULL OR s IN ('', 'nan', 'null') THEN NULL WHEN s IN ('true', 'yes', 'positive') THEN 1 WHEN s IN ('false', 'no', 'negative') THEN 0 WHEN try_cast(s AS DOUBLE) IS NOT NULL THEN (try_cast(s AS DOUBLE) >= 0.5)::INT
+            WHEN regexp_matches(s, 'inject|attack|jailbreak|malicious|unsafe|harmful|true|1|yes|positive') THEN 1 WHEN regexp_matches(s, 'safe|benign|legit|clean|normal|harmless|none|false|0|no|negative') THEN 0 END AS binary FROM a""",
+        "category_scores": f"""{R}, cat(name, labels) AS (VALUES {", ".join(f"({_q(k)}, {_list(v)})" for k, v in T.MODERATION_CATEGORIES.items())}),
+            k AS (SELECT rec_id, unnest(list_distinct(list_filter(raw_labels, lambda x: x IS NOT NULL))) AS k FROM recs WHERE raw_labels IS NOT NULL), n AS (SELECT rec_id, length(k) / 100.0::DOUBLE AS v, replace(lower(trim(k)), ' ', '_') AS n FROM k),
+            u AS (SELECT rec_id, v, unnest(coalesce(a.labels, b.labels, c.labels)) AS label FROM n LEFT JOIN cat a ON a.name = n LEFT JOIN cat b ON b.name = replace(n, '_', '/') LEFT JOIN cat c ON c.name = replace(n, '/', '_') WHERE NOT regexp_matches(n, 'safe|benign|ok|none|clean|neutral'))
+            SELECT rec_id, label, max(v) AS score FROM u GROUP BY ALL""",
+        "augment": _augment(),
         "oversample": _oversample(["toxicity", "hate", "harassment", "sexual", "violence", "self_harm"], 120),
         "route_balance": " UNION ALL ".join(f"SELECT {_q(x)} AS split, * FROM ({_route_balance(f'split = {_q(x)}', 500, x == 'train')})" for x in ("train", "val", "test")),
     }
@@ -323,5 +347,5 @@ def oracle_sql() -> dict[str, str]:
         "quota_scan": "SELECT doc_id, kind FROM (SELECT doc_id, kind, row_number() OVER (PARTITION BY coalesce(kind, '-') ORDER BY doc_id) AS r FROM documents WHERE length(trim(text)) BETWEEN 8 AND 2000) WHERE r <= 20",
         "tumbling_events": "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, sum(round(value * 100)::BIGINT)::BIGINT AS cents FROM events GROUP BY ALL",
     }
-    out |= _more() | cases()
+    out |= _more() | cases() | decisions()
     return {k: re.sub(r"\n\s+", " ", v) for k, v in out.items()}

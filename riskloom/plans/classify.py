@@ -12,9 +12,15 @@ from ..functions.text import normalize
 from ..functions.windows import with_windows
 from ..operators import scoring as S
 
-def classify(df: DataFrame, heads: S.Scorer | None, models: dict[str, S.Scorer], text: str = "text", thresholds: dict | None = None, full_scan: bool = False,
-             toxic_fallback: bool = False, fast_block: float | None = None, merge_heads: bool = True, windowing: bool = True) -> DataFrame:
-    """Normalize, score with the heads, route, confirm, merge and decide.
+def classify(df: DataFrame, heads: S.Scorer | None, models: dict[str, S.Scorer], text: str = "text", **options) -> DataFrame:
+    """Normalize the text and classify it; columns and options of ``classify_normalized``."""
+    own = [c for c in df.columns if c != "labels"]
+    return classify_normalized(normalize(df.select(*own), text), heads, models, text, **options)
+
+
+def classify_normalized(df: DataFrame, heads: S.Scorer | None, models: dict[str, S.Scorer], text: str = "text", thresholds: dict | None = None, full_scan: bool = False,
+                        toxic_fallback: bool = False, fast_block: float | None = None, merge_heads: bool = True, windowing: bool = True) -> DataFrame:
+    """Of normalized rows (text, model_text, detection_text, flags): score with the heads, route, confirm, merge and decide.
 
     Adds ``gate``, ``decision``, ``risk_level``, ``labels``, ``reasons``, ``scores``,
     ``internal_scores``, ``triggered`` and ``skipped``.  Null and blank texts are
@@ -22,7 +28,7 @@ def classify(df: DataFrame, heads: S.Scorer | None, models: dict[str, S.Scorer],
     is the candidate pipeline: heads only route and models see whole texts.
     """
     own = [c for c in df.columns if c != "labels"]
-    d = normalize(df, text).withColumn("_given", F.col("model_text").isNotNull())
+    d = df.withColumn("_given", F.col("model_text").isNotNull() & F.col("detection_text").isNotNull())
     d = with_gate(d, "detection_text", text, "flags")
     d = d.withColumn("_heads", S.score_text(heads, F.col("detection_text")) if heads else F.array().cast(S.SCORES))
     d, h = S.with_scores(d, "_h_", F.col("_heads"))
@@ -44,7 +50,7 @@ def classify(df: DataFrame, heads: S.Scorer | None, models: dict[str, S.Scorer],
     d, merged = S.with_scores(d, "_to_", *sources)
     made = S.decide(merged, thresholds, h if heads else None)
     ran = F.concat("_models", F.when(F.col("_fall"), literal_list(["toxic"])).otherwise(literal_list([])))
-    said = F.concat("_why", *[S.window_reasons(F.col(f"_m_{m}"), thresholds) for m in S.MODELS if m in models], F.when(F.col("_fall"), literal_list(["toxic fallback on a medium abuse score"])).otherwise(literal_list([])), made["reasons"])
+    said = F.concat("_why", *[S.window_reasons(F.col(f"_m_{m}"), thresholds) for m in S.MODELS if m in models and (m != "toxic" or full_scan)], F.when(F.col("_fall"), literal_list([S.TOXIC_FALLBACK])).otherwise(literal_list([])), made["reasons"])
     public, internal = S.respond(merged)
     made = F.struct(
         made["decision"].alias("decision"), made["risk_level"].alias("risk_level"), made["labels"].alias("labels"), said.alias("reasons"), public.alias("scores"), internal.alias("internal_scores"),
@@ -52,8 +58,8 @@ def classify(df: DataFrame, heads: S.Scorer | None, models: dict[str, S.Scorer],
     )
     # A filter on the results must not be copied down through every step as one huge
     # expression; Catalyst stops at a generator, here one of a single row.
-    d = d.select(*own, "model_text", "detection_text", "text_hash", "flags", "gate", F.explode(F.array(F.when(F.col("_given"), made))).alias("_made"))
-    return d.select(*own, "model_text", "detection_text", "text_hash", "flags", "gate", "_made.*")
+    d = d.select(*own, "gate", F.explode(F.array(F.when(F.col("_given"), made))).alias("_made"))
+    return d.select(*own, "gate", "_made.*")
 
 
 def stand_ins(toxic: bool = False) -> tuple[S.Scorer, dict[str, S.Scorer]]:

@@ -18,13 +18,14 @@ from .operators import balance as B
 from .operators import compose as C
 from .operators import dedup as D
 from .operators import evaluate as E
+from .operators import heads
 from .operators import quality as Q
 from .operators import reports as R
 from .operators import scoring as S
-from .plans.classify import classify, stand_ins
+from .plans.classify import classify, classify_normalized, stand_ins
 from .plans.parallel import spread
 from .plans.prepare import availability, load_all, process
-from .plans.staging import shared_dir
+from .plans.staging import shared_dir, stage
 from .sources import adapters as A
 from .sources import scan, sinks
 from .streaming.stream import tumbling_counts
@@ -384,6 +385,52 @@ def classify_candidate(spark, d):
     return c.select("doc_id", "decision", "risk_level", "labels", "triggered")
 
 
+def _stored(spark, d) -> DataFrame:
+    """Rows as an earlier run normalized them."""
+    return spread(table(spark, d, "normalized_text").withColumnRenamed("original_text", "text").filter("detection_text is not null and model_text is not null"))
+
+
+@query
+def classify_stored(spark, d):
+    """Text to decision from stored normalized texts: every step but normalization."""
+    heads, models = stand_ins(toxic=True)
+    c = classify_normalized(_stored(spark, d), heads, models, toxic_fallback=True)
+    return c.select("norm_id", "decision", "risk_level", F.array_join("labels", ",").alias("labels"), F.array_join("triggered", ",").alias("triggered"), F.array_join("skipped", ",").alias("skipped"), F.md5(F.array_join("reasons", "|")).alias("reasons_hash"), "scores.*", "internal_scores.*")
+
+
+@query
+def classify_full_scan(spark, d):
+    """All models over all windows."""
+    heads, models = stand_ins(toxic=True)
+    c = classify_normalized(_stored(spark, d), heads, models, full_scan=True, toxic_fallback=True)
+    return c.select("norm_id", "decision", "risk_level", F.array_join("labels", ",").alias("labels"), F.array_join("triggered", ",").alias("triggered"), F.md5(F.array_join("reasons", "|")).alias("reasons_hash"))
+
+
+@query
+def classify_fast_block(spark, d):
+    """A high attack score of the heads alone decides; no model runs for it."""
+    heads, models = stand_ins()
+    c = classify_normalized(_stored(spark, d), heads, models, fast_block=0.9)
+    return c.select("norm_id", "decision", F.array_join("triggered", ",").alias("triggered"), F.md5(F.array_join("reasons", "|")).alias("reasons_hash"))
+
+
+@query
+def stored_decisions(spark, d):
+    return R.decision_distribution(classify_normalized(_stored(spark, d), *stand_ins(toxic=True), toxic_fallback=True))
+
+
+@query
+def stored_routing(spark, d):
+    return R.routing_distribution(classify_normalized(_stored(spark, d), *stand_ins(toxic=True), toxic_fallback=True))
+
+
+@query
+def gate_stored(spark, d):
+    """The gate over stored texts and flags."""
+    g = rules.with_gate(_stored(spark, d), "detection_text", "text", "flags", "g")
+    return g.select("norm_id", F.array_join("g.force_route", ",").alias("routes"), F.array_join("g.reasons", ",").alias("reasons"), "g.block", "g.allow_fast_skip", "g.matched")
+
+
 @query
 def decision_distribution(spark, d):
     return R.decision_distribution(classify_documents(spark, d).filter("decision is not null"))
@@ -625,6 +672,25 @@ def component_status(spark, d):
     return c.groupBy("part").agg(R.worst_status(F.col("status")).alias("status"), F.array_join(F.array_sort(F.collect_list(R.benchmark_verdict(F.col("f1")))), ",").alias("verdicts"))
 
 
+def _trained(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Heads trained on all_train, their scores of all_val and all_test, with gold labels of each head."""
+    keep = lambda n: B.head_projection(spread(table(spark, d, n)).filter("text is not null and labels is not null").select("rec_id", "text", "sources", F.array_distinct(F.array_compact("labels")).alias("labels")))
+    train = keep("all_train")
+    made = [heads.train_head(train.filter(F.col("head") == h).select("text", "head_labels"), h, params=heads.HeadParams(buckets=1 << 16, iterations=10)) for h in T.HEADS]
+    return [stage(heads.score_heads(keep(n).withColumnRenamed("text", "detection_text"), made), "head-scores") for n in ("all_val", "all_test")]
+
+
+@query
+def trained_heads(spark, d):
+    """Trained n-gram heads on the test split: rates of every head and label at 0.5, with the routes calibrated on the validation split."""
+    val, test = _trained(spark, d)
+    long = lambda df: df.select("head", F.explode(F.transform("head_scores", lambda s: F.struct(s["label"].alias("label"), F.array_contains("head_labels", s["label"]).cast("int").alias("gold"), s["score"].alias("score")))).alias("e")).select("head", "e.*")
+    wanted = spark.createDataFrame([(h, x) for h, xs in T.HEADS.items() for x in xs if x != T.SAFE], "head string, label string")
+    own = lambda df: long(df).join(F.broadcast(wanted), ["head", "label"], "left_semi")  # noqa: E731  # a fixed list of labels
+    routes = C.calibrate_heads(own(val), ["head", "label"])[0].select("head", "label", "recommended")
+    return C.label_metrics(own(test), ["head", "label"]).join(routes, ["head", "label"], "left")
+
+
 # reports --------------------------------------------------------------------
 
 

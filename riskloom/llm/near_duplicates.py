@@ -32,8 +32,8 @@ def classes(rows: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, Dat
 
     ``cid`` is the least id of the class, ``rows`` the number of its records.
     """
-    sets = rows.filter(F.col(text_col).rlike(WORD)).select(F.col(id_col).alias("id"), F.array_sort(word_list(text_col)).alias("words"))
-    recs = stage(sets.select("id", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), tokens_of(F.col("words")).alias("tokens")), "p4-records")
+    sets = rows.filter(F.col(text_col).rlike(WORD)).select(F.col(id_col).alias("id"), tokens_of(word_list(text_col)).alias("tokens"))
+    recs = stage(sets.select("id", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), "tokens").alias("h2"), "tokens"), "p4-records")
     both = F.lit(LEFT | RIGHT).alias("role")
     copies = stage(recs.groupBy(*_HASHES).agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("rows")).filter("rows > 1").withColumn("role", both), "p4-copies")
     heads = join_checked(recs, copies.drop("role"), _HASHES, "rows", how="left").filter("cid is null or cid = id")

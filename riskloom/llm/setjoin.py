@@ -100,8 +100,8 @@ def mix(*parts: np.ndarray) -> np.ndarray:
 
 
 def tokens_of(words: Column) -> Column:
-    """64-bit hashes of words."""
-    return F.transform(words, lambda w: F.xxhash64(w))
+    """64-bit hashes of words, sorted: equal for equal sets."""
+    return F.array_sort(F.transform(words, lambda w: F.xxhash64(w)))
 
 
 @dataclass
@@ -296,7 +296,7 @@ def _ranges(key: np.ndarray, role: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 
 def pairs_of(key: np.ndarray, cid: np.ndarray, meta: np.ndarray, bits: np.ndarray, share: Share) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs (i, j), i LEFT and j RIGHT, of postings of one region that may be within the threshold; sorted by key and meta."""
+    """Index pairs (i, j), i LEFT and j RIGHT, of postings of one region that may be within the threshold; sorted by key, of two tables the RIGHT ones first."""
     size, skip, role = ((meta >> 16) & 0xFFFF).astype(np.int32), (meta & 0xFFFF).astype(np.int32), ((meta >> 62) & 3).astype(np.int8)
     apart = share.apart(np.arange(2 * int(size.max(initial=0)) + 1)).astype(np.int32)
     # apart[a + b] - skipped words <= left[a] + left[b]; in a byte for the blocks
@@ -351,6 +351,10 @@ def joined(postings: DataFrame, share: Share) -> DataFrame:
             done, held = [c[:cut] for c in cols], [[c[cut:] for c in cols]]
             rows = len(cols[0]) - cut
             if cut:
+                role = (done[2] >> 62) & 3
+                if (role != LEFT | RIGHT).any():
+                    order = np.lexsort((-role, done[0]))
+                    done = [c[order] for c in done]
                 i, j = pairs_of(*done, share)
                 a, b = done[1][i], done[1][j]
                 if len(a):
@@ -368,7 +372,7 @@ def joined(postings: DataFrame, share: Share) -> DataFrame:
         if rows:
             yield from flush(True)
 
-    placed = postings.select(*ROW).repartition("key").sortWithinPartitions("key", "meta")
+    placed = postings.select(*ROW).repartition("key").sortWithinPartitions("key")
     return placed.mapInArrow(run, "cid_l long, cid_r long")
 
 

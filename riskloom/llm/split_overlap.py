@@ -49,8 +49,8 @@ def overlaps(evaluation: DataFrame, training: DataFrame, id_col: str = "rec_id",
     e = evaluation.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), "split", src.alias("source"), F.lit(LEFT).alias("role"))
     t = training.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.lit("train").alias("split"), F.lit(None).cast("string").alias("source"), F.lit(RIGHT).alias("role"))
     every = e.unionByName(t)
-    recs = every.filter(F.col("text").rlike(WORD)).withColumn("words", F.array_sort(word_list("text")))
-    recs = recs.select("split", "source", "id", "role", F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(1), "words").alias("h2"), tokens_of(F.col("words")).alias("tokens"))
+    recs = every.filter(F.col("text").rlike(WORD)).withColumn("tokens", tokens_of(word_list("text")))
+    recs = recs.select("split", "source", "id", "role", F.xxhash64("tokens").alias("h1"), F.xxhash64(F.lit(1), "tokens").alias("h2"), "tokens")
     recs = stage(recs, "p5-records")
     copies = stage(recs.groupBy(*CLASS).agg(F.min("id").alias("cid"), F.count(F.lit(1)).alias("rows")).filter("rows > 1"), "p5-copies")
     heads = join_checked(recs, copies, CLASS, "rows", how="left").filter("cid is null or cid = id").select(F.col("id").alias("cid"), "role", "tokens")

@@ -16,8 +16,10 @@ from __future__ import annotations
 import base64
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -29,8 +31,6 @@ from .lexicon import Lexicon, build
 
 #: Words compiled into the lexicon, at most; bounds what the driver holds.
 LEXICON_WORDS = 1 << 16
-#: Words a worker remembers between batches, at most.
-REMEMBERED = 1 << 18
 #: Fixed value: how the tokenizer cuts a text into words.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -121,28 +121,36 @@ def compile_lexicon(spark: SparkSession, words: list[str], ranks: dict[bytes, in
     return name
 
 
-def encoder(lexicon: Lexicon | None, ranks: dict[bytes, int]):
-    """A function text -> ids with its own bounded memory of words."""
-    cut, known = regex.compile(PATTERN).findall, {}
+def encoder(lexicon: Lexicon | None, ranks: dict[bytes, int]) -> Callable[[list[str | None]], tuple[np.ndarray, np.ndarray]]:
+    """A function texts -> (number of ids of each text, all ids in order).
 
-    def look_up(word: str) -> list[int]:
+    The distinct words of the texts are looked up in the lexicon once, those it does
+    not hold are merged; the ids of the texts are then gathered by word number.
+    Nothing is remembered from one call to the next.
+    """
+    cut = regex.compile(PATTERN).findall
+
+    def ids_of(word: str) -> list[int]:
         raw = word.encode("utf-8", "replace")
         ids = lexicon.get(raw) if lexicon else None
-        if ids is None:
-            ids = merge(raw, ranks)
-        if len(known) >= REMEMBERED:
-            known.clear()
-        if len(word) <= 64:
-            known[word] = ids
-        return ids
-
-    def encode(text: str) -> list[int]:
-        out: list[int] = []
-        get = known.get
-        for w in cut(text):
-            ids = get(w)
-            out += ids if ids is not None else look_up(w)
-        return out
+        return merge(raw, ranks) if ids is None else ids
+
+    def encode(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        number: dict[str, int] = {}
+        codes, words = [], []
+        for t in texts:
+            ws = cut(t) if t else ()
+            codes += [number.setdefault(w, len(number)) for w in ws]
+            words.append(len(ws))
+        table = [ids_of(w) for w in number]
+        sizes = np.fromiter(map(len, table), np.int64, len(table))
+        flat = np.fromiter(chain.from_iterable(table), np.int32, int(sizes.sum()))
+        code = np.array(codes, dtype=np.int64)
+        each = sizes[code]
+        at = np.repeat((np.cumsum(sizes) - sizes)[code], each) + np.arange(int(each.sum())) - np.repeat(np.cumsum(each) - each, each)
+        ends = np.r_[0, np.cumsum(each)]
+        stop = np.cumsum(words)
+        return ends[stop] - ends[stop - words], flat[at]
 
     return encode
 
@@ -156,8 +164,8 @@ def encode(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", voc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(Lexicon(SparkFiles.get(name)), read_ranks(path))
         for batch in batches:
-            ids = [enc(t) if t else [] for t in batch.column(1).to_pylist()]
-            col = pa.array([len(x) for x in ids], pa.int32()) if lengths_only else pa.array(ids, pa.list_(pa.int32()))
+            n, ids = enc(batch.column(1).to_pylist())
+            col = pa.array(n.astype(np.int32)) if lengths_only else pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([batch.column(0), col], names=[id_col, "tokens" if lengths_only else "ids"])
 
     kind = texts.schema[id_col].dataType.simpleString()

@@ -15,7 +15,7 @@ cats AS (
 n AS (SELECT count(*) AS n FROM all_test),
 held AS (SELECT label, count(*) AS available FROM cats GROUP BY label),
 p1 AS (
-  SELECT s.request_id, s.label, coalesce(h.available, 0)::BIGINT AS available,
+  SELECT s.request_id, s.label, s.target_pct, coalesce(h.available, 0)::BIGINT AS available,
          greatest(s.min_rows, (s.target_pct * ((n.n * s.sample_pct) // 100) + 99) // 100)::BIGINT AS wanted
   FROM sample_targets s CROSS JOIN n LEFT JOIN held h ON h.label = s.label
 )
@@ -86,6 +86,24 @@ def _look(c: str) -> str:
     return f"nfc_normalize(translate({out}, '{a}', '{b.replace(chr(39), chr(39) * 2)}'))"
 
 
+def _chunks(table: str, split: str) -> str:
+    """Chunks (rec_id, split, source, digest, length) of a table; a record without words has one row of nulls."""
+    return f"""SELECT rec_id, '{split}' AS split, source, md5(c) AS digest, length(replace(c, ' ', ''))::BIGINT AS length FROM (
+      SELECT rec_id, source, unnest(CASE WHEN n = 0 THEN [NULL] ELSE list_transform(range(1, len(ends) + 1), lambda k: array_to_string(w[(CASE WHEN k = 1 THEN 0 ELSE ends[k - 1] END) + 1 : ends[k]], ' ')) END) AS c FROM (
+        SELECT *, list_concat(list_filter(range(2, n), lambda i: ('0x' || substr(md5(w[i - 1] || ' ' || w[i]), 1, 8))::BIGINT % 4 = 0), [n]) AS ends FROM (
+          SELECT rec_id, source, coalesce(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+'), []) AS w, coalesce(len(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')), 0) AS n FROM {table})))"""
+
+
+_OVERLAP = f"""
+chunks AS ({_chunks("all_val", "val")} UNION ALL {_chunks("all_test", "test")}),
+there AS (SELECT DISTINCT digest FROM ({_chunks("all_train", "train")}) WHERE digest IS NOT NULL),
+per AS (
+  SELECT rec_id, split, source, count(c.digest) AS chunks, count(there.digest) AS shared, coalesce(sum(length), 0)::BIGINT AS length, coalesce(sum(length) FILTER (there.digest IS NOT NULL), 0)::BIGINT AS shared_length
+  FROM chunks c LEFT JOIN there ON there.digest = c.digest GROUP BY rec_id, split, source
+)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     p5 = " UNION ALL ".join(
         f"""SELECT '{split}' AS split, least(a.id, b.id) AS rec_id_a, greatest(a.id, b.id) AS rec_id_b
@@ -94,7 +112,9 @@ def oracle_sql() -> dict[str, str]:
     )
     return {
         "p1_found": f"WITH {_CATEGORY} SELECT request_id, label FROM p1 WHERE available < wanted",
-        "p1_report": f"WITH {_CATEGORY} SELECT request_id, label, available, wanted, least(available, wanted) AS drawn, greatest(0, wanted - available)::BIGINT AS short FROM p1",
+        "p1_report": f"""WITH {_CATEGORY} SELECT request_id, label, available, wanted, least(available, wanted) AS drawn, greatest(0, wanted - available)::BIGINT AS short,
+            target_pct / 100 AS share_wanted, least(available, wanted) / nullif(sum(least(available, wanted)) OVER (PARTITION BY request_id), 0) AS share_reached FROM p1""",
+        "p1_counts": f"WITH {_CATEGORY} SELECT request_id, label, least(available, wanted) AS drawn, least(available, wanted) AS different, 0::BIGINT AS wrong FROM p1 WHERE least(available, wanted) > 0",
         "p2_found": f"WITH {_SAME} SELECT g AS first_id, rec_id AS copy_id FROM g5 WHERE rec_id <> g",
         "p2_records": f"WITH {_SAME} SELECT g AS first_id, count(*)::BIGINT AS copies FROM g5 GROUP BY g",
         "p3_found": f"WITH {_MIX} SELECT mix_id, source FROM p3 WHERE held * max_repeats < wanted",
@@ -102,6 +122,22 @@ def oracle_sql() -> dict[str, str]:
             SELECT mix_id, source, target_pct, held, wanted, reached,
                    (CASE WHEN held = 0 THEN 0 ELSE least(max_repeats, (wanted + held - 1) // held) END)::INT AS most_repeats,
                    (sum(reached) OVER (PARTITION BY mix_id))::BIGINT AS mix_size FROM r""",
+        "p3_draws": f"""WITH {_MIX}, r AS (SELECT *, least(max_repeats, wanted // nullif(held, 0)) AS passes FROM p3 WHERE held > 0), q AS (SELECT *, CASE WHEN passes < max_repeats THEN wanted - passes * held ELSE 0 END AS rest FROM r)
+            SELECT mix_id, source, (CASE WHEN passes > 0 THEN held ELSE rest END)::BIGINT AS rows, (CASE WHEN passes > 0 THEN held ELSE rest END)::BIGINT AS different, (passes * held + rest)::BIGINT AS draws,
+                   (passes > 0 AND rest > 0)::INT AS uneven, 0::BIGINT AS wrong FROM q WHERE passes * held + rest > 0""",
+        "p4_groups": f"""WITH RECURSIVE {_words("test", "row_id", "t")},
+            pairs AS (SELECT a.id AS a, b.id AS b FROM t_w a JOIN t_w b ON a.word = b.word AND a.id <> b.id GROUP BY a.id, b.id, a.n, b.n HAVING 10 * count(*) >= 7 * (a.n + b.n - count(*))),
+            reach AS (SELECT id, id AS r FROM t UNION SELECT reach.id, pairs.b FROM reach JOIN pairs ON pairs.a = reach.r),
+            g AS (SELECT id, min(r) AS group_id FROM reach GROUP BY id), l AS (SELECT a AS id, count(*) AS links FROM pairs GROUP BY a)
+            SELECT t.id AS row_id, (min(t.id) OVER (PARTITION BY list_sort(t.w))) AS class_id, group_id, coalesce(links, 0)::BIGINT AS links FROM t JOIN g USING (id) LEFT JOIN l USING (id)""",
+        "p5_overlap": f"WITH {_OVERLAP} SELECT rec_id, split, chunks, shared, length, shared_length, shared_length / nullif(length, 0) AS overlap FROM per",
+        "p5_report": f"""WITH {_OVERLAP}, {_words('all_val', 'rec_id', 'val')}, {_words('all_test', 'rec_id', 'test')}, {_words('all_train', 'rec_id', 'train')},
+            pairs AS ({" UNION ALL ".join(f"SELECT '{x}' AS split, a.id AS id, count(*) = a.n AND a.n = b.n AS same FROM {x}_w a JOIN train_w b ON a.word = b.word GROUP BY a.id, b.id, a.n, b.n HAVING 4 * count(*) >= 3 * (a.n + b.n - count(*))" for x in ("val", "test"))}),
+            hit AS (SELECT split, id, max(same::INT) AS same FROM pairs GROUP BY ALL),
+            j AS (SELECT per.*, regexp_replace(lower(trim(source)), '(?s)::.*$', '') AS s, hit.id IS NOT NULL AS found, hit.same FROM per LEFT JOIN hit ON hit.split = per.split AND hit.id = per.rec_id)
+            SELECT split, s AS source, count(*) AS records, count(*) FILTER (found) AS overlapping, coalesce(sum(same), 0)::BIGINT AS same_words, count(*) FILTER (length > 0 AND 4 * shared_length >= 3 * length) AS mostly_shared,
+                   sum(shared_length) / nullif(sum(length), 0) AS text_share FROM j GROUP BY split, s""",
+        "p8_faults": "SELECT spec_id, (SELECT count(*) FROM documents) AS documents, 0::BIGINT AS overfull, 0::BIGINT AS missing, 0::BIGINT AS wrong, 0::BIGINT AS split FROM pack_specs",
         "p4_found": f"""WITH {_words("test", "row_id", "t")}
             SELECT a.id AS row_id_a, b.id AS row_id_b FROM t_w a JOIN t_w b ON a.word = b.word AND a.id < b.id
             GROUP BY a.id, b.id, a.n, b.n HAVING 10 * count(*) >= 7 * (a.n + b.n - count(*))""",

@@ -24,6 +24,14 @@ def p1_report(spark: SparkSession, d: str) -> DataFrame:
     return target_sampling.report(*_p1(spark, d))
 
 
+def p1_counts(spark: SparkSession, d: str) -> DataFrame:
+    """What the sample itself holds: rows, different rows and rows of another category for each request and label."""
+    drawn, _ = _p1(spark, d)
+    own = target_sampling.categories(table(spark, d, "all_test"), table(spark, d, "label_aliases")).withColumnRenamed("label", "own")
+    j = drawn.join(own, "rec_id")
+    return j.groupBy(F.col("request_id").cast("int").alias("request_id"), "label").agg(F.count(F.lit(1)).alias("drawn"), F.countDistinct("rec_id").alias("different"), F.count_if(F.col("own") != F.col("label")).alias("wrong"))
+
+
 def p1_sample(spark: SparkSession, d: str) -> DataFrame:
     return _p1(spark, d)[0].select(F.col("request_id").cast("int").alias("request_id"), "rec_id", "label", "how")
 
@@ -48,6 +56,26 @@ def p3_report(spark: SparkSession, d: str) -> DataFrame:
     return source_mixing.report(*_p3(spark, d))
 
 
+def _p3_tokens(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The mixes again with shares of tokens instead of rows."""
+    rows = table(spark, d, "all_test").select("rec_id", "text", "source", "labels")
+    sizes = stage(encoding.encode(rows, "rec_id", lengths_only=True), "p3-tokens")
+    sized = stage(rows.drop("text").join(sizes, "rec_id"), "p3-sized")
+    return source_mixing.mix(sized, table(spark, d, "mix_targets"), size=F.col("tokens"))
+
+
+def p3_tokens(spark: SparkSession, d: str) -> DataFrame:
+    return source_mixing.report(*_p3_tokens(spark, d))
+
+
+def p3_draws(spark: SparkSession, d: str) -> DataFrame:
+    """What the mix itself holds: rows, draws, most draws of a row and rows of another source for each target."""
+    drawn, _ = _p3(spark, d)
+    own = table(spark, d, "all_test").select("rec_id", source_mixing.source_name().alias("own"))
+    j = drawn.join(own, "rec_id")
+    return j.groupBy("mix_id", "source").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("rec_id").alias("different"), F.sum("times").alias("draws"), (F.max("times") - F.min("times")).alias("uneven"), F.count_if(F.col("own") != F.col("source")).alias("wrong"))
+
+
 def p3_mix(spark: SparkSession, d: str) -> DataFrame:
     return _p3(spark, d)[0].drop("size")
 
@@ -102,11 +130,11 @@ def p7_ids(spark: SparkSession, d: str) -> DataFrame:
     return encoding.encode(table(spark, d, "documents"))
 
 
-def _p8(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _p8(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     specs = table(spark, d, "pack_specs")
     sizes = stage(encoding.encode(table(spark, d, "documents"), lengths_only=True), "p8-tokens")
     few = [(r["spec_id"], r["capacity_tokens"]) for r in specs.orderBy("spec_id").collect()]  # a fixed table of a few rows
-    return packing.pack_all(sizes, few), specs
+    return packing.pack_all(sizes, few), specs, sizes
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -114,7 +142,13 @@ def p8_containers(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_report(spark: SparkSession, d: str) -> DataFrame:
-    return packing.report(*_p8(spark, d))
+    packed, specs, _ = _p8(spark, d)
+    return packing.report(packed, specs)
+
+
+def p8_faults(spark: SparkSession, d: str) -> DataFrame:
+    packed, specs, sizes = _p8(spark, d)
+    return packing.faults(stage(packed, "p8-packed"), sizes, specs)
 
 
 def _p9(spark: SparkSession, d: str) -> DataFrame:
@@ -132,6 +166,6 @@ def p9_composition(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    fs = [p1_found, p1_report, p1_sample, p2_found, p2_records, p3_found, p3_report, p3_mix, p4_found, p4_groups, p5_found, p5_overlap, p5_report]
-    fs += [p6_found, p6_canonical, p6_classes, p7_ids, p8_containers, p8_report, p9_found, p9_composition]
+    fs = [p1_found, p1_report, p1_counts, p1_sample, p2_found, p2_records, p3_found, p3_report, p3_draws, p3_tokens, p3_mix, p4_found, p4_groups, p5_found, p5_overlap, p5_report]
+    fs += [p6_found, p6_canonical, p6_classes, p7_ids, p8_containers, p8_report, p8_faults, p9_found, p9_composition]
     return {f.__name__: f for f in fs}

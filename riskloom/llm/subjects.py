@@ -30,6 +30,7 @@ import regex
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..plans.skew import hash63
 from ..plans.staging import stage
@@ -43,8 +44,11 @@ MIN_SHARE = 0.35
 #: Rules occur in this many sentences and hold in this share of them.
 MIN_SENTENCES = 3
 MIN_CONFIDENCE = 0.4
-#: Telling words in a transaction; a longer sentence is several transactions.
+#: Telling words in a transaction; a longer sentence is several transactions, the most telling words together.
+#: (Frequent sets grow as two to the power of this.  README has how often it is reached.)
 MOST_ITEMS = 10
+#: Held-out sentences of the labelled sample that the threshold is calibrated on, at most.
+CALIBRATED = 200_000
 PRECISION = 0.7
 #: Share of sentences that makes a subject: one in FIFTH.
 FIFTH = 5
@@ -138,8 +142,10 @@ def mine(tx: DataFrame) -> Rules:
     total, share = tx.count(), {r["s"]: r["c"] for r in tx.select(F.explode("subjects").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("c")).collect()}
     if not total or not telling:
         return Rules({}, {})
-    vocabulary = spark.createDataFrame([(w,) for w in telling], "w string")
-    items = tx.withColumn("_t", F.monotonically_increasing_id()).select("_t", "subjects", F.posexplode("words").alias("_p", "w")).join(F.broadcast(vocabulary), "w")
+    strength = {w: max(c / n for c, n in by_subject.values()) for w, by_subject in telling.items()}
+    vocabulary = spark.createDataFrame(list(strength.items()), "w string, strength double")
+    own = tx.withColumn("_t", F.monotonically_increasing_id()).select("_t", "subjects", F.explode("words").alias("w")).join(F.broadcast(vocabulary), "w")
+    items = own.withColumn("_p", F.row_number().over(Window.partitionBy("_t").orderBy(F.desc("strength"), "w")) - 1)  # words of one sentence
     marked = F.transform("subjects", lambda s: F.concat(F.lit(_CLASS), s))
     grouped = items.groupBy("_t", "subjects", (F.col("_p") / MOST_ITEMS).cast("int").alias("_g")).agg(F.array_sort(F.collect_set("w")).alias("ws"))
     baskets = stage(grouped.select(F.concat("ws", marked).alias("items")), "p9-baskets")
@@ -182,7 +188,7 @@ def mine(tx: DataFrame) -> Rules:
     return Rules(words, {k: {s: e for s, e in v.items() if e > 0} for k, v in pairs.items()})
 
 
-def calibrate(rules: Rules, held: DataFrame, most: int = 200_000) -> float:
+def calibrate(rules: Rules, held: DataFrame, most: int = CALIBRATED) -> float:
     """Least evidence whose pooled precision on sentences of held-out documents is PRECISION.
 
     Pools adjacent evidence bins until precision does not fall with evidence

@@ -99,7 +99,7 @@ def sample(rows: DataFrame, aliases: DataFrame, targets: DataFrame, id_col: str
 
 
 def report(drawn: DataFrame, p: DataFrame) -> DataFrame:
-    """Wanted and drawn counts of each request and label, counted from the sample itself."""
+    """Wanted and drawn counts of each request and label, counted from the sample itself, and the shares wanted and reached."""
     got = drawn.groupBy("request_id", "label").agg(F.count(F.lit(1)).alias("drawn"))
     # got has at most one row per request and label of the plan
     return p.join(F.broadcast(got), ["request_id", "label"], "left").select(
@@ -108,4 +108,6 @@ def report(drawn: DataFrame, p: DataFrame) -> DataFrame:
         F.col("available").cast("long").alias("available"),
         F.col("wanted").cast("long").alias("wanted"),
         F.coalesce("drawn", F.lit(0)).cast("long").alias("drawn"),
+        (F.col("target_pct") / 100).alias("share_wanted"),
+        (F.coalesce("drawn", F.lit(0)) / F.nullif(F.sum(F.coalesce("drawn", F.lit(0))).over(Window.partitionBy("request_id")), F.lit(0))).alias("share_reached"),  # a row a label
     ).withColumn("short", F.greatest(F.lit(0), F.col("wanted") - F.col("drawn")).cast("long"))

@@ -153,17 +153,21 @@ def banded(batch: pa.RecordBatch, share: Share, only: np.ndarray | None = None)
     sizes, starts = n[row], (np.cumsum(n) - n)[row]
     owner = np.repeat(np.arange(len(row)), sizes)
     at = np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + starts[owner]
-    return Banded(cid[row], role[row], band, row, owner, mix(tokens[at], band[owner]))
+    return Banded(cid[row], role[row], band, row, owner, (tokens[at] & ~31) | band[owner])  # stays in order within a record
 
 
 def groups(b: Banded, counts: np.ndarray) -> Groups:
-    many = np.left_shift(1, b.band)[b.owner].astype(np.uint64)
-    group = ((b.tokens.view(np.uint64) >> np.uint64(32)) % many).astype(np.int64)
-    order = np.lexsort((b.tokens, counts, group, b.owner))
-    owner, group, tokens, counts = b.owner[order], group[order], b.tokens[order], counts[order]
-    starts = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (group[1:] != group[:-1])]) if len(tokens) else np.zeros(0, np.int64)
+    many = np.left_shift(1, b.band)
+    group = np.zeros(len(b.tokens), np.int64)
+    if (b.band > 0).any():
+        group = (mix(b.tokens) >> 8) & (many[b.owner] - 1)
+    gid = (np.cumsum(many) - many)[b.owner] + group
+    # by group, then rare words and rising counts (as floats, whose bits are in order), then by word as they came
+    order = np.argsort((gid << 32) | counts.astype(np.float32).view(np.int32), kind="stable")
+    owner, group, gid, tokens, counts = b.owner[order], group[order], gid[order], b.tokens[order], counts[order]
+    starts = np.flatnonzero(np.r_[True, gid[1:] != gid[:-1]]) if len(tokens) else np.zeros(0, np.int64)
     of = owner[starts]
-    bit = np.left_shift(np.uint64(1), (tokens & 63).astype(np.uint64))
+    bit = np.left_shift(np.uint64(1), ((tokens >> 8) & 63).astype(np.uint64))
     parity = np.r_[np.zeros(1, np.int64), np.bitwise_xor.accumulate(bit).view(np.int64)]
     # 2 bits of role, 1 for a closed path, 5 of band, 24 of group; 16 of size and 16 of skipped words follow (groups are small)
     meta = (b.role[of] << 62) | (b.band[of] << 56) | (group[starts] << 32)
@@ -424,7 +428,7 @@ def _writing(made: Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[Groups, P
 def candidates(sets: DataFrame, share: Share, region: int = REGION, sent: int = SENT) -> DataFrame:
     """(cid_l, cid_r), distinct: every pair of records of word share >= share, and some others.
 
-    ``sets``: (cid, role, tokens) with distinct tokens; role 3 for one table joined
+    ``sets``: (cid, role, tokens) with the distinct tokens of ``tokens_of``; role 3 for one table joined
     with itself (each pair once, cid_l < cid_r), 1 and 2 for two tables.
     """
     sets = sets.select(F.col("cid").cast("long"), F.col("role").cast("long"), "tokens").filter(F.size("tokens") > 0)

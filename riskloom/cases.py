@@ -25,3 +25,16 @@ ADAPTER_ROWS = {
 }
 
 BINARY_LABELS = ["1", "0.5", "0.4", "yes", "No", " Unsafe ", "safe", "", "nan", "odd", "none", "null", "prompt_injection", "TRUE", "positive", "negative", "harmless", "not an attack", "2", "-1", None]
+
+NORMALIZE_TEXTS = [
+    (1, "He\u200bllo\u200c wo\u200drld\ufeff"), (2, "plain\U000e0041\U000e0042 text"), (3, "\uff46\uff55\uff4c\uff4c  width \ufb01n"), (4, "a &amp;lt; b &lt;i&gt;"), (5, "100%20safe %41%zz"),
+    (6, "see aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQ= now"), (7, "----------- rule =========="), (8, "x\u0001\u0002\u0003\u0004y"), (9, "  spaced \t out\n\ntext  "), (10, "\u200b\u200b\u200b\u200b\u200bz"), (11, "   "), (12, None),
+    (13, "Stra\u00dfe \u2460"), (14, "path%2520here"), (15, "Tom &amp; Jerry"),
+]
+
+# raw outputs of detectors: (id, kind, scores by raw name)
+DETECTOR_OUTPUTS = [
+    (1, "injection", {"LABEL_0": 0.3, "LABEL_1": 0.7}), (2, "injection", {"SAFE": 0.9, "INJECTION": 0.1}), (3, "injection", {"benign": 0.4}), (4, "jailbreak", {"jailbreak": 0.8, "benign": 0.2}), (5, "jailbreak", {"ok": 0.5}),
+    (6, "moderation", {"harassment/threatening": 0.6, "Violence": 0.5, "safe": 0.9}), (7, "moderation", {"sexual_minors": 0.2, "S3": 0.4, "odd": 1.0}), (8, "moderation", {"H2": 0.25, "hate": 0.1}),
+    (9, "toxic", {"toxic": 0.4, "obscene": 0.6, "threat": 0.3, "identity-hate": 0.2, "non_toxic": 0.9}), (10, "toxic", {"neutral": 1.0}),
+]

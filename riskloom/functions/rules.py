@@ -18,7 +18,8 @@ LEET = ("0134578@$!", "oieastbasi")
 
 def family_regex(patterns: list[str]) -> str:
     """One alternation for a whole family, for lower-cased texts; Unicode classes only where the patterns have any."""
-    both = "|".join(f"(?:{p.lower()})" for p in patterns)
+    low = lambda p: re.sub(r"\\.|[^\\]", lambda m: m[0] if m[0][0] == "\\" else m[0].lower(), p)  # noqa: E731  # escapes keep their case
+    both = "|".join(f"(?:{low(p)})" for p in patterns)
     return ("(?U)" if re.search(r"\\[wbs]", both) else "") + both
 
 

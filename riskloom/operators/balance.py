@@ -20,6 +20,10 @@ from ..functions.labels import head_labels, literal_list, literal_map
 from ..plans.prefix import with_running
 
 
+#: Rows that a top-k may hold in one task.
+TOP_K = 100_000
+
+
 def resolve_cap(head: str, split: str, env: dict[str, str] | None = None) -> int:
     """Cap per label: by head, then overall, then the older name, then the default; 0 is no cap; an eighth outside train."""
     env = os.environ if env is None else env
@@ -88,17 +92,25 @@ def first_n(df: DataFrame, order: list[Column], most: int) -> DataFrame:
     return df.orderBy(*order).limit(most)
 
 
+def first_rows(df: DataFrame, order: list[Column], most: int) -> DataFrame:
+    """The first ``most`` rows in ascending order, however many: a top-k while it fits one task, else by running counts over ranges."""
+    if most <= TOP_K:
+        return first_n(df, order, most)
+    d = df.withColumn("_o", F.struct(*order)).withColumn("_one", F.lit(1))
+    return with_running(d, [], "_o", {"_one": "_before"}).filter(F.col("_before") < most).select(*df.columns)
+
+
 def safe_downsample(df: DataFrame, most: int, hash_col: str = "hash", seed: int = 13) -> DataFrame:
     """All rows with a risk label and ``most`` of the others (0: all)."""
     risk = F.coalesce(F.arrays_overlap("labels", literal_list(T.RISK)), F.lit(False))
     safe = df.filter(~risk)
-    return df.filter(risk).unionByName(first_n(safe, [shuffled(F.col(hash_col), seed), F.col(hash_col)], most) if most else safe)
+    return df.filter(risk).unionByName(first_rows(safe, [shuffled(F.col(hash_col), seed), F.col(hash_col)], most) if most else safe)
 
 
 def hard_negatives(df: DataFrame, positive: Column, ratio: int = 6, hash_col: str = "hash", seed: int = 13) -> DataFrame:
     """All positives and max(positives x ratio, 1) of the others."""
     n = df.agg(F.count_if(positive).alias("n")).first()["n"]
-    return df.filter(positive).unionByName(first_n(df.filter(~F.coalesce(positive, F.lit(False))), [shuffled(F.col(hash_col), seed)], max(n * ratio, 1)))
+    return df.filter(positive).unionByName(first_rows(df.filter(~F.coalesce(positive, F.lit(False))), [shuffled(F.col(hash_col), seed)], max(n * ratio, 1)))
 
 
 def ratio_cap(positives: int, safe: int, ratio: float, cap: int) -> int:
@@ -117,7 +129,7 @@ def stratified_sample(df: DataFrame, names: list[str], most: int, hash_col: str
     a = df.join(picked, hash_col, "left_semi")
     room = max(0, most - picked.count())  # at most labels x each rows
     rest = df.join(picked, hash_col, "left_anti")
-    return a.unionByName(first_n(rest, [fill_order if fill_order is not None else F.col(hash_col), F.col(hash_col)], room))
+    return a.unionByName(first_rows(rest, [fill_order if fill_order is not None else F.col(hash_col), F.col(hash_col)], room))
 
 
 def cap_pairs(df: DataFrame, per_source: int, ratio: float = 2.5, label: str = "label", source: str = "source", hash_col: str = "hash", seed: int = 13) -> DataFrame:
@@ -128,7 +140,7 @@ def cap_pairs(df: DataFrame, per_source: int, ratio: float = 2.5, label: str = "
     order = [shuffled(F.col(hash_col), seed), F.col(hash_col)]
     pos, neg = df.filter(F.col(label) == 1), df.filter(F.col(label) == 0)
     n = pos.agg(F.count(F.lit(1))).first()[0]
-    neg = first_n(neg, order, int(max(n, 1) * ratio))
+    neg = first_rows(neg, order, int(max(n, 1) * ratio))
     both = pos.unionByName(neg)
     return top_by(both, [label, source], order, per_source) if per_source else both
 
@@ -138,7 +150,7 @@ def cap_safe_rows(df: DataFrame, safe: Column, most: int, ratio: float, hash_col
     c = df.agg(F.count_if(safe).alias("safe"), F.count_if(~F.coalesce(safe, F.lit(False))).alias("rest")).first()
     keep = ratio_cap(c["rest"], c["safe"], ratio, most)
     is_safe = F.coalesce(safe, F.lit(False))
-    return df.filter(~is_safe).unionByName(first_n(df.filter(is_safe), [shuffled(F.col(hash_col), seed), F.col(hash_col)], keep))
+    return df.filter(~is_safe).unionByName(first_rows(df.filter(is_safe), [shuffled(F.col(hash_col), seed), F.col(hash_col)], keep))
 
 
 def blend(df: DataFrame, other: DataFrame | None, hash_col: str = "hash", seed: int = 13) -> DataFrame:
@@ -154,7 +166,7 @@ def source_cap(df: DataFrame, most: int, source: str = "source", order: Column |
 def balanced_sample(df: DataFrame, label: str, most: int, order: list[Column]) -> DataFrame:
     """most // 2 positives and the rest negatives."""
     half = most // 2
-    return first_n(df.filter(F.col(label) == 1), order, half).unionByName(first_n(df.filter(F.col(label) == 0), order, most - half))
+    return first_rows(df.filter(F.col(label) == 1), order, half).unionByName(first_rows(df.filter(F.col(label) == 0), order, most - half))
 
 
 def oversample(df: DataFrame, names: list[str], target: int, room: int | None = None, hash_col: str = "hash", source: str = "source", seed: int = 13, tag: str = "low_label_oversample") -> DataFrame:
@@ -177,7 +189,7 @@ def oversample(df: DataFrame, names: list[str], target: int, room: int | None =
             continue
         mine = df.filter(F.array_contains("labels", n))
         full, rest = divmod(need, natural[n])
-        first = first_n(mine, [shuffled(F.col(hash_col), seed), F.col(hash_col)], rest).select(hash_col).withColumn("_more", F.lit(1)) if rest else None
+        first = first_rows(mine, [shuffled(F.col(hash_col), seed), F.col(hash_col)], rest).select(hash_col).withColumn("_more", F.lit(1)) if rest else None
         reps = mine.join(first, hash_col, "left") if first is not None else mine.withColumn("_more", F.lit(0))
         copies = reps.withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(full) + F.coalesce("_more", F.lit(0))))).filter("_k > 0")
         copies = copies.withColumn(source, F.concat(F.coalesce(source, F.lit("")), F.lit(f"::{tag}"))).withColumn(hash_col, F.concat(hash_col, F.lit(f"::oversample::{n}::"), F.col("_k"))).drop("_k", "_more")
@@ -206,8 +218,8 @@ def route_balance(df: DataFrame, cap: int, train: bool, hash_col: str = "hash",
     order = [shuffled(F.col(hash_col), seed), F.col(hash_col)]
     attack = df.filter(F.array_contains("route_labels", "attack"))
     rest = df.filter(~F.array_contains("route_labels", "attack"))
-    mod = first_n(rest.filter(F.array_contains("route_labels", "moderation")), order, most)
-    safe = first_n(rest.filter(F.array_contains("route_labels", T.SAFE)), order, most)
+    mod = first_rows(rest.filter(F.array_contains("route_labels", "moderation")), order, most)
+    safe = first_rows(rest.filter(F.array_contains("route_labels", T.SAFE)), order, most)
     if not train:
         return attack.unionByName(mod).unionByName(safe)
     n, kept = attack.count(), mod.count() + safe.count()
@@ -215,7 +227,7 @@ def route_balance(df: DataFrame, cap: int, train: bool, hash_col: str = "hash",
     if n:
         full, more = divmod(target, n)
         whole = attack.crossJoin(F.broadcast(attack.sparkSession.range(full).select())) if full != 1 else attack  # ``full`` empty rows
-        attack = whole.unionByName(first_n(attack, order, more)) if more else whole
+        attack = whole.unionByName(first_rows(attack, order, more)) if more else whole
     return attack.unionByName(mod).unionByName(safe)
 
 

@@ -7,16 +7,18 @@ is no quantized form: hashing already bounds the size of a model.
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import taxonomy as T
 from ..functions.text import collapse
+from ..sources.sinks import write_text
 
 
 @dataclass
@@ -72,20 +74,49 @@ def train_head(df: DataFrame, head: str, text: str = "text", labels: str = "head
     return out
 
 
+def head_metrics(df: DataFrame, head: Head, text: str = "text", labels: str = "head_labels") -> DataFrame:
+    """P@1 and R@1 of a head on labelled records (validation or test report)."""
+    scored = score_labels(df, [head], text)
+    best = F.array_max(F.transform("_all", lambda s: F.struct(s["score"].alias("score"), s["label"].alias("label"))))["label"]
+    return precision_recall_at_1(scored.select(F.col(labels).alias("gold"), best.alias("top1"))).withColumn("head", F.lit(head.name))
+
+
+def score_labels(df: DataFrame, heads: list[Head], text: str, out: str = "_all") -> DataFrame:
+    """Add an array of (head, label, score) with every label of every head; features are made once for equal parameters."""
+    parts, keep = [], df.columns
+    made: dict[tuple, str] = {}
+    for h in heads:
+        shape = tuple(vars(h.params)[k] for k in ("word_ngrams", "min_n", "max_n", "buckets"))
+        if shape not in made:
+            made[shape] = f"_x{len(made)}"
+            df = ngram_features(df, text, made[shape], h.params)
+        for label, m in h.models.items():
+            name = f"_s_{h.name}_{label}"
+            df = m.copy({m.featuresCol: made[shape]}).transform(df).withColumn(name, vector_to_array("_pr")[1]).drop("_r", "_pr", "_pd")
+            parts.append(F.struct(F.lit(h.name).alias("head"), F.lit(label).alias("label"), F.col(name).alias("score")))
+    every = F.array(*parts) if parts else F.array().cast("array<struct<head:string,label:string,score:double>>")
+    return df.withColumn(out, every).select(*keep, out)
+
+
 def score_heads(df: DataFrame, heads: list[Head], text: str = "detection_text", out: str = "head_scores") -> DataFrame:
     """Add an array of (label, score): for each scored label the greatest probability over the heads; ``safe`` is left out."""
-    parts, keep = [], df.columns
+    d = score_labels(df, heads, text)
+    one = lambda x: F.coalesce(F.array_max(F.transform(F.filter("_all", lambda s: s["label"] == x), lambda s: s["score"])), F.lit(0.0))
+    return d.withColumn(out, F.array(*[F.struct(F.lit(x).alias("label"), one(x).alias("score")) for x in T.SCORED])).drop("_all")
+
+
+def save_heads(spark: SparkSession, heads: list[Head], path: str, **metadata: object) -> None:
+    """Write the models of heads and ``heads.json`` (parameters, labels and what else is given)."""
+    doc = {h.name: {"params": vars(h.params), "labels": list(h.models)} for h in heads}
     for h in heads:
-        df = ngram_features(df, text, "_x", h.params)
         for label, m in h.models.items():
-            if label != T.SAFE:
-                name = f"_s_{h.name}_{label}"
-                df = m.transform(df).withColumn(name, vector_to_array("_pr")[1]).drop("_r", "_pr", "_pd")
-                parts.append((label, name))
-        df = df.drop("_x")
-    best = {x: [n for y, n in parts if y == x] for x in T.SCORED}
-    scores = F.array(*[F.struct(F.lit(x).alias("label"), (F.greatest(*map(F.col, ns)) if len(ns) > 1 else F.col(ns[0]) if ns else F.lit(0.0)).alias("score")) for x, ns in best.items()])
-    return df.withColumn(out, scores).select(*keep, out)
+            m.write().overwrite().save(f"{path}/{h.name}/{label}")
+    write_text(spark, f"{path}/heads.json", json.dumps({"heads": doc, **metadata}, indent=2, default=str))
+
+
+def load_heads(spark: SparkSession, path: str) -> list[Head]:
+    doc = json.loads("\n".join(r["value"] for r in spark.read.text(f"{path}/heads.json", wholetext=True).collect()))
+    return [Head(name, HeadParams(**h["params"]), {x: LogisticRegressionModel.load(f"{path}/{name}/{x}") for x in h["labels"]}) for name, h in doc["heads"].items()]
 
 
 def precision_recall_at_1(predicted: DataFrame) -> DataFrame:

@@ -42,6 +42,23 @@ CAPS = {
 }
 
 
+#: Literal texts normalized: id, model text, detection text, flags.
+NORMALIZED = [
+    (1, "Hello world", "hello world", 4, 0, False, 0.0, False, False, 0, False, None), (2, "plain text", "plain text", 0, 2, False, 0.0, False, False, 0, False, None), (3, "full width fin", "full width fin", 0, 0, False, 0.0, False, False, 0, False, None),
+    (4, "a &lt; b <i>", "a &lt; b <i>", 0, 0, False, 0.0, False, False, 0, False, None), (5, "100 safe A%zz", "100 safe a%zz", 0, 0, False, 0.0, False, False, 0, False, None),
+    (6, "see aGVsbG8gd29ybGQgdGhpcyBpcyBiYXNlNjQ= now", "see agvsbg8gd29ybgqgdghpcybpcybiyxnlnjq= now hello world this is base64", 0, 0, False, 0.0, False, False, 1, True, 1),
+    (7, "----------- rule ==========", "----------- rule ==========", 0, 0, False, 0.0, False, True, 0, False, None), (8, "x1234y", "x1234y", 0, 0, False, 0.6667, True, False, 0, False, None), (9, "spaced out text", "spaced out text", 0, 0, False, 0.0, False, False, 0, False, None),
+    (10, "z", "z", 5, 0, True, 0.0, False, False, 0, False, None), (11, None, None, None, None, None, None, None, None, None, None, None), (12, None, None, None, None, None, None, None, None, None, None, None),
+    (13, "Straße 1", "straße 1", 0, 0, False, 0.0, False, False, 0, False, None), (14, "path%20here", "path%20here", 0, 0, False, 0.0, False, False, 0, False, None), (15, "Tom & Jerry", "tom & jerry", 0, 0, False, 0.0, False, False, 0, False, None),
+]
+#: Scores of our labels behind the raw outputs of detectors.
+DETECTED = [
+    (1, "injection", "prompt_injection", 0.7), (2, "injection", "prompt_injection", 0.1), (3, "injection", "prompt_injection", 0.0), (4, "jailbreak", "jailbreak", 0.8), (5, "jailbreak", "jailbreak", 0.0),
+    (6, "moderation", "harassment", 0.6), (6, "moderation", "toxicity", 0.6), (6, "moderation", "violence", 0.6), (7, "moderation", "sexual", 0.4), (8, "moderation", "hate", 0.25), (8, "moderation", "violence", 0.25),
+    (9, "toxic", "toxicity", 0.6), (9, "toxic", "violence", 0.3), (9, "toxic", "hate", 0.2),
+]
+
+
 def _q(x: object) -> str:
     return "NULL" if x is None else str(x) if isinstance(x, (int, float)) else "'" + str(x).replace("'", "''") + "'"
 
@@ -148,6 +165,17 @@ def cases() -> dict[str, str]:
         "benchmark_misses": f"""{bench}, {_swept('one', 19, '0.05')}, b AS (SELECT arg_max(threshold, (f1, -threshold)) AS t FROM swept), k AS (SELECT id, text, CASE WHEN gold = 1 AND score < t THEN 'false_negative' WHEN gold = 0 AND score >= t THEN 'false_positive' END AS kind FROM scores, b)
             SELECT kind, id, md5(coalesce(substr(text, 1, 90), '')) AS text_hash FROM k WHERE kind IS NOT NULL QUALIFY row_number() OVER (PARTITION BY kind ORDER BY id) <= 5""",
         "score_comparison": f"{cmp} SELECT {six('r.pr_auc - c.pr_auc')} AS pr_auc_drop, {six('r.best - c.best')} AS best_f1_drop, {six('r.f1 - c.f1')} AS f1_at_0_5_drop, {six('top')} AS max_abs_prob_diff, {six('mean')} AS avg_abs_prob_diff FROM m r, m c, x WHERE r.side = 'r' AND c.side = 'c'",
+        "normalize_cases": _values([(i, m, e, *f) for i, m, e, *f in NORMALIZED], "id, model_text, detection_text, a, b, c, d, e, f, g, h, i",
+            "id::INT AS id, model_text, detection_text, a::INT AS zero_width_removed, b::INT AS tag_chars_removed, c::BOOLEAN AS excessive_zero_width, d::DOUBLE AS non_printable_ratio, e::BOOLEAN AS high_non_printable, f::BOOLEAN AS excessive_separators, g::INT AS base64_span_count, h::BOOLEAN AS suspicious_base64, i::INT AS base64_decoded_count").replace(
+            "'x1234y'", "('x' || chr(1) || chr(2) || chr(3) || chr(4) || 'y')"),
+        "detector_scores": _values(DETECTED, "id, kind, label, score", "id::INT AS id, kind, label, score::DOUBLE AS score"),
+        "activations": _values([(1, 0.5, 0.5), (2, 0.119202922, 0.952574127), (3, 1.0, 0.5)], "id, softmax, sigmoid", "id::INT AS id, softmax::DOUBLE AS softmax, sigmoid::DOUBLE AS sigmoid"),
+        "threshold_table": _values([
+            ("prompt_injection", 0.20, 0.50, 0.80), ("jailbreak", 0.20, 0.50, 0.80), ("toxicity", 0.05, 0.30, 0.60), ("hate", 0.15, 0.20, 0.40), ("sexual", 0.20, 0.50, 0.75), ("violence", 0.05, 0.30, 0.60), ("self_harm", 0.10, 0.25, 0.55),
+            ("harassment", 0.20, 0.40, 0.70), ("dangerous_information", 0.20, 0.50, 0.80), ("illegal_activity", 0.20, 0.50, 0.80), ("other", 0.20, 0.50, 0.80)], "label, route, review, block", "label, route::DOUBLE AS route, review::DOUBLE AS review, block::DOUBLE AS block"),
+        "final_status": _values([
+            ("good", "PASS", "PASS,PASS"), ("partial", "WARN", "PASS,NOT-RUN"), ("bad", "FAIL", "FAIL,WARN"), ("nothing", "PASS", ""), ("n/a", "size", "None"), ("0.0B", "size", "0"), ("1023.0B", "size", "1023"), ("2.0KB", "size", "2048"),
+            ("5.0MB", "size", "5242880"), ("3072.0GB", "size", "3298534883328")], "name, status, detail"),
         "candidate_choice": _values([("int8", "some"), ("fp32", "none")], "name, kind"),
         "metric_deltas": _values([("x", -0.04, 0.1, "WARN"), ("y", -0.02, 0.0, "PASS")], "name, macro_f1_delta, recall_delta, status", "name, macro_f1_delta::DOUBLE AS macro_f1_delta, recall_delta::DOUBLE AS recall_delta, status"),
         "component_status": _values([("a", "WARN", "OK,STRONG"), ("b", "PASS", "WEAK"), ("c", "FAIL", "STRONG,WEAK")], "part, status, verdicts"),

@@ -13,7 +13,7 @@ from . import taxonomy as T
 from .functions import labels as L
 from .functions import rules, windows
 from .functions import text as X
-from .cases import ADAPTER_ROWS, BINARY_LABELS
+from .cases import ADAPTER_ROWS, BINARY_LABELS, DETECTOR_OUTPUTS, NORMALIZE_TEXTS
 from .operators import balance as B
 from .operators import compose as C
 from .operators import dedup as D
@@ -28,6 +28,7 @@ from .plans.prepare import availability, load_all, process
 from .plans.staging import shared_dir, stage
 from .sources import adapters as A
 from .sources import scan, sinks
+from .sources.config import Thresholds
 from .streaming.stream import tumbling_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +84,13 @@ def normalize_again(spark, d):
     return n.select("norm_id", "detection_text", "text_hash", F.coalesce(F.col("stored") == F.col("detection_text"), F.lit(False)).alias("as_stored"), "flags")
 
 
+@query
+def normalize_cases(spark, d):
+    """Every step of normalization on literal texts."""
+    n = X.normalize(spark.createDataFrame(NORMALIZE_TEXTS, "id int, text string"))
+    return n.select("id", "model_text", "detection_text", "flags.*")
+
+
 @query
 def snippets(spark, d):
     return table(spark, d, "documents").filter("text is not null").select("doc_id", F.md5(X.snippet(F.col("text"))).alias("snippet_hash"))
@@ -371,6 +379,39 @@ def category_scores(spark, d):
     return r.select("rec_id", F.explode(S.moderation_scores(m)).alias("s")).select("rec_id", "s.label", "s.score")
 
 
+@query
+def detector_scores(spark, d):
+    """Raw outputs of detectors, literal, as scores of our labels."""
+    r = spark.createDataFrame(DETECTOR_OUTPUTS, "id int, kind string, raw map<string,double>")
+    one = lambda label, c: F.array(F.struct(F.lit(label).alias("label"), c.alias("score")))
+    scores = F.when(F.col("kind") == "injection", one("prompt_injection", S.injection_scores(F.col("raw")))).when(F.col("kind") == "jailbreak", one("jailbreak", S.jailbreak_scores(F.col("raw"))))
+    scores = scores.when(F.col("kind") == "moderation", S.moderation_scores(F.col("raw"))).otherwise(S.toxic_scores(F.col("raw")))
+    return r.select("id", "kind", F.explode(scores).alias("s")).select("id", "kind", "s.label", "s.score")
+
+
+@query
+def activations(spark, d):
+    """Softmax and sigmoid of literal logits."""
+    r = spark.createDataFrame([(1, [0.0, 0.0]), (2, [1.0, 3.0]), (3, [1000.0, 0.0])], "id int, logits array<double>")
+    return r.select("id", F.round(F.get(S.softmax(F.col("logits")), F.lit(0)), 9).alias("softmax"), F.round(F.get(S.sigmoid(F.col("logits")), F.lit(1)), 9).alias("sigmoid"))
+
+
+@query
+def threshold_table(spark, d):
+    """The three thresholds of every label, a calibrated route and the default of other labels."""
+    t = Thresholds().calibrated({"hate": 0.15})
+    return spark.createDataFrame([(x, *t.of(x)) for x in (*T.SCORED, "other")], "label string, route double, review double, block double")
+
+
+@query
+def final_status(spark, d):
+    """The overall status of components, and sizes for display."""
+    cases = {"good": {"a": "PASS", "b": "PASS"}, "partial": {"a": "PASS", "b": None}, "bad": {"a": "FAIL", "b": "WARN"}, "nothing": {}}
+    rows = [(n, R.final_report(c)[0], ",".join(x for _, x in R.final_report(c)[1])) for n, c in cases.items()]
+    sizes = [(sinks.human_size(n), "size", str(n)) for n in (None, 0, 1023, 2048, 5 * 1024**2, 3 * 1024**4)]
+    return spark.createDataFrame(rows + sizes, "name string, status string, detail string")
+
+
 @query
 def classify_documents(spark, d):
     heads, models = stand_ins(toxic=True)
@@ -599,7 +640,7 @@ def trainer_metrics(spark, d):
 
 @query
 def head_calibration(spark, d):
-    """Calibrated thresholds of every head, through the file that the router reads."""
+    """Calibrated thresholds of every head and label."""
     r = table(spark, d, "all_val").select(F.col("rec_id").alias("id"), "labels")
     each = [F.struct(F.lit(h).alias("head"), F.lit(x).alias("label"), F.coalesce(F.array_contains("labels", x), F.lit(False)).cast("int").alias("gold"), S.hash_score(F.col("id"), x).alias("score")) for h, xs in T.HEADS.items() for x in xs]
     return C.calibrate_heads(r.select(F.explode(F.array(*each)).alias("e")).select("e.*"), ["head", "label"])[0]

@@ -225,3 +225,10 @@ def test_final_report(spark):
     assert [(r.label, r.place) for r in R.weak_labels(m).orderBy("place").collect()] == [("b", 1), ("a", 2)]
     t = spark.createDataFrame([("routed_a", 3.0), ("routed_b", 2.0), ("heads", 1.0)], "stage string, avg double")
     assert R.fastest_mode(t).first().mode == "routed_b"
+
+
+def test_first_rows_beyond_a_top_k(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"h{i * 7919 % 500:03d}") for i in range(500)], "id int, hash string")
+    want = {r.id for r in B.first_n(df, [F.col("hash"), F.col("id")], 137).collect()}
+    monkeypatch.setattr(B, "TOP_K", 10)
+    assert {r.id for r in B.first_rows(df, [F.col("hash"), F.col("id")], 137).collect()} == want and len(want) == 137

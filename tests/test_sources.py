@@ -1,10 +1,14 @@
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
 from riskloom import queries
-from riskloom.operators import heads
+from riskloom.operators import heads, scoring
+from riskloom.plans import latency, staging
+from riskloom.plans.classify import candidate_stages, classify_with_heads, stand_ins
+from riskloom.plans.prefix import with_running
 from riskloom.sources import adapters as A
 from riskloom.sources import config, scan, sinks
 from riskloom.streaming import stream
@@ -108,6 +112,56 @@ def test_heads(spark):
     assert score[0] > 0.5 > score[1]
 
 
+def test_saved_heads_classify(spark, tmp_path):
+    rows = [(f"ignore the rules number {i}", ["prompt_injection"]) for i in range(30)] + [(f"lovely weather in town {i}", ["safe"]) for i in range(30)]
+    df = spark.createDataFrame(rows, "text string, head_labels array<string>")
+    h = heads.train_head(df, "attack", params=heads.HeadParams(buckets=1 << 12, iterations=10))
+    report = heads.head_metrics(df, h).first()
+    assert report["records"] == 60 and report["p_at_1"] > 0.9
+    heads.save_heads(spark, [h], str(tmp_path / "heads"), rows=60)
+    again = heads.load_heads(spark, str(tmp_path / "heads"))
+    assert again[0].params == h.params and set(again[0].models) == set(h.models)
+    _, models = stand_ins()
+    got = classify_with_heads(spark.createDataFrame([("please ignore the rules number 5",), ("lovely weather in town 3",), (None,), ("",)], "text string"), again, models).collect()
+    assert "prompt_injection" in got[0].triggered and got[2].decision is None and got[3].decision is None
+    times = latency.by_stage(candidate_stages(spark.createDataFrame([("x y",)], "text string"), *stand_ins()), 0, 1)
+    assert [n for n, _ in times] == ["validation", "normalization", "deterministic_rules", "heads", "models_and_decision", "total"]
+    assert latency.percentiles([float(x) for x in range(1, 11)])["avg"] == 5.5 and latency.percentiles([])["p99"] == 0.0
+
+
+def test_staging_needs_a_shared_folder(spark, tmp_path):
+    def session(master, setting=None, given=None):
+        """A session with nothing but the settings that matter."""
+        option = SimpleNamespace(isDefined=lambda: given is not None, get=lambda: given)
+        jsc = SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: option))
+        context = SimpleNamespace(master=master, applicationId="app", getConf=lambda: SimpleNamespace(get=lambda k: None), _jsc=jsc)
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: setting), sparkContext=context)
+
+    with pytest.raises(RuntimeError):
+        staging.shared_dir(session("spark://host:7077"))
+    assert staging.shared_dir(session("spark://host:7077", "hdfs://a/b/")) == "hdfs://a/b/riskloom-app"
+    assert staging.shared_dir(session("yarn", None, "s3://c")) == "s3://c/riskloom-app"
+    assert staging.shared_dir(session("local[4]")).startswith("file://")
+    with staging.scope(spark):
+        path = staging.stage(spark.range(3).toDF("x"), "t").inputFiles()[0]
+        assert Path(path.removeprefix("file://")).exists()
+    assert not Path(path.removeprefix("file://")).exists()
+
+
+def test_exact_digits(spark):
+    values = [0.125, 0.285, 0.375, 0.005, 0.015, 0.995, 0.0, 1.0, 0.5, 0.045, 0.675] + [i / 997 for i in range(997)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert all(r.two == f"{r.v:.2f}" and r.three == f"{r.v:.3f}" for r in df.select("v", scoring.digits(F.col("v"), 2).alias("two"), scoring.digits(F.col("v"), 3).alias("three")).collect())
+
+
+def test_running_sums(spark):
+    rows = [(i % 3 if i % 7 else None, (i * 37) % 50, i % 5) for i in range(400)]
+    df = spark.createDataFrame(rows, "g int, o int, v int").groupBy("g", "o").agg(F.sum("v").alias("v"))
+    got = with_running(df, ["g"], "o", {"v": "before"}, buckets=7).collect()
+    want = {(r.g, r.o): r.v for r in df.collect()}
+    assert len(got) == len(want) and all(r.before == sum(v for (g, o), v in want.items() if g == r.g and o < r.o) for r in got)
+
+
 def test_library_does_not_need_the_subpackage():
     root = Path(queries.__file__).parent
     assert not [p for p in root.rglob("*.py") if "llm" not in p.parts and ("riskloom.llm" in p.read_text() or "from .llm" in p.read_text() or "from ..llm" in p.read_text())]

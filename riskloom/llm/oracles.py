@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 # Fixed values, written down apart from those of the operator: letters that look alike in the test tables, spaces, ligatures.
-_FROM = "ıɑɡΟοόЅІЈАЕОРСХВКМНТУаеорсухѕіјһԁԛԝһѐёїӓӧհոսօµ"
-_TO = "iagOoóSIJAEOPCXBKMHTYaeopcyxsijhdqwhèëïäöhnuoμ"
+_FROM = "ıɑɡΟοόЅІЈАЕОРСХВКМНТУаеорсухѕіјһԁԛԝһѐёїӓӧհոսօµфкГПФ"
+_TO = "iagOoóSIJAEOPCXBKMHTYaeopcyxsijhdqwhèëïäöhnuoμφκΓΠΦ"
 _BLANKS = [0xA0, 0x1680, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]
 _LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl"}
 _CATEGORY = """
@@ -77,13 +77,17 @@ def _words(table: str, ident: str, name: str, extra: str = "") -> str:
 
 
 def _look(c: str) -> str:
+    return f"nfc_normalize({_mapped(c)})"
+
+
+def _mapped(c: str) -> str:
     out = f"regexp_replace({c}, '[\\p{{Cf}}\\x00-\\x08\\x0e-\\x1f\\x7f-\\x9f\\x{{34f}}\\x{{fe00}}-\\x{{fe0f}}\\x{{e0000}}-\\x{{e0fff}}]', '', 'g')"
     for ch, plain in _LIGATURES.items():
         out = f"replace({out}, '{ch}', '{plain}')"
     wide = range(0xFF01, 0xFF5F)
     a = _FROM + "".join(map(chr, [*_BLANKS, *wide]))
     b = _TO + " " * len(_BLANKS) + "".join(chr(x - 0xFEE0) for x in wide)
-    return f"nfc_normalize(translate({out}, '{a}', '{b.replace(chr(39), chr(39) * 2)}'))"
+    return f"translate({out}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
 
 
 def _chunks(table: str, split: str) -> str:
@@ -143,6 +147,8 @@ def oracle_sql() -> dict[str, str]:
             GROUP BY a.id, b.id, a.n, b.n HAVING 10 * count(*) >= 7 * (a.n + b.n - count(*))""",
         "p6_found": "WITH v AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, norm_id, {f} AS raw, {_look(f)} AS look FROM normalized_text WHERE {f} IS NOT NULL" for f in ("original_text", "detection_text")) + """)
             SELECT a.field, a.norm_id AS norm_id_a, b.norm_id AS norm_id_b FROM v a JOIN v b ON a.field = b.field AND a.look = b.look AND a.norm_id < b.norm_id AND a.raw <> b.raw""",
+        "p6_canonical": "WITH v AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, norm_id, {_mapped(f)} AS m FROM normalized_text WHERE {f} IS NOT NULL" for f in ("original_text", "detection_text")) + """)
+            SELECT field, norm_id, (min(m) OVER w) AS canonical, (count(*) OVER w)::BIGINT AS members FROM v WINDOW w AS (PARTITION BY field, nfc_normalize(m))""",
         "p6_classes": "WITH v AS (" + " UNION ALL ".join(f"SELECT '{f}' AS field, norm_id, {_look(f)} AS look FROM normalized_text WHERE {f} IS NOT NULL" for f in ("original_text", "detection_text")) + """)
             SELECT field, norm_id, least_id, members FROM (SELECT *, (min(norm_id) OVER w) AS least_id, (count(*) OVER w)::BIGINT AS members FROM v WINDOW w AS (PARTITION BY field, look))""",
         "p5_found": f"WITH {_words('all_val', 'rec_id', 'val')}, {_words('all_test', 'rec_id', 'test')}, {_words('all_train', 'rec_id', 'train')} {p5}",

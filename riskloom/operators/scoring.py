@@ -8,10 +8,8 @@ streams.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from decimal import Decimal
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -20,7 +18,6 @@ from pyspark.sql import functions as F
 from .. import taxonomy as T
 from ..functions.labels import literal_list
 from ..functions.rules import attack_phrase
-from .evaluate import reached
 
 SCORES = "array<struct<label:string,score:double>>"
 WINDOWED = "array<struct<label:string,score:double,window:string>>"
@@ -73,12 +70,15 @@ def score_of(scores: Column, label: str) -> Column:
 Scores = Column | dict[str, Column]
 
 
-def merge_scores(*sources: Column) -> dict[str, Column]:
-    """The greatest score of every scored label over arrays of scores, 0 where there is none."""
-    return {x: F.greatest(F.lit(0.0), *[score_of(s, x) for s in sources]) for x in T.SCORED}
+def merge_scores(*sources: Column | str) -> dict[str, Column]:
+    """The greatest score of every scored label over arrays of scores, 0 where there is none; sources are columns or their names."""
+    if all(isinstance(s, str) for s in sources):  # one parsed expression a label: plans of many labels are built faster
+        one = "coalesce(array_max(transform(filter(`{}`, s -> s.label = '{}'), s -> s.score)), 0D)"
+        return {x: F.expr(f"greatest(0D, {', '.join(['0D', *[one.format(s, x) for s in sources]])})") for x in T.SCORED}
+    return {x: F.greatest(F.lit(0.0), *[score_of(F.col(s) if isinstance(s, str) else s, x) for s in sources]) for x in T.SCORED}
 
 
-def with_scores(df: DataFrame, prefix: str, *sources: Column) -> tuple[DataFrame, dict[str, Column]]:
+def with_scores(df: DataFrame, prefix: str, *sources: Column | str) -> tuple[DataFrame, dict[str, Column]]:
     """Add the merged scores as flat columns; the DataFrame and the columns by label."""
     return df.withColumns({prefix + x: c for x, c in merge_scores(*sources).items()}), {x: F.col(prefix + x) for x in T.SCORED}
 
@@ -137,15 +137,20 @@ def sigmoid(logits: Column) -> Column:
 
 
 def digits(score: Column, places: int) -> Column:
-    """A score of 0 to 1 as text with fixed places, rounded on its exact binary value, half to even."""
-    steps = []
-    for k in range(10**places):
-        exact = Decimal(2 * k + 1) / (2 * 10**places)
-        near = float(exact)
-        up = Decimal(near) > exact or (Decimal(near) == exact and k % 2 == 1)
-        steps.append(near if up else math.nextafter(near, 2.0))
-    k = reached(score, steps)
-    return F.concat(F.floor(k / 10**places).cast("string"), F.lit("."), F.lpad((k % 10**places).cast("string"), places, "0"))
+    """A score of 0 to 1 as text with fixed places, rounded on its exact binary value, half to even.
+
+    The formatter rounds the shortest decimal of a double, half up.  That differs only
+    where this decimal is a midpoint itself; there the sign of the exact difference
+    decides, which two products of few bits (the float part and the rest) give.
+    """
+    scale = 10**places
+    tenth = F.round(score * (10 * scale))
+    k = F.floor(tenth / 10)
+    near = score.cast("float").cast("double")
+    over = (near * (2 * scale) - (2 * k + 1)) + (score - near) * (2 * scale)
+    exact = F.when(over > 0, k + 1).when(over < 0, k).otherwise(k + k % 2)
+    midpoint = (tenth % 10 == 5) & (tenth / (10 * scale) == score)
+    return F.format_string(f"%.{places}f", F.when(midpoint, exact / scale).otherwise(score))
 
 
 # Reason texts.
@@ -256,11 +261,18 @@ def decide(merged: Scores, thresholds: dict | None = None, heads: Scores | None
 
     final, routed = ranked(2), ranked(1)
     labels = F.when(F.size(final) > 0, final).when((top >= 0.20) & (F.size(routed) > 0), F.slice(routed, 1, 1)).otherwise(literal_list([T.SAFE]))
-    said = [F.when(level[x] >= 2, F.concat(F.lit(f"{x} score "), digits(merged[x], 2), F.when(level[x] == 3, F.lit(f" crossed block threshold {t[x][2]:.2f}")).otherwise(F.lit(f" crossed review threshold {t[x][1]:.2f}")))) for x in T.SCORED]
+    def crossed(x: str) -> Column:
+        said = F.when(level[x] == 3, F.lit(f" crossed block threshold {t[x][2]:.2f}")).when(level[x] == 2, F.lit(f" crossed review threshold {t[x][1]:.2f}"))
+        return F.struct(F.lit(f"{x} score ").alias("a"), merged[x].alias("s"), said.alias("z"))
+
+    # one formatting step for all labels, over those that have something to say
+    told = F.filter(F.array(*[crossed(x) for x in T.SCORED]), lambda e: e["z"].isNotNull())
+    said = F.transform(told, lambda e: F.concat(e["a"], digits(e["s"], 2), e["z"]))
     if heads is not None:
-        agree = lambda x: F.concat(F.lit(f"FastText and transformer agree on {x} (ft="), digits(heads[x], 2), F.lit(", model="), digits(merged[x], 2), F.lit(") — elevated confidence"))
-        said += [F.when((heads[x] >= 0.30) & (merged[x] >= 0.30), agree(x)) for x in T.SCORED]
-    return F.struct(decision.alias("decision"), risk.alias("risk_level"), labels.alias("labels"), F.array_compact(F.array(*said)).alias("reasons"))
+        both = F.array(*[F.struct(F.lit(f"FastText and transformer agree on {x} (ft=").alias("a"), heads[x].alias("h"), merged[x].alias("s")) for x in T.SCORED])
+        agree = F.transform(F.filter(both, lambda e: (e["h"] >= 0.30) & (e["s"] >= 0.30)), lambda e: F.concat(e["a"], digits(e["h"], 2), F.lit(", model="), digits(e["s"], 2), F.lit(") — elevated confidence")))
+        said = F.concat(said, agree)
+    return F.struct(decision.alias("decision"), risk.alias("risk_level"), labels.alias("labels"), said.alias("reasons"))
 
 
 def respond(merged: Scores) -> tuple[Column, Column]:

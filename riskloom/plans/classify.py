@@ -51,7 +51,7 @@ def classify_normalized(df: DataFrame, heads: S.Scorer | str | None, models: dic
     d = df.withColumn("_given", F.col("model_text").isNotNull() & F.col("detection_text").isNotNull())
     d = with_gate(d, "detection_text", text, "flags")
     d = d.withColumn("_heads", (F.when(F.col("_given"), F.col(heads)) if isinstance(heads, str) else S.score_text(heads, F.col("detection_text"))) if heads else F.array().cast(S.SCORES))
-    d, h = S.with_scores(d, "_h_", F.col("_heads"))
+    d, h = S.with_scores(d, "_h_", "_heads")
     available = [m for m in models if m != "toxic" or toxic_fallback or full_scan]
     route = S.select_models(h, F.col("detection_text"), available, thresholds, full_scan, toxic_fallback, fast_block)
     d = d.withColumn("_models", route["models"]).withColumn("_why", route["reasons"]).withColumn("_fall", F.lit(False))
@@ -62,11 +62,11 @@ def classify_normalized(df: DataFrame, heads: S.Scorer | str | None, models: dic
             continue
         runs = F.array_contains("_models", m)
         if m == "toxic" and not full_scan:
-            d, far = S.with_scores(d, "_far_", *([F.col("_heads")] if merge_heads else []), *[F.col(f"_m_{x}") for x in S.MODELS if x != "toxic"])
+            d, far = S.with_scores(d, "_far_", *(["_heads"] if merge_heads else []), *[f"_m_{x}" for x in S.MODELS if x != "toxic"])
             d = d.withColumn("_fall", F.lit(toxic_fallback) & S.needs_toxic_fallback(far, h, F.col("_models")))
             runs = F.col("_fall")
         d = S.run_model(d, "_windows", models[m], f"_m_{m}", runs & F.col("_given"))
-    sources = ([F.col("_heads")] if merge_heads else []) + [F.col(f"_m_{m}") for m in S.MODELS]
+    sources = (["_heads"] if merge_heads else []) + [f"_m_{m}" for m in S.MODELS]
     d, merged = S.with_scores(d, "_to_", *sources)
     made = S.decide(merged, thresholds, h if heads else None)
     ran = F.concat("_models", F.when(F.col("_fall"), literal_list(["toxic"])).otherwise(literal_list([])))

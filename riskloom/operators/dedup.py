@@ -25,13 +25,14 @@ def named_split(split: Column, text_hash: Column, hashed_source: Column) -> Colu
     return F.when(hashed_source, stable_split(text_hash)).otherwise(official)
 
 
-def union_duplicates(df: DataFrame, key: str = "hash", order: str = "ord", keep: list[str] | None = None, unions: list[str] | None = None) -> DataFrame:
+def union_duplicates(df: DataFrame, key: str = "hash", order: str = "ord", keep: list[str] | None = None, unions: list[str] | None = None, nulls: bool = True) -> DataFrame:
     """One row per key: the first row's columns ``keep``, the ordered unions of the lists ``unions``, and ``copies``.
 
     One pass over the input: a row gives one entry for itself and one for each element
     of its lists; entries are combined map-side by (key, list, element), which keeps
     the first row, the number of rows and the first place of each element.  A hot key
-    therefore reaches the last step as its distinct elements.  Null keys are dropped.
+    therefore reaches the last step as its distinct elements.  Null keys are dropped;
+    ``nulls=False`` says that there are none, and spares a filter on a computed key.
     """
     keep, unions = keep or ["text", "source"], unions or ["labels", "raw_labels", "sources"]
     first = F.struct(*[F.col(k) for k in keep])
@@ -43,7 +44,7 @@ def union_duplicates(df: DataFrame, key: str = "hash", order: str = "ord", keep:
         return F.transform(F.array_distinct(F.coalesce(F.col(u), F.array().cast("array<string>"))), lambda x, i: entry(k, x, i, nothing))
 
     lists = [entries(k, u) for k, u in enumerate(unions)]
-    every = df.filter(F.col(key).isNotNull()).select(key, F.col(order).alias("_o"), F.explode(F.concat(own, *lists)).alias("_x"))
+    every = (df.filter(F.col(key).isNotNull()) if nulls else df).select(key, F.col(order).alias("_o"), F.explode(F.concat(own, *lists)).alias("_x"))
     once = every.groupBy(key, F.col("_x.kind").alias("_k"), F.col("_x.e").alias("_e")).agg(F.min(F.struct("_o", "_x.pos")).alias("_at"), F.count(F.lit(1)).alias("_n"), F.min_by("_x.row", "_o").alias("_row"))
     of = lambda k: F.transform(F.array_sort(F.collect_list(F.when(F.col("_k") == k, F.struct("_at", "_e")))), lambda x: x["_e"])
     is_row = F.col("_k") == -1

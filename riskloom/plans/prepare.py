@@ -33,7 +33,7 @@ def process(raw: DataFrame, text: str = "text", order: str = "ord") -> tuple[Dat
         F.col("model_text").alias("text"), "detection_text", F.col("text_hash").alias("hash"), F.col("labels").alias("raw_labels"), map_labels(F.col("labels"), F.col("model_text")).alias("labels"),
         "source", F.array("source").alias("sources"), order,
     )
-    united = union_duplicates(good, "hash", order, keep=["text", "detection_text", "source"])
+    united = union_duplicates(good, "hash", order, keep=["text", "detection_text", "source"], nulls=False)
     return united.withColumn("labels", merged_labels(F.col("labels"))).withColumn("split", stable_split(F.col("hash"))), reasons
 
 

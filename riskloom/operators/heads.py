@@ -3,23 +3,38 @@
 Word n-grams up to ``word_ngrams`` and character n-grams of ``min_n``..``max_n`` are
 hashed into one sparse vector; each label of a head has its own binary model.  There
 is no quantized form: hashing already bounds the size of a model.
+
+All labels of all heads are trained together: n-grams are hashed once, staged as blocks
+of parts (``functions.ngrams.factored``), and a pass over the blocks gives the losses
+and gradients of every label.  The models are those of ``LogisticRegression``: centred
+and scaled features, L2 on the scaled weights, L-BFGS (``functions.lbfgs``).
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import HashingTF
-from pyspark.ml.functions import vector_to_array
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.common import _py2java
+from pyspark.ml.linalg import DenseVector
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import taxonomy as T
+from ..functions.lbfgs import minimize
+from ..functions.ngrams import factored, hashed
 from ..functions.text import collapse
+from ..plans.staging import _delete, stage_path
 from ..sources.sinks import write_text
 
+#: Texts of a block and their most bytes (indices take some 40 times that in a worker), texts hashed at once, and vectors that a task adds.
+BLOCK, BLOCK_BYTES, CHUNK, PARTIALS = 8_192, 4 << 20, 256, 8
+
 
 @dataclass
 class HeadParams:
@@ -38,40 +53,188 @@ class Head:
     models: dict[str, LogisticRegressionModel] = field(default_factory=dict)
 
 
-def _word_gram(words: Column, n: int):
-    return lambda i: F.array_join(F.slice(words, i, F.lit(n)), " ")
+def flat_text(text: str) -> Column:
+    """The text as its n-grams are taken: line breaks and other white space as single blanks."""
+    return collapse(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\n"), F.lit(" ")))
+
+
+def _blocks(p: HeadParams, heads: int, targets: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Rows (flat, inside: a bit a head, gold: a bit a target) to blocks, and at the end the sums of the partition.
+
+    ``targets``: the head of each.  Sums: rows of each head, rows and positives of each
+    target, then for each head the sums and the squares of every bucket.
+    """
+    shape = (p.word_ngrams, p.min_n, p.max_n, p.buckets)
+
+    def small(v: np.ndarray) -> tuple[str, bytes]:
+        v = v.astype(np.min_scalar_type(int(v.max(initial=0))))
+        return v.dtype.str, v.tobytes()
+
+    def block(t: pa.Table, sums: np.ndarray) -> pa.RecordBatch:
+        flat = t["flat"].combine_chunks()
+        flat = flat if isinstance(flat, pa.Array) else flat.chunk(0)
+        inside, gold = t["inside"].to_numpy(), t["gold"].to_numpy()
+        member = (inside[:, None] >> np.arange(heads)) & 1
+        counted = sums[len(targets) + heads :].reshape(heads, 2, p.buckets)
+        sums[:heads] += member.sum(0)
+        sums[heads : heads + len(targets)] += ((gold[:, None] >> np.arange(len(targets))) & 1 & member[:, targets]).sum(0)
+        for i in range(0, len(flat), CHUNK):
+            bucket, count, bounds = hashed(flat.slice(i, CHUNK), *shape)
+            for h in range(heads):
+                w = count * np.repeat(member[i : i + CHUNK, h], np.diff(bounds))
+                counted[h, 0] += np.bincount(bucket, w, p.buckets)
+                counted[h, 1] += np.bincount(bucket, w * count, p.buckets)
+        parts = {k: small(v) for k, v in factored(flat, *shape).items()} | {"inside": small(inside), "gold": small(gold)}
+        return pa.RecordBatch.from_pydict({k: pa.array([v[i]], kind) for k, v in parts.items() for i, kind, k in ((0, pa.string(), f"{k}_type"), (1, pa.binary(), k))} | {"sums": pa.array([None], pa.binary())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros(len(targets) + heads + heads * 2 * p.buckets)
+        held, n, size, last = [], 0, 0, None
+        for b in batches:
+            step = min(CHUNK, BLOCK)
+            for i in range(0, len(b), step):
+                held.append(b.slice(i, step))
+                n, size = n + len(held[-1]), size + held[-1].nbytes
+                if n >= BLOCK or size >= BLOCK_BYTES:
+                    last = block(pa.Table.from_batches(held), sums)
+                    held, n, size = [], 0, 0
+                    yield last
+        if n:
+            last = block(pa.Table.from_batches(held), sums)
+            yield last
+        if last is not None:
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, f.type) if f.name != "sums" else pa.array([sums.tobytes()], pa.binary()) for f in last.schema], schema=last.schema)
+
+    return run
+
+
+def _added(rows: DataFrame, size: int) -> np.ndarray:
+    """The sum of the vectors in the column ``sums``.  Tasks add and stage them until one is left: the driver holds one vector, and no shuffle files gather over the passes."""
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for x in b.column(0):
+                v = np.frombuffer(x.as_py())
+                total = v.copy() if total is None else total + v
+        if total is not None:
+            yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
 
-def _char_gram(text: Column, n: int):
-    return lambda i: F.concat(F.lit("#"), F.substring(text, i, F.lit(n)))
+    spark, staged = rows.sparkSession, []
+    n = rows.rdd.getNumPartitions()
+    while n > 1:
+        n = -(-n // PARTIALS)
+        staged.append(stage_path(spark, "partial-sums"))
+        rows.write.parquet(staged[-1])
+        rows = spark.read.schema("sums binary").parquet(staged[-1]).coalesce(n).mapInArrow(add, "sums binary")
+    total = np.zeros(size)
+    for r in rows.collect():
+        total += np.frombuffer(r["sums"])
+    for path in staged:
+        _delete(spark, path)
+    return total
 
 
-def ngram_features(df: DataFrame, text: str, out: str, p: HeadParams) -> DataFrame:
-    """Add the hashed n-gram vector of the text, line breaks read as blanks."""
-    flat = collapse(F.replace(F.coalesce(F.col(text), F.lit("")), F.lit("\n"), F.lit(" ")))
-    w = F.filter(F.split(flat, " "), lambda x: x != "")
-    grams = [w]
-    for n in range(2, p.word_ngrams + 1):
-        starts = F.when(F.size(w) >= n, F.sequence(F.lit(1), F.size(w) - n + 1)).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(starts, _word_gram(w, n)))
-    for n in range(p.min_n, p.max_n + 1):
-        starts = F.when(F.length(flat) >= n, F.sequence(F.lit(1), F.length(flat) - n + 1)).otherwise(F.array().cast("array<int>"))
-        grams.append(F.transform(starts, _char_gram(flat, n)))
-    return HashingTF(inputCol="_grams", outputCol=out, numFeatures=p.buckets).transform(df.withColumn("_grams", F.concat(*grams))).drop("_grams")
+def _pass(weights, p: HeadParams, targets: list[int]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Blocks to the sums of losses, of residuals, and of residuals times features, of each active target (index, weights, offset)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        active = weights.value
+        out = np.zeros((len(active), p.buckets + 2))
+        for batch in batches:
+            for r in range(len(batch)):
+                one = lambda k: np.frombuffer(batch[k][r].as_py(), batch[f"{k}_type"][r].as_py()).astype(np.int64)  # noqa: E731, B023
+                part, text_of, bucket, part_of, inside, gold, parts = map(one, ("part", "text_of", "bucket", "part_of", "inside", "gold", "parts"))
+                values = np.empty(p.buckets + int(parts[0]))
+                of_text, of_part = (np.flatnonzero(np.diff(x, prepend=-1)) for x in (text_of, part_of))
+                texts, filled = text_of[of_text], part_of[of_part] + p.buckets
+                each_part, each_bucket = np.empty(len(part)), np.empty(len(bucket))  # once a block: new memory costs more than the sums
+                for k, (t, w, offset) in enumerate(active):
+                    margin = np.full(len(inside), offset)
+                    if w.any():  # not at the start
+                        values[: p.buckets] = w
+                        values[p.buckets :] = 0
+                        values[filled] = np.add.reduceat(w.take(bucket, out=each_bucket, mode="clip"), of_part)
+                        margin[texts] += np.add.reduceat(values.take(part, out=each_part, mode="clip"), of_text)
+                    member, y = (inside >> targets[t]) & 1, (gold >> t) & 1
+                    e = np.exp(-np.abs(margin))
+                    out[k, 0] += (member * (np.log1p(e) + np.maximum(margin, 0) - y * margin)).sum()
+                    left = member * (np.where(margin >= 0, 1, e) / (1 + e) - y)
+                    out[k, 1] += left.sum()
+                    back = np.bincount(part, left.take(text_of, out=each_part, mode="clip"), len(values))
+                    out[k, 2:] += back[: p.buckets] + np.bincount(bucket, back[p.buckets :].take(part_of, out=each_bucket, mode="clip"), p.buckets)
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([out.tobytes()], pa.binary())})
+
+    return run
+
+
+def _model(spark: SparkSession, label: str, w: np.ndarray, b: float, p: HeadParams) -> LogisticRegressionModel:
+    sc = spark.sparkContext
+    made = sc._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(f"ngrams_{label}", _py2java(sc, DenseVector(w)), float(b))
+    m = LogisticRegressionModel(made)
+    return m.copy({m.maxIter: p.iterations, m.regParam: p.regularization, m.featuresCol: "_x", m.labelCol: "_y"})
+
+
+def train_heads(df: DataFrame, text: str, labels: dict[str, str], params: HeadParams | None = None) -> list[Head]:
+    """Fit the binary models of every head at once.
+
+    ``labels``: the column of each head with a record's labels there; null or empty: the
+    record is not of that head.  Labels without both classes are left out.
+    """
+    p, spark, names = params or HeadParams(), df.sparkSession, list(labels)
+    targets = [(i, x) for i, h in enumerate(names) for x in T.HEADS[h]]
+    of = [i for i, _ in targets]
+    bits = lambda each: sum((F.when(c, F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(each)), F.lit(0)).cast("long")
+    rows = df.select(flat_text(text).alias("flat"), bits([F.size(labels[h]) > 0 for h in names]).alias("inside"), bits([F.array_contains(labels[names[i]], x) for i, x in targets]).alias("gold"))
+    kinds = "part", "text_of", "bucket", "part_of", "parts", "inside", "gold"
+    schema = ", ".join(f"{k}_type string, {k} binary" for k in kinds) + ", sums binary"
+    path = stage_path(spark, "head-blocks")
+    rows.filter("inside > 0").mapInArrow(_blocks(p, len(names), of), schema).write.option("compression", "zstd").parquet(path)
+    staged = spark.read.schema(schema).parquet(path)
+    sums = _added(staged.filter("sums is not null").select("sums"), len(names) + len(of) + len(names) * 2 * p.buckets)
+    n, positive, counted = sums[: len(names)], sums[len(names) : len(names) + len(of)], sums[len(names) + len(of) :].reshape(len(names), 2, p.buckets)
+    mean = counted[:, 0] / np.maximum(n, 1)[:, None]
+    spread = np.sqrt(np.maximum(counted[:, 1] - n[:, None] * mean**2, 0) / np.maximum(n - 1, 1)[:, None])
+    scale = np.divide(1, spread, out=np.zeros_like(spread), where=spread > 1e-9)
+    del sums, counted
+    searches, asked = {}, {}
+    for t, (i, _) in enumerate(targets):
+        if 0 < positive[t] < n[i]:
+            start = np.zeros(p.buckets + 1)
+            start[-1] = np.log(positive[t] / (n[i] - positive[t]))
+            searches[t] = minimize(start, p.iterations)
+            asked[t] = next(searches[t])
+    cores = spark.sparkContext.defaultParallelism
+    blocks = staged.filter("sums is null").drop("sums").coalesce(cores)
+    found = {}
+    while asked:
+        active = []
+        for t, x in asked.items():
+            w = x[:-1] * scale[of[t]]
+            active.append((t, w, x[-1] - w @ mean[of[t]]))
+        sent = spark.sparkContext.broadcast(active)
+        got = _added(blocks.mapInArrow(_pass(sent, p, of), "sums binary"), len(active) * (p.buckets + 2)).reshape(len(active), p.buckets + 2)
+        sent.destroy()
+        for (t, x), (loss, left), g in zip(list(asked.items()), got[:, :2], got[:, 2:], strict=True):
+            h = of[t]
+            slope = np.append((g - left * mean[h]) * scale[h] / n[h] + p.regularization * x[:-1], left / n[h])
+            try:
+                asked[t] = searches[t].send((loss / n[h] + p.regularization / 2 * (x[:-1] @ x[:-1]), slope))
+            except StopIteration as end:
+                found[t] = end.value
+                del asked[t], searches[t]
+    _delete(spark, path)
+    out = {h: Head(h, p) for h in names}
+    for t, (i, label) in enumerate(targets):
+        if t in found:
+            w = found[t][:-1] * scale[i]
+            out[names[i]].models[label] = _model(spark, label, w, found[t][-1] - w @ mean[i], p)
+    return list(out.values())
 
 
 def train_head(df: DataFrame, head: str, text: str = "text", labels: str = "head_labels", params: HeadParams | None = None) -> Head:
-    """Fit a binary model for each label of the head (rows: text, labels array); labels without both classes are left out."""
-    p = params or HeadParams()
-    x = ngram_features(df, text, "_x", p).persist()
-    out = Head(head, p)
-    for label in T.HEADS[head]:
-        y = x.withColumn("_y", F.array_contains(labels, label).cast("double"))
-        r = y.agg(F.sum("_y").alias("p"), F.count(F.lit(1)).alias("n")).first()
-        if r["p"] and r["p"] < r["n"]:
-            out.models[label] = LogisticRegression(featuresCol="_x", labelCol="_y", maxIter=p.iterations, regParam=p.regularization, rawPredictionCol="_r", probabilityCol="_pr", predictionCol="_pd").fit(y)
-    x.unpersist()
-    return out
+    """Fit a binary model for each label of one head (rows: text, labels array); labels without both classes are left out."""
+    return train_heads(df, text, {head: labels}, params)[0]
 
 
 def head_metrics(df: DataFrame, head: Head, text: str = "text", labels: str = "head_labels") -> DataFrame:
@@ -82,22 +245,37 @@ def head_metrics(df: DataFrame, head: Head, text: str = "text", labels: str = "h
 
 
 def score_labels(df: DataFrame, heads: list[Head], text: str, out: str = "_all") -> DataFrame:
-    """Add an array of (head, label, score) with every label of every head; features are made once for equal parameters."""
-    parts, keep = [], df.columns
-    made: dict[tuple, str] = {}
+    """Add an array of (head, label, score) with every label of every head; n-grams are hashed once for equal parameters."""
+    shapes: dict[tuple, list] = {}
     for h in heads:
-        shape = tuple(vars(h.params)[k] for k in ("word_ngrams", "min_n", "max_n", "buckets"))
-        if shape not in made:
-            made[shape] = f"_x{len(made)}"
-            df = ngram_features(df, text, made[shape], h.params)
         for label, m in h.models.items():
-            name = f"_s_{h.name}_{label}"
-            df = m.copy({m.featuresCol: made[shape]}).transform(df).withColumn(name, vector_to_array("_pr")[1]).drop("_r", "_pr", "_pd")
-            parts.append(F.struct(F.lit(h.name).alias("head"), F.lit(label).alias("label"), F.col(name).alias("score")))
-    every = F.array(*parts) if parts else F.array().cast("array<struct<head:string,label:string,score:double>>")
+            shapes.setdefault(tuple(vars(h.params)[k] for k in ("word_ngrams", "min_n", "max_n", "buckets")), []).append((h.name, label, m))
+    keep, parts = df.columns, {}
+    for i, (shape, models) in enumerate(shapes.items()):
+        w = df.sparkSession.sparkContext.broadcast((np.ascontiguousarray(np.stack([m.coefficients.toArray() for *_, m in models], 1)), np.array([m.intercept for *_, m in models])))
+        df = df.withColumn(f"_s{i}", F.pandas_udf(_scorer(w, shape), "array<double>")(flat_text(text)))
+        for k, (head, label, _) in enumerate(models):
+            parts[head, label] = F.struct(F.lit(head).alias("head"), F.lit(label).alias("label"), F.col(f"_s{i}")[k].alias("score"))
+    every = F.array(*[parts[h.name, x] for h in heads for x in h.models]) if parts else F.array().cast("array<struct<head:string,label:string,score:double>>")
     return df.withColumn(out, every).select(*keep, out)
 
 
+def _scorer(weights, shape: tuple) -> Callable[[Iterator[pd.Series]], Iterator[pd.Series]]:
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        w, b = weights.value
+        for texts in batches:
+            scores = np.empty((len(texts), len(b)))
+            for i in range(0, len(texts), CHUNK):
+                bucket, count, bounds = hashed(pa.array(texts.iloc[i : i + CHUNK], pa.large_string()), *shape)
+                for k, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+                    scores[i + k] = count[x:y] @ w.take(bucket[x:y], 0) + b
+            e = np.exp(-np.abs(scores))
+            yield pd.Series(list(np.where(scores >= 0, 1, e) / (1 + e)))
+
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+    return run
+
+
 def score_heads(df: DataFrame, heads: list[Head], text: str = "detection_text", out: str = "head_scores") -> DataFrame:
     """Add an array of (label, score): for each scored label the greatest probability over the heads; ``safe`` is left out."""
     d = score_labels(df, heads, text)

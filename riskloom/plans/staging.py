@@ -70,12 +70,18 @@ def scope(spark: SparkSession) -> Iterator[None]:
             _delete(spark, path)
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back (lineage is cut)."""
-    spark = df.sparkSession
+def stage_path(spark: SparkSession, name: str) -> str:
+    """A new path for a staged table."""
     _cleanup_at_exit(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     if _SCOPES:
         _SCOPES[-1].append(path)
+    return path
+
+
+def stage(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it back (lineage is cut)."""
+    spark = df.sparkSession
+    path = stage_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

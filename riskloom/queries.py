@@ -714,11 +714,12 @@ def component_status(spark, d):
 
 
 def _trained(spark, d) -> tuple[DataFrame, DataFrame]:
-    """Heads trained on all_train, their scores of all_val and all_test, with gold labels of each head."""
-    keep = lambda n: B.head_projection(spread(table(spark, d, n)).filter("text is not null and labels is not null").select("rec_id", "text", "sources", F.array_distinct(F.array_compact("labels")).alias("labels")))
-    train = keep("all_train")
-    made = [heads.train_head(train.filter(F.col("head") == h).select("text", "head_labels"), h, params=heads.HeadParams(buckets=1 << 16, iterations=10)) for h in T.HEADS]
-    return [stage(heads.score_heads(keep(n).withColumnRenamed("text", "detection_text"), made), "head-scores") for n in ("all_val", "all_test")]
+    """Heads trained on all_train, their scores of all_val and all_test, with gold labels of each head; a record is scored once for all heads."""
+    clean = lambda n: spread(table(spark, d, n)).filter("text is not null and labels is not null").select("rec_id", "text", "sources", F.array_distinct(F.array_compact("labels")).alias("labels"))
+    own = {h: L.head_labels(F.col("labels"), h, F.col("sources")) for h in T.HEADS}
+    any_head = lambda n: clean(n).withColumns(own).filter(" or ".join(f"size({h}) > 0" for h in T.HEADS)).drop(*T.HEADS)
+    made = heads.train_heads(clean("all_train").withColumns(own), "text", {h: h for h in T.HEADS}, heads.HeadParams(buckets=1 << 16, iterations=10))
+    return [B.head_projection(stage(heads.score_heads(any_head(n).withColumnRenamed("text", "detection_text"), made), "head-scores")) for n in ("all_val", "all_test")]
 
 
 @query

@@ -5,8 +5,8 @@ hashed into one sparse vector; each label of a head has its own binary model.  T
 is no quantized form: hashing already bounds the size of a model.
 
 All labels of all heads are trained together: n-grams are hashed once, staged as blocks
-of parts (``functions.ngrams.factored``), and a pass over the blocks gives the losses
-and gradients of every label.  The models are those of ``LogisticRegression``: centred
+of parts (``functions.ngrams.factored``), and a pass over the blocks, one in a worker at a time
+and never whole in an executor's heap, gives the losses and gradients of every label.  The models are those of ``LogisticRegression``: centred
 and scaled features, L2 on the scaled weights, L-BFGS (``functions.lbfgs``).
 """
 
@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.common import _py2java
 from pyspark.ml.linalg import DenseVector
@@ -27,13 +28,17 @@ from pyspark.sql import functions as F
 
 from .. import taxonomy as T
 from ..functions.lbfgs import minimize
-from ..functions.ngrams import factored, hashed
+from ..functions.ngrams import add_up, factored, grouped, hashed, pieces
 from ..functions.text import collapse
 from ..plans.staging import _delete, stage_path
 from ..sources.sinks import write_text
 
-#: Texts of a block and their most bytes (indices take some 40 times that in a worker), texts hashed at once, and vectors that a task adds.
-BLOCK, BLOCK_BYTES, CHUNK, PARTIALS = 8_192, 4 << 20, 256, 8
+#: Texts of a block, their most bytes with 16 for each blank, the rows that hold a block, and vectors that a task adds.
+BLOCK, BLOCK_BYTES, SLICES, PARTIALS = 8_192, 8 << 20, 64, 8
+#: Parquet options of staged blocks: a block is a row group, so no split of a file parts it, and pages hold a few of its rows.
+BLOCKWISE = {"compression": "zstd", "parquet.block.row.count.limit": str(SLICES), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1", "parquet.enable.dictionary": "false"}
+#: Settings of the session that reads them: a row at a time goes to Python, and a few are decoded.
+ROWWISE = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1", "spark.sql.parquet.columnarReaderBatchSize": "4"}
 
 
 @dataclass
@@ -66,11 +71,10 @@ def _blocks(p: HeadParams, heads: int, targets: list[int]) -> Callable[[Iterator
     """
     shape = (p.word_ngrams, p.min_n, p.max_n, p.buckets)
 
-    def small(v: np.ndarray) -> tuple[str, bytes]:
-        v = v.astype(np.min_scalar_type(int(v.max(initial=0))))
-        return v.dtype.str, v.tobytes()
+    def row(**given) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({k: pa.array([given.get(k)], kind) for k, kind in (("shape", pa.string()), ("data", pa.binary()), ("sums", pa.binary()))})
 
-    def block(t: pa.Table, sums: np.ndarray) -> pa.RecordBatch:
+    def block(t: pa.Table, sums: np.ndarray) -> Iterator[pa.RecordBatch]:
         flat = t["flat"].combine_chunks()
         flat = flat if isinstance(flat, pa.Array) else flat.chunk(0)
         inside, gold = t["inside"].to_numpy(), t["gold"].to_numpy()
@@ -78,38 +82,71 @@ def _blocks(p: HeadParams, heads: int, targets: list[int]) -> Callable[[Iterator
         counted = sums[len(targets) + heads :].reshape(heads, 2, p.buckets)
         sums[:heads] += member.sum(0)
         sums[heads : heads + len(targets)] += ((gold[:, None] >> np.arange(len(targets))) & 1 & member[:, targets]).sum(0)
-        for i in range(0, len(flat), CHUNK):
-            bucket, count, bounds = hashed(flat.slice(i, CHUNK), *shape)
+        for i, j in pieces(flat):
+            bucket, count, bounds = hashed(flat.slice(i, j - i), *shape)
             for h in range(heads):
-                w = count * np.repeat(member[i : i + CHUNK, h], np.diff(bounds))
+                w = count * np.repeat(member[i:j, h], np.diff(bounds))
                 counted[h, 0] += np.bincount(bucket, w, p.buckets)
                 counted[h, 1] += np.bincount(bucket, w * count, p.buckets)
-        parts = {k: small(v) for k, v in factored(flat, *shape).items()} | {"inside": small(inside), "gold": small(gold)}
-        return pa.RecordBatch.from_pydict({k: pa.array([v[i]], kind) for k, v in parts.items() for i, kind, k in ((0, pa.string(), f"{k}_type"), (1, pa.binary(), k))} | {"sums": pa.array([None], pa.binary())})
+        parts, (text_of, part), (part_of, bucket) = factored(flat, *shape)
+        arrays = {"parts": np.array([parts]), "inside": inside, "gold": gold}
+        for name, a, b in (("in_part", part_of, bucket), ("in_text", text_of, part), ("texts", part, text_of), ("parts", bucket, part_of)):
+            arrays |= {f"{name}_{k}": v for k, v in grouped(a, b).items()}
+        shape_of, data = _packed(arrays)
+        step = -(-len(data) // SLICES)
+        for i in range(SLICES):
+            yield row(shape=None if i else shape_of, data=data[i * step : (i + 1) * step])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = np.zeros(len(targets) + heads + heads * 2 * p.buckets)
-        held, n, size, last = [], 0, 0, None
+        held, n, size = [], 0, 0
         for b in batches:
-            step = min(CHUNK, BLOCK)
-            for i in range(0, len(b), step):
-                held.append(b.slice(i, step))
-                n, size = n + len(held[-1]), size + held[-1].nbytes
-                if n >= BLOCK or size >= BLOCK_BYTES:
-                    last = block(pa.Table.from_batches(held), sums)
+            flat = b.column(b.schema.get_field_index("flat"))
+            weight = np.append(0, np.cumsum(pc.add(pc.binary_length(flat), pc.multiply(pc.count_substring(flat, " "), 16)).to_numpy(zero_copy_only=False)))
+            i = 0
+            while i < len(b):
+                j = min(i + BLOCK - n, max(i + 1, int(np.searchsorted(weight, weight[i] + BLOCK_BYTES - size, "right")) - 1), len(b))
+                held.append(b.slice(i, j - i))
+                n, size, i = n + j - i, size + int(weight[j] - weight[i]), j
+                if n >= BLOCK or size >= BLOCK_BYTES or i < len(b):
+                    yield from block(pa.Table.from_batches(held), sums)
                     held, n, size = [], 0, 0
-                    yield last
         if n:
-            last = block(pa.Table.from_batches(held), sums)
-            yield last
-        if last is not None:
-            yield pa.RecordBatch.from_arrays([pa.nulls(1, f.type) if f.name != "sums" else pa.array([sums.tobytes()], pa.binary()) for f in last.schema], schema=last.schema)
+            yield from block(pa.Table.from_batches(held), sums)
+        if sums[:heads].any():
+            yield row(sums=sums.tobytes())
 
     return run
 
 
-def _added(rows: DataFrame, size: int) -> np.ndarray:
-    """The sum of the vectors in the column ``sums``.  Tasks add and stage them until one is left: the driver holds one vector, and no shuffle files gather over the passes."""
+def _packed(arrays: dict[str, np.ndarray]) -> tuple[str, bytes]:
+    """Arrays of numbers from 0 in the narrowest types that hold them, one after the other, and where they are."""
+    shape, data, at = {}, [], 0
+    for k, v in arrays.items():
+        v = v.astype(np.min_scalar_type(int(v.max(initial=0))))
+        shape[k] = v.dtype.str, at, len(v)
+        data += v.tobytes(), bytes(-v.nbytes % 8)
+        at += v.nbytes + -v.nbytes % 8
+    return json.dumps(shape), b"".join(data)
+
+
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The arrays of each block."""
+    shape, held = "", []
+    for b in batches:
+        for of, data in zip(b["shape"], b["data"], strict=True):
+            if of.is_valid == bool(held):
+                raise RuntimeError("the rows of a block are not in order")
+            shape, _ = of.as_py() or shape, held.append(data.as_py())
+            if len(held) == SLICES:
+                data, held = b"".join(held), []
+                yield {k: np.frombuffer(data, kind, n, at) for k, (kind, at, n) in json.loads(shape).items()}
+    if held:
+        raise RuntimeError("a block is not whole")
+
+
+def _added(spark: SparkSession, rows: DataFrame, size: int) -> np.ndarray:
+    """The sum of the vectors in the column ``sums``, staged where ``spark`` stages.  Tasks add and stage them until one is left: the driver holds one vector, and no shuffle files gather over the passes."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -120,13 +157,13 @@ def _added(rows: DataFrame, size: int) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_pydict({"sums": pa.array([total.tobytes()], pa.binary())})
 
-    spark, staged = rows.sparkSession, []
+    staged = []
     n = rows.rdd.getNumPartitions()
     while n > 1:
         n = -(-n // PARTIALS)
         staged.append(stage_path(spark, "partial-sums"))
         rows.write.parquet(staged[-1])
-        rows = spark.read.schema("sums binary").parquet(staged[-1]).coalesce(n).mapInArrow(add, "sums binary")
+        rows = rows.sparkSession.read.schema("sums binary").parquet(staged[-1]).coalesce(n).mapInArrow(add, "sums binary")
     total = np.zeros(size)
     for r in rows.collect():
         total += np.frombuffer(r["sums"])
@@ -140,30 +177,32 @@ def _pass(weights, p: HeadParams, targets: list[int]) -> Callable[[Iterator[pa.R
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         active = weights.value
-        out = np.zeros((len(active), p.buckets + 2))
-        for batch in batches:
-            for r in range(len(batch)):
-                one = lambda k: np.frombuffer(batch[k][r].as_py(), batch[f"{k}_type"][r].as_py()).astype(np.int64)  # noqa: E731, B023
-                part, text_of, bucket, part_of, inside, gold, parts = map(one, ("part", "text_of", "bucket", "part_of", "inside", "gold", "parts"))
-                values = np.empty(p.buckets + int(parts[0]))
-                of_text, of_part = (np.flatnonzero(np.diff(x, prepend=-1)) for x in (text_of, part_of))
-                texts, filled = text_of[of_text], part_of[of_part] + p.buckets
-                each_part, each_bucket = np.empty(len(part)), np.empty(len(bucket))  # once a block: new memory costs more than the sums
-                for k, (t, w, offset) in enumerate(active):
-                    margin = np.full(len(inside), offset)
-                    if w.any():  # not at the start
-                        values[: p.buckets] = w
-                        values[p.buckets :] = 0
-                        values[filled] = np.add.reduceat(w.take(bucket, out=each_bucket, mode="clip"), of_part)
-                        margin[texts] += np.add.reduceat(values.take(part, out=each_part, mode="clip"), of_text)
-                    member, y = (inside >> targets[t]) & 1, (gold >> t) & 1
-                    e = np.exp(-np.abs(margin))
-                    out[k, 0] += (member * (np.log1p(e) + np.maximum(margin, 0) - y * margin)).sum()
-                    left = member * (np.where(margin >= 0, 1, e) / (1 + e) - y)
-                    out[k, 1] += left.sum()
-                    back = np.bincount(part, left.take(text_of, out=each_part, mode="clip"), len(values))
-                    out[k, 2:] += back[: p.buckets] + np.bincount(bucket, back[p.buckets :].take(part_of, out=each_bucket, mode="clip"), p.buckets)
-        yield pa.RecordBatch.from_pydict({"sums": pa.array([out.tobytes()], pa.binary())})
+        of, n, wide = np.array([t for t, *_ in active]), len(active), -(-len(active) // 4) * 4  # whole rows of the processor's registers
+        w, offset = np.zeros((p.buckets, wide)), np.array([b for *_, b in active])
+        for k, (_, x, _) in enumerate(active):
+            w[:, k] = x
+        sums, slope = np.zeros((n, 2)), np.zeros((p.buckets, wide))
+        for x in _unpacked(batches):
+            sides = lambda name: [x[f"{name}_{k}"] for k in ("ids", "size", "owners", "members")]  # noqa: E731, B023
+            inside, gold = x["inside"].astype(np.int64), x["gold"].astype(np.int64)
+            margin, values = np.zeros((len(inside), wide)), np.zeros((int(x["parts"][0]), wide))
+            if w.any():  # not at the start
+                values[: p.buckets] = w
+                add_up(values, w, *sides("in_part"))
+                add_up(margin, values, *sides("in_text"))
+            m = margin[:, :n] + offset
+            member, y = (inside[:, None] >> np.array(targets)[of]) & 1, (gold[:, None] >> of) & 1
+            e = np.exp(-np.abs(m))
+            sums[:, 0] += (member * (np.log1p(e) + np.maximum(m, 0) - y * m)).sum(0)
+            margin[:, :n] = member * (np.where(m >= 0, 1, e) / (1 + e) - y)
+            sums[:, 1] += margin[:, :n].sum(0)
+            values[: p.buckets] = 0
+            add_up(values, margin, *sides("texts"))
+            slope += values[: p.buckets]
+            own = np.zeros_like(slope)
+            add_up(own, values, *sides("parts"))
+            slope += own
+        yield pa.RecordBatch.from_pydict({"sums": pa.array([np.hstack([sums, slope[:, :n].T]).tobytes()], pa.binary())})
 
     return run
 
@@ -186,12 +225,14 @@ def train_heads(df: DataFrame, text: str, labels: dict[str, str], params: HeadPa
     of = [i for i, _ in targets]
     bits = lambda each: sum((F.when(c, F.lit(1 << i)).otherwise(F.lit(0)) for i, c in enumerate(each)), F.lit(0)).cast("long")
     rows = df.select(flat_text(text).alias("flat"), bits([F.size(labels[h]) > 0 for h in names]).alias("inside"), bits([F.array_contains(labels[names[i]], x) for i, x in targets]).alias("gold"))
-    kinds = "part", "text_of", "bucket", "part_of", "parts", "inside", "gold"
-    schema = ", ".join(f"{k}_type string, {k} binary" for k in kinds) + ", sums binary"
+    schema = "shape string, data binary, sums binary"
     path = stage_path(spark, "head-blocks")
-    rows.filter("inside > 0").mapInArrow(_blocks(p, len(names), of), schema).write.option("compression", "zstd").parquet(path)
-    staged = spark.read.schema(schema).parquet(path)
-    sums = _added(staged.filter("sums is not null").select("sums"), len(names) + len(of) + len(names) * 2 * p.buckets)
+    rows.filter("inside > 0").mapInArrow(_blocks(p, len(names), of), schema).write.options(**BLOCKWISE).parquet(path)
+    reader = spark.newSession()
+    for k, v in ROWWISE.items():
+        reader.conf.set(k, v)
+    staged = reader.read.schema(schema).parquet(path)
+    sums = _added(spark, staged.filter("sums is not null").select("sums"), len(names) + len(of) + len(names) * 2 * p.buckets)
     n, positive, counted = sums[: len(names)], sums[len(names) : len(names) + len(of)], sums[len(names) + len(of) :].reshape(len(names), 2, p.buckets)
     mean = counted[:, 0] / np.maximum(n, 1)[:, None]
     spread = np.sqrt(np.maximum(counted[:, 1] - n[:, None] * mean**2, 0) / np.maximum(n - 1, 1)[:, None])
@@ -213,7 +254,7 @@ def train_heads(df: DataFrame, text: str, labels: dict[str, str], params: HeadPa
             w = x[:-1] * scale[of[t]]
             active.append((t, w, x[-1] - w @ mean[of[t]]))
         sent = spark.sparkContext.broadcast(active)
-        got = _added(blocks.mapInArrow(_pass(sent, p, of), "sums binary"), len(active) * (p.buckets + 2)).reshape(len(active), p.buckets + 2)
+        got = _added(spark, blocks.mapInArrow(_pass(sent, p, of), "sums binary"), len(active) * (p.buckets + 2)).reshape(len(active), p.buckets + 2)
         sent.destroy()
         for (t, x), (loss, left), g in zip(list(asked.items()), got[:, :2], got[:, 2:], strict=True):
             h = of[t]
@@ -265,8 +306,9 @@ def _scorer(weights, shape: tuple) -> Callable[[Iterator[pd.Series]], Iterator[p
         w, b = weights.value
         for texts in batches:
             scores = np.empty((len(texts), len(b)))
-            for i in range(0, len(texts), CHUNK):
-                bucket, count, bounds = hashed(pa.array(texts.iloc[i : i + CHUNK], pa.large_string()), *shape)
+            flat = pa.array(texts, pa.large_string())
+            for i, j in pieces(flat):
+                bucket, count, bounds = hashed(flat.slice(i, j - i), *shape)
                 for k, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
                     scores[i + k] = count[x:y] @ w.take(bucket[x:y], 0) + b
             e = np.exp(-np.abs(scores))
